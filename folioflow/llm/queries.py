@@ -4,13 +4,23 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioflow.llm import packing, token_count
+from folioflow.llm import decontaminate, language_id, packing, quality, token_count
+from folioflow.llm.shared import crc32_of
 from folioflow.session import table
 
 WORDS_49K = "word_bpe_49k.json"
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = crc32_of("doc_id") % 3 == 1
+    model = quality.train(docs, labels.where(~held_out), most_rows=20_000)
+    picked = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    return quality.scored(picked, model).drop("text").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS_49K), max_tokens=4096, end_id=1)
 
@@ -19,9 +29,27 @@ def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS_49K), limit=2048)
 
 
+def language_model(docs: DataFrame) -> language_id.Model:
+    """Learnt from the texts whose crc32(doc_id) mod 5 is not 0; a null id can't be dealt to a fold and is left out."""
+    return language_id.train(docs.where(crc32_of("doc_id") % 5 != 0), per_language=1500, landmarks=256)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    picked = docs.select("doc_id", "text", F.coalesce(crc32_of("doc_id") % 5 == 0, F.lit(False)).alias("held_out"))
+    return language_id.predict(picked, language_model(docs)).drop("text")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), rate=0.06)
+
+
 QUERIES = {
+    "op3_quality": op3_quality,
     "op4_vector_packing": op4_vector_packing,
     "op5_token_count": op5_token_count,
+    "op8_language_id": op8_language_id,
+    "op9_decontamination": op9_decontamination,
 }
 
 #: DuckDB SQL for those that SQL can express.

@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import decontaminate, language_id, packing, quality, token_count
+from folioflow.llm import decontaminate, language_id, near_dedup, packing, quality, token_count
 from folioflow.llm.shared import crc32_of
 from folioflow.session import table
 
 WORDS_49K = "word_bpe_49k.json"
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.classes(table(spark, sf_dir, "documents"), k=5, similarity=0.8)
+    return found.select("doc_id", "class_id", "keep")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = crc32_of("doc_id") % 3 == 1
@@ -45,6 +50,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
     "op3_quality": op3_quality,
     "op4_vector_packing": op4_vector_packing,
     "op5_token_count": op5_token_count,

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import decontaminate, language_id, near_dedup, packing, quality, token_count
+from folioflow.llm import decontaminate, language_id, line_dedup, near_dedup, packing, quality, token_count
 from folioflow.llm.shared import crc32_of
 from folioflow.session import table
 
@@ -34,6 +34,11 @@ def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORDS_49K), limit=2048)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.without_repeats(docs, min_words=50)
+
+
 def language_model(docs: DataFrame) -> language_id.Model:
     """Learnt from the texts whose crc32(doc_id) mod 5 is not 0; a null id can't be dealt to a fold and is left out."""
     return language_id.train(docs.where(crc32_of("doc_id") % 5 != 0), per_language=1500, landmarks=256)
@@ -54,6 +59,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_vector_packing": op4_vector_packing,
     "op5_token_count": op5_token_count,
+    "op6_line_dedup": op6_line_dedup,
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
 }

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import decontaminate, language_id, line_dedup, near_dedup, packing, quality, token_count
-from folioflow.llm.shared import crc32_of
+from folioflow.llm import decontaminate, language_id, line_dedup, near_dedup, neighbours, packing, quality, token_count, warc
+from folioflow.llm.shared import Workspace, crc32_of
 from folioflow.session import table
 
 WORDS_49K = "word_bpe_49k.json"
@@ -18,6 +18,12 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "keep")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = Workspace(spark, "warc").keep(warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=0), "archives")
+    page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
+    return warc.read_archives(archives).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = crc32_of("doc_id") % 3 == 1
@@ -54,14 +60,21 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), rate=0.06)
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_warc": op2_warc,
     "op3_quality": op3_quality,
     "op4_vector_packing": op4_vector_packing,
     "op5_token_count": op5_token_count,
     "op6_line_dedup": op6_line_dedup,
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
+    "op10_neighbours": op10_neighbours,
 }
 
 #: DuckDB SQL for those that SQL can express.

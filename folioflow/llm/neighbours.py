@@ -85,7 +85,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, centroids: int = 16, sample_rows: int = 10_000, scanned: float = 0.5, block_rows: int = 20_000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, centroids: int = 64, sample_rows: int = 10_000, scanned: float = 0.5, block_rows: int = 20_000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest vectors but its own, by Euclidean distance.
 
     Codebooks are learnt from about ``sample_rows`` vectors picked by a hash of the

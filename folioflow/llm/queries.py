@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import decontaminate, language_id, line_dedup, near_dedup, neighbours, packing, quality, token_count, warc
+from folioflow.llm import decontaminate, language_id, line_dedup, near_dedup, neighbours, packing, quality, token_count, url_filter, warc
 from folioflow.llm.shared import Workspace, crc32_of
 from folioflow.session import table
 
@@ -45,6 +45,20 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.without_repeats(docs, min_words=50)
 
 
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("block", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judged(pages, URL_RULES, order=4, lost=0.01).drop("url")
+
+
 def language_model(docs: DataFrame) -> language_id.Model:
     """Learnt from the texts whose crc32(doc_id) mod 5 is not 0; a null id can't be dealt to a fold and is left out."""
     return language_id.train(docs.where(crc32_of("doc_id") % 5 != 0), per_language=1500, landmarks=256)
@@ -72,6 +86,7 @@ QUERIES = {
     "op4_vector_packing": op4_vector_packing,
     "op5_token_count": op5_token_count,
     "op6_line_dedup": op6_line_dedup,
+    "op7_url_filter": op7_url_filter,
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_neighbours": op10_neighbours,

@@ -76,9 +76,11 @@ class Model:
         return [self.languages[k] if m else "und" for k, m in zip(best, n)], np.where(n > 0, share.max(1), 0.0)
 
 
-def fit(shown: np.ndarray, languages: list[str], landmarks: int = 256, ridge: float = 1e-2) -> Model:
+def fit(bits: np.ndarray, languages: list[str], landmarks: int = 256, ridge: float = 1e-2) -> Model:
     """One-versus-rest kernel ridge regression in the Nyström space of the first rows of each language.
 
+    ``bits`` has the presence rows packed, eight buckets a byte; they are unpacked in blocks.
+
     The kernel of two texts is the number of buckets that both show over the
     geometric mean of what each shows. The fitted function is linear in the
     presence row, so landmarks, whitening and ridge weights fold into one matrix
@@ -92,12 +94,16 @@ def fit(shown: np.ndarray, languages: list[str], landmarks: int = 256, ridge: fl
     for k in range(len(names)):
         rank[y == k] = np.arange((y == k).sum())
     chosen = np.argsort(rank, kind="stable")[:landmarks]
-    unit = shown / np.sqrt(np.maximum(shown.sum(1), 1))[:, None]
-    marks = unit[chosen]
+
+    def unit(packed: np.ndarray) -> np.ndarray:
+        shown = np.unpackbits(packed, axis=1).astype(np.float32)
+        return shown / np.sqrt(np.maximum(shown.sum(1, keepdims=True), 1))
+
+    marks = unit(bits[chosen])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(float))
     used = values > 1e-6 * max(values.max(), 1e-12)
     whiten = vectors[:, used] / np.sqrt(values[used])
-    phi = (unit @ marks.T).astype(float) @ whiten
+    phi = np.concatenate([(unit(bits[k : k + 512]) @ marks.T).astype(float) @ whiten for k in range(0, len(bits), 512)])
     target = np.where(y[:, None] == np.arange(len(names)), 1.0, -1.0)
     # every language weighs the same
     weight = np.array([len(y) / (len(names) * (y == k).sum()) for k in range(len(names))])[y][:, None]
@@ -130,8 +136,8 @@ def train(labelled: DataFrame, per_language: int = 1500, landmarks: int = 256, i
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(3), pa.array([r.tobytes() for r in packed], pa.binary())], names=["lang", "h", "bits"])
 
     got = sorted(picked.mapInArrow(bits, "lang string, h long, bits binary").collect(), key=lambda r: (r["h"], r["lang"], r["bits"]))
-    shown = np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in got), np.uint8).reshape(len(got), -1), axis=1).astype(np.float32) if got else np.empty((0, 1 << BITS), np.float32)
-    return fit(shown, [r["lang"] for r in got], landmarks)
+    packed = np.frombuffer(b"".join(r["bits"] for r in got), np.uint8).reshape(len(got), (1 << BITS) // 8)
+    return fit(packed, [r["lang"] for r in got], landmarks)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -79,9 +79,9 @@ def repeated_runs(docs: DataFrame, work: Workspace, min_words: int) -> DataFrame
         copies = part if copies is None else copies.union(part)
     work.drop(f"ranks-{deepest}", f"pairs-{deepest}", "active", "stretches")
     # neighbouring and overlapping stretches become one
-    order = Window.partitionBy("d").orderBy("low", "high")
-    reach = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = copies.distinct().withColumn("new", F.when(F.col("low") <= reach + 1, 0).otherwise(1))
+    order = Window.partitionBy("d").orderBy("s", "e")
+    reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = copies.distinct().withColumn("new", F.when(F.col("s") <= reach + 1, 0).otherwise(1))
     return marked.withColumn("g", F.sum("new").over(order)).groupBy("d", "g").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("g")
 
 
@@ -94,13 +94,13 @@ def _doubled(ranks: DataFrame, step: int, work: Workspace, k: int) -> DataFrame:
 
 
 def _later_copies(stretches: DataFrame, ranks: DataFrame, depth: int) -> DataFrame:
-    """(d, low, high) of the stretches that repeat an earlier one without overlapping it."""
+    """(d, s, e, low, high) of the stretches that repeat an earlier one without overlapping it."""
     head, tail = ranks.select("d", F.col("i").alias("s"), F.col("r").alias("head")), ranks.select("d", F.col("i").alias("t"), F.col("r").alias("tail"))
     placed = stretches.withColumn("t", F.col("e") - depth + 1).join(head, ["d", "s"]).join(tail, ["d", "t"]).withColumn("size", F.col("e") - F.col("s") + 1)
     interval = ["size", "head", "tail"]
     first = placed.groupBy(interval).agg(F.min(F.struct("d", "s")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later: Column = (F.col("first.d") != F.col("d")) | (F.col("first.s") + F.col("size") <= F.col("s"))
-    return placed.join(first, interval).where(later).select("d", "low", "high")
+    return placed.join(first, interval).where(later).select("d", "s", "e", "low", "high")
 
 
 def without_repeats(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,7 +109,7 @@ def without_repeats(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id"
     A run is a stretch of lines, blank ones apart, of at least ``min_words`` words
     that stands more than once in the corpus; the copy with the least (id, text
     hash, line) stays, also where copies in one document overlap it, and the lines
-    of the others go, with blank lines between them. Lines count as equal without
+    of the others go, with blank lines between deleted ones. Lines count as equal without
     blanks at their ends; words are parted by single blanks. All other lines stay as
     they are. A run that is longer than any it contains needs no search of its own:
     it is covered by its shortest parts of ``min_words`` words.

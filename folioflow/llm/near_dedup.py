@@ -383,11 +383,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = classes(docs, id_col=id_col, text_col=text_col, **options)
     kept = found.where("keep").select(F.col(id_col).alias("_id"), F.col("h").alias("_h"))
-    repeated = kept.groupBy("_id", "_h").agg(F.count("*").alias("n"))
+    repeated = kept.groupBy("_id", "_h").agg(F.count("*").alias("_copies"))
     kept = Workspace(docs.sparkSession, "one-of-each").keep(repeated, "kept")
     keyed = docs.withColumn("_h0", F.xxhash64(text_col))
     left = keyed.join(kept, (F.col("_h0") == F.col("_h")) & F.col(id_col).eqNullSafe(F.col("_id")), "inner")
-    if kept.where("n > 1").isEmpty():
+    if kept.where("_copies > 1").isEmpty():
         return left.select(docs.columns)
-    once, more = left.where("n = 1"), left.where("n > 1").dropDuplicates(["_id", "_h"])
+    once, more = left.where("_copies = 1"), left.where("_copies > 1").dropDuplicates(["_id", "_h"])
     return once.unionByName(more).select(docs.columns)

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from folioflow.operators import windows as w
 from folioflow.plans.registry import query
+from folioflow.sinks import html, markdown, workbook
 from folioflow.sinks import plain_text as sink
+from folioflow.sources import markdown as markdown_source
 from folioflow.sources import plain_text
+from folioflow.sources import workbook as workbook_source
 from folioflow.session import table
 
 
@@ -24,3 +27,33 @@ def exported_text(spark, sf_dir):
     listed = F.col("kind") == "list_item"
     runs = w.islands(blocks.withColumn("level", F.lit(1)), ~listed, ["doc_id"], ["block_no"])
     return sink.rendered(w.ranked(runs, ["doc_id", "island", "indent", "ordered"], [F.col("block_no")], "number"))
+
+
+@query("markdown_blocks")
+def markdown_blocks(spark, sf_dir):
+    """Every text read as Markdown."""
+    return markdown_source.read_blocks(table(spark, sf_dir, "documents")).select("doc_id", "block_no", "kind", "level", "ordered", "marker", "indent", "spans", "rows")
+
+
+@query("markdown_export")
+def markdown_export(spark, sf_dir):
+    """The blocks of every text as Markdown."""
+    return markdown.rendered(plain_text.as_blocks(plain_text.read_blocks(table(spark, sf_dir, "documents"))))
+
+
+@query("html_export")
+def html_export(spark, sf_dir):
+    """K2: the blocks of every text as a page."""
+    return html.rendered(plain_text.as_blocks(plain_text.read_blocks(table(spark, sf_dir, "documents"))))
+
+
+@query("workbook_cells")
+def workbook_cells(spark, sf_dir):
+    """The turns of each conversation as a workbook's table, written, read back and dealt into cells."""
+    said = F.array_sort(F.collect_list(F.struct("turn", F.array(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))).alias("row"))))
+    rows = F.concat(F.array(F.array(F.lit("role"), F.lit("text"))), F.transform(said, lambda s: s["row"]))
+    tables = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(rows.alias("rows"))
+    blocks = tables.select("conv_id", F.lit(0).alias("block_no"), F.lit("table").alias("kind"), "rows", F.lit(True).alias("has_header"))
+    back = workbook_source.read_blocks(workbook.rendered(blocks, "conv_id"), "conv_id").where("kind = 'table' AND block_no = 3")
+    lines = back.select("conv_id", F.posexplode("rows").alias("r", "line"))
+    return lines.select("conv_id", "r", F.posexplode("line").alias("c", "value"))

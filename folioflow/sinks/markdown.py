@@ -13,7 +13,7 @@ from folioflow.sinks.workbook import _NOT_XML
 
 PAGE_BREAK = '<div style="page-break-after: always;"></div>'
 # Signs that count as punctuation beside emphasis marks.
-_PUNCTUATION = re.compile(r"[!-/:-@\[-`{-~ -⁯⸀-⹿]")
+_PUNCTUATION = re.compile(r"[!-/:-@\[-`{-~\u2000-\u206f\u2e00-\u2e7f]")
 _ENTITY = re.compile(r"&(?=(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);)")
 #: Styles that nest, outermost first: sign where it is seen as emphasis, and elements for where it isn't.
 NESTED = ("link", "bold", "italic", "underline")

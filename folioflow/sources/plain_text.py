@@ -87,3 +87,8 @@ def read_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
 
     return docs.select(id_col, F.col(text_col)).mapInArrow(read, f"{id_col} {kind}, {BLOCKS}")
+
+
+def as_blocks(blocks: DataFrame) -> DataFrame:
+    """Plain blocks as rows of the block table, their text as one plain span."""
+    return blocks.withColumn("spans", F.when(F.col("text").isNotNull(), F.array(F.struct("text")))).drop("text")

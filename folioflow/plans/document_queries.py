@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from folioflow.operators import windows as w
 from folioflow.plans.registry import query
-from folioflow.sinks import html, markdown, workbook
+from folioflow.sinks import html, markdown, word, workbook
 from folioflow.sinks import plain_text as sink
 from folioflow.sources import markdown as markdown_source
 from folioflow.sources import plain_text
+from folioflow.sources import word as word_source
 from folioflow.sources import workbook as workbook_source
 from folioflow.session import table
 
@@ -57,3 +58,12 @@ def workbook_cells(spark, sf_dir):
     back = workbook_source.read_blocks(workbook.rendered(blocks, "conv_id"), "conv_id").where("kind = 'table' AND block_no = 3")
     lines = back.select("conv_id", F.posexplode("rows").alias("r", "line"))
     return lines.select("conv_id", "r", F.posexplode("line").alias("c", "value"))
+
+
+@query("document_round_trip")
+def document_round_trip(spark, sf_dir):
+    """The blocks of every text written as a DOCX file and read back."""
+    blocks = plain_text.as_blocks(plain_text.read_blocks(table(spark, sf_dir, "documents")))
+    back = word_source.read_blocks(word.rendered(blocks), "doc_id")
+    text = F.array_join(F.transform("spans", lambda s: s["text"]), "")
+    return back.select("doc_id", "block_no", "kind", "level", "ordered", "marker", "indent", text.alias("text"))

@@ -424,11 +424,30 @@ CASE WHEN k <= 26 THEN chr(CAST(64 + k AS INT)) WHEN k <= 702 THEN chr(CAST(64 +
 TIMESTAMP '1899-12-30' + to_milliseconds(CAST((k % 40000 + 61) * 86400000 + 43200000 AS BIGINT)) AS day FROM s WHERE k BETWEEN 1 AND 18278""",
 )
 def number_forms(spark, sf_dir):
-    """F30, F34, F35, F37."""
+    """F30, F34, F35, F37, for keys of up to three letters; all others are in ``number_forms_all``."""
+    return _number_forms(table(spark, sf_dir, "part").where(F.col("p_partkey").between(1, 18278)))
+
+
+def _number_forms(part):
     k = F.col("p_partkey")
     letters = n.column_letters(k)
-    picked = table(spark, sf_dir, "part").where(k.between(1, 18278))
-    return picked.select(k.alias("k"), n.byte_label(k * 977).alias("size"), n.roman(k % 4200).alias("roman"), letters.alias("letters"), n.column_index(letters).alias("back"), n.serial_date((k % 40000 + 61 + 0.5).cast("double")).cast("timestamp_ntz").alias("day"))
+    return part.select(k.alias("k"), n.byte_label(k * 977).alias("size"), n.roman(k % 4200).alias("roman"), letters.alias("letters"), n.column_index(letters).alias("back"), n.serial_date((k % 40000 + 61 + 0.5).cast("double")).cast("timestamp_ntz").alias("day"))
+
+
+@query(
+    "number_forms_all",
+    """WITH RECURSIVE l AS (SELECT DISTINCT p_partkey AS k, p_partkey AS v, '' AS letters FROM part UNION ALL SELECT k, (v - 1) // 26, chr(CAST(65 + (v - 1) % 26 AS INT)) || letters FROM l WHERE v > 0),
+s AS (SELECT p_partkey AS k, p_partkey % 4200 AS m, p_partkey * 977 AS bytes, p_partkey % 40000 + 61.5 AS serial, CASE WHEN p_partkey > 0 THEN letters ELSE CAST(p_partkey AS VARCHAR) END AS letters FROM part JOIN l ON p_partkey = k AND v <= 0),
+u AS (SELECT *, CASE WHEN bytes < 1048576 THEN 1024.0 WHEN bytes < 1073741824 THEN 1048576.0 ELSE 1073741824.0 END AS unit FROM s),
+f AS (SELECT *, CAST(bytes AS DOUBLE) / CAST(unit AS DOUBLE) AS share, CASE unit WHEN 1024 THEN ' KB' WHEN 1048576 THEN ' MB' ELSE ' GB' END AS sign FROM u)
+SELECT k, CASE WHEN bytes < 1024 THEN bytes || ' B' WHEN share >= 100 THEN printf('%.0f', round(share)) || sign ELSE printf('%.1f', round(share, 1)) || sign END AS size,
+CASE WHEN m > 0 AND m < 4000 THEN repeat('M', CAST(m // 1000 AS INT)) || ['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC', 'DCCC', 'CM'][m // 100 % 10 + 1] || ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'][m // 10 % 10 + 1] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][m % 10 + 1] ELSE CAST(m AS VARCHAR) END AS roman,
+letters, CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(letters, ''), lambda c: CAST(ascii(c) - 64 AS BIGINT))), lambda a, c: a * 26 + c) - 1 AS BIGINT) AS back,
+CASE WHEN serial >= 0 THEN TIMESTAMP '1899-12-30' + to_milliseconds(CAST((serial + CASE WHEN serial < 61 THEN 1 ELSE 0 END) * 86400000 AS BIGINT)) END AS day FROM f""",
+)
+def number_forms_all(spark, sf_dir):
+    """F30, F34, F35, F37 for every key, of any number of letters; keys that are not positive stay digits."""
+    return _number_forms(table(spark, sf_dir, "part"))
 
 
 @query("relative_dates", "SELECT o_orderkey, CASE WHEN d = 1 THEN 'Yesterday' WHEN d < 7 AND d <> 0 THEN dayname(o_orderdate) WHEN d = 0 THEN 'Today' WHEN year(o_orderdate) = 1997 THEN strftime(o_orderdate, '%b %-d') ELSE strftime(o_orderdate, '%b %-d, %Y') END AS label FROM (SELECT *, date_diff('day', CAST(o_orderdate AS DATE), DATE '1997-06-15') AS d FROM orders)")

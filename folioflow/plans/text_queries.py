@@ -97,11 +97,24 @@ def html_text(spark, sf_dir):
 CASE WHEN regexp_matches(line, '^[#>=+\-|]') THEN '\' || line ELSE regexp_replace(line, '^(\d{{1,9}})([.)])', '\1\\\2') END AS line_start FROM lines WHERE NOT contains(line, '&')""",
 )
 def escaped_markdown(spark, sf_dir):
-    """F15; the ampersand rule has its own tests."""
-    lines = document_lines(table(spark, sf_dir, "documents")).where(~F.contains("line", F.lit("&")))
+    """F15 for lines without an ampersand; all lines are in ``escaped_markdown_all``."""
+    return _escaped_markdown(document_lines(table(spark, sf_dir, "documents")).where(~F.contains("line", F.lit("&"))))
+
+
+def _escaped_markdown(lines):
     return lines.select("doc_id", "line_no", t.markdown_escape(F.col("line"), pipes=True).alias("escaped"), t.markdown_line_start(F.col("line")).alias("line_start"))
 
 
+@query(
+    "escaped_markdown_all",
+    rf"""WITH {LINES} SELECT doc_id, CAST(line_no AS INT) AS line_no, regexp_replace(regexp_replace(line, '([\\`*_\[\]<>~|])', '\\\1', 'g'), '&((#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);)', '\\&\1', 'g') AS escaped,
+CASE WHEN regexp_matches(line, '^[#>=+\-|]') THEN '\' || line ELSE regexp_replace(line, '^(\d{{1,9}})([.)])', '\1\\\2') END AS line_start FROM lines""",
+)
+def escaped_markdown_all(spark, sf_dir):
+    """F15 for every line, with the rule for entities."""
+    return _escaped_markdown(document_lines(table(spark, sf_dir, "documents")))
+
+
 @query(
     "safe_links",
     rf"""WITH p AS (SELECT page_id, unnest([url, ' ' || url, 'javascript:alert(1)', 'mailto:a@b.c', '/relative', 'data:' || url, '']) AS link FROM pages), q AS (SELECT page_id, link, nullif({TRIM.format('link')}, '') AS l FROM p)

@@ -25,3 +25,17 @@ def test_number_forms_of_every_part(spark, con, tmp_path):
         compare(found, con, ORACLES["number_forms_all"])
     finally:
         con.execute("DROP VIEW temp.part")
+
+
+def test_markdown_of_lines_with_ampersands(spark, con, tmp_path):
+    lines = ["AT&T & you", "&amp; and &#38; and &#x26;", "&amp;&lt;&copy", "a&b;c&;", "# &x1; *b*", "12. & [x]", "plain", "", "&&nbsp;;"]
+    spark.createDataFrame([(1, "\n".join(lines)), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["escaped_markdown_all"](spark, str(tmp_path))
+    escaped = {r["line_no"]: r["escaped"] for r in found.collect()}
+    assert len(escaped) == len(lines)
+    assert escaped[0] == "AT&T & you" and escaped[1] == r"\&amp; and \&#38; and \&#x26;" and escaped[2] == r"\&amp;\&lt;&copy" and escaped[8] == r"&\&nbsp;;"
+    con.execute(f"CREATE OR REPLACE TEMP VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    try:
+        compare(found, con, ORACLES["escaped_markdown_all"])
+    finally:
+        con.execute("DROP VIEW temp.documents")

@@ -320,11 +320,21 @@ def cascade_deleted(spark, sf_dir):
 
 @query("split_ranges", "SELECT r.first, r.last, o_orderkey FROM (SELECT unnest(range(1, 200, 15)) AS first, unnest(range(1, 200, 15)) + 19 AS last) r JOIN orders ON o_orderkey BETWEEN r.first AND r.last")
 def split_ranges(spark, sf_dir):
-    """Overlapping ranges of pages."""
+    """Overlapping ranges of the first pages; ``split_ranges_all`` covers every one."""
     ranges = spark.range(1, 200, 15).select(F.col("id").alias("first"), (F.col("id") + 19).alias("last"))
     return j.split_ranges(table(spark, sf_dir, "orders").select("o_orderkey"), ranges, "o_orderkey").select("first", "last", "o_orderkey")
 
 
+@query("split_ranges_all", "SELECT r.first, r.last, o_orderkey FROM (SELECT unnest(range(low, high + 1, 15)) AS first, unnest(range(low, high + 1, 15)) + 19 AS last FROM (SELECT min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders)) r JOIN orders ON o_orderkey BETWEEN r.first AND r.last")
+def split_ranges_all(spark, sf_dir):
+    """Overlapping ranges from the least to the largest key, so that every row is in one or two."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    low, high = orders.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    ranges = spark.range(0, 0) if low is None else spark.range(low, high + 1, 15)
+    ranges = ranges.select(F.col("id").alias("first"), (F.col("id") + 19).alias("last"))
+    return j.split_ranges(orders, ranges, "o_orderkey").select("first", "last", "o_orderkey")
+
+
 @query("organised_pages", "WITH s AS (SELECT c_custkey AS out, i AS pos, CASE WHEN i % 3 <> 2 THEN c_custkey END AS file, i % 2 + 1 AS index FROM customer, (SELECT unnest(range(0, 6)) AS i)), p AS (SELECT o_custkey AS file, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS index, o_orderkey FROM orders) SELECT out, CAST(pos AS BIGINT) AS position, o_orderkey FROM s LEFT JOIN p ON s.file = p.file AND s.index = p.index")
 def organised_pages(spark, sf_dir):
     """Order lists as documents, with repeats and blanks."""

@@ -39,3 +39,11 @@ def test_markdown_of_lines_with_ampersands(spark, con, tmp_path):
         compare(found, con, ORACLES["escaped_markdown_all"])
     finally:
         con.execute("DROP VIEW temp.documents")
+
+
+def test_ranges_reach_every_order(spark, tmp_path):
+    found = QUERIES["split_ranges_all"](spark, SF)
+    keys = {r["o_orderkey"] for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey").collect()}
+    assert {r["o_orderkey"] for r in found.collect()} == keys
+    spark.createDataFrame([], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    assert QUERIES["split_ranges_all"](spark, str(tmp_path)).count() == 0

@@ -64,6 +64,7 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
     sharpness: float = 4.0
+    usual: np.ndarray | None = None
 
     def scores(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The language of each text and its share of the soft maximum; und and 0 without letters."""
@@ -75,6 +76,21 @@ class Model:
         best = share.argmax(1)
         return [self.languages[k] if m else "und" for k, m in zip(best, n)], np.where(n > 0, share.max(1), 0.0)
 
+    def familiarity(self, texts: list[str | None]) -> np.ndarray:
+        """How usual the buckets of each text are in the language where they are most so; -inf without letters or learnt languages.
+
+        The mean, over the buckets that a text shows, of the logarithm of the share
+        of a language's learnt texts that show them too. Unlike a margin it doesn't
+        depend on what other languages there are.
+        """
+        out = np.full(len(texts), -np.inf)
+        if self.usual is not None:
+            for k in range(0, len(texts), 128):
+                shown = presence(texts[k : k + 128])
+                n = shown.sum(1)
+                out[k : k + 128] = np.where(n > 0, (shown @ self.usual).max(1) / np.maximum(n, 1), -np.inf)
+        return out
+
 
 def fit(bits: np.ndarray, languages: list[str], landmarks: int = 256, ridge: float = 1e-2) -> Model:
     """One-versus-rest kernel ridge regression in the Nyström space of the first rows of each language.
@@ -110,7 +126,11 @@ def fit(bits: np.ndarray, languages: list[str], landmarks: int = 256, ridge: flo
     middle, goal = (weight * phi).sum(0) / weight.sum(), (weight * target).sum(0) / weight.sum()
     centred = phi - middle
     solved = np.linalg.solve(centred.T @ (weight * centred) + ridge * len(y) * np.eye(phi.shape[1]) / phi.shape[1], centred.T @ (weight * (target - goal)))
-    return Model(names, (marks.T.astype(float) @ (whiten @ solved)).astype(np.float32), goal - middle @ solved)
+    usual = np.zeros((1 << BITS, len(names)))
+    for k in range(0, len(bits), 512):
+        usual += np.unpackbits(bits[k : k + 512], axis=1).astype(np.float32).T @ (target[k : k + 512] > 0).astype(np.float32)
+    usual = np.log((usual + 0.5) / ((target > 0).sum(0) + 1)).astype(np.float32)
+    return Model(names, (marks.T.astype(float) @ (whiten @ solved)).astype(np.float32), goal - middle @ solved, usual=usual)
 
 
 def train(labelled: DataFrame, per_language: int = 1500, landmarks: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -163,3 +183,39 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages, pa.string()), pa.array(np.concatenate(shares) if shares else np.empty(0), pa.float64())], names=[*names, "lang_pred", "score"])
 
     return kept.mapInArrow(score, schema)
+
+
+def least_familiarity(held_out: DataFrame, model: Model, lost: float, rows: int = 6000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
+    """A familiarity that at most a share ``lost`` of the labelled ``held_out`` texts with letters stay below.
+
+    It lies under that quantile by a quarter of its distance from the median, as
+    few held-out texts put the quantile too high. About ``rows`` of them are scored,
+    picked by a hash of the id; without any, every text with letters passes.
+    """
+    prepare(held_out.sparkSession)
+    shown = held_out.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    space, n = 1 << 30, shown.count()
+    picked = shown.where(F.pmod(F.xxhash64(F.col("id"), F.lit("held out")), F.lit(space)) < min(space, space * rows // max(n, 1)))
+
+    def familiar(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(model.familiarity(batch.column(1).to_pylist()), pa.float64())], names=["familiarity"])
+
+    found = np.array([r["familiarity"] for r in picked.mapInArrow(familiar, "familiarity double").collect()], float)
+    found = found[np.isfinite(found)]
+    if not len(found):
+        return -np.finfo(float).max
+    low = float(np.quantile(found, lost, method="lower"))
+    return low - (float(np.median(found)) - low) / 4
+
+
+def recognised(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a familiarity of ``least`` or more; nothing is shuffled."""
+    prepare(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def keep(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(model.familiarity(batch.column(at).to_pylist()) >= least))
+
+    return docs.mapInArrow(keep, docs.schema)

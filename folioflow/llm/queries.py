@@ -64,9 +64,14 @@ def language_model(docs: DataFrame) -> language_id.Model:
     return language_id.train(docs.where(crc32_of("doc_id") % 5 != 0), per_language=1500, landmarks=256)
 
 
+def held_out():
+    """Whether a row is of the fold that ``language_model`` doesn't learn from."""
+    return F.coalesce(crc32_of("doc_id") % 5 == 0, F.lit(False))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    picked = docs.select("doc_id", "text", F.coalesce(crc32_of("doc_id") % 5 == 0, F.lit(False)).alias("held_out"))
+    picked = docs.select("doc_id", "text", held_out().alias("held_out"))
     return language_id.predict(picked, language_model(docs)).drop("text")
 
 

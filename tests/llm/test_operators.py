@@ -206,3 +206,15 @@ def test_pipeline_keeps_clean_documents_once(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"] for r in out.select("doc_id").collect()} == {r["doc_id"] for r in left}
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).agg(F.max("n")).first()[0] <= 4096
+
+
+@pytest.mark.parametrize("languages", [["de", "en"], ["de", "en", "fr"], ["de", "en", "es", "fr"]])
+def test_pipeline_rejects_texts_in_no_learned_language(spark, languages):
+    import corpus_pipeline
+
+    foreign = ["Καλημέρα κόσμε, τι κάνεις σήμερα το πρωί", "Привет мир, как дела сегодня утром в городе", "今日はとても良い天気ですね 明日も晴れるでしょう", "xqz vkjw qqzx wvkx zzkq jxqv kwzz", "Hyvää huomenta kaikille, miten teillä menee tänään", "123 !!"]
+    docs = table(spark, "/root/testdata/sf0.01", "documents").where(F.col("lang").isin(languages) & F.col("text").rlike("[a-z]{2}"))
+    strange = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(foreign)], "doc_id long, text string")
+    kept = corpus_pipeline.language(spark, docs.unionByName(strange, allowMissingColumns=True), "/root/testdata/sf0.01")
+    assert kept.where("doc_id < 0").count() == 0
+    assert kept.count() >= 0.995 * docs.count()

@@ -54,6 +54,18 @@ def test_best_fit_keeps_every_capacity():
             assert len(set(bins)) <= len(room)
 
 
+@pytest.mark.parametrize(("docs", "cost", "share"), [(3, 1e4, "docs"), (1000, 2600.0, "cost")])
+def test_best_fit_where_documents_or_cost_bind(docs, cost, share):
+    random.seed(2)
+    lengths = np.array([random.randint(1, 20) if share == "docs" else random.randint(30, 50) for _ in range(500)])
+    bins, _ = packing.best_fit(lengths, 100, docs, cost)
+    tokens, count, squares = np.bincount(bins, lengths), np.bincount(bins), np.bincount(bins, lengths.astype(float) ** 2)
+    assert tokens.max() <= 100 and count.max() <= docs and squares.max() <= cost + 1e-6
+    assert count.max() == docs if share == "docs" else squares.max() > 0.9 * cost
+    free = packing.best_fit(lengths, 100, 1000, 1e4)[0]
+    assert bins.max() > free.max()
+
+
 def _lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:

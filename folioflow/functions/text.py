@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 # Patterns that decide what counts as white space, a page number, a
 # list marker, a heading, a caption, a sentence end or a hyphenated line end.
 WS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+BLANKS = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 PAGE_NUMBER = r"^[\s\-–—|]*\d{1,4}[\s\-–—|]*$"
 PAGE_OF = r"(?i)^(page|p\.|pg\.?)\s*\d{1,4}(\s*(of|/)\s*\d{1,4})?$"
 PAGE_RATIO = r"(?i)^\d{1,4}\s*(of|/)\s*\d{1,4}$"
@@ -65,7 +66,7 @@ def word_count(c: Column) -> Column:
 
 def joined_lines(c: Column) -> Column:
     """Lines of a paragraph as one: soft hyphens go, a hyphen before a small letter goes, else a space parts them."""
-    lines = F.regexp_replace(F.regexp_replace(c, f"{WS}*\\n{WS}*", "\n"), f"^{WS}+|{WS}+$", "")
+    lines = F.array_join(F.filter(F.transform(F.split(c, "\n", -1), lambda x: F.trim(x, F.lit(BLANKS))), lambda x: x != ""), "\n")
     soft = F.regexp_replace(lines, r"\x{AD}\n", "")
     small = F.regexp_replace(soft, '(\\p{L})[-‐]\\n(?=["“‘(\\[]*\\p{Ll})', "$1")
     hyphen = F.regexp_replace(small, "(\\p{L}[-‐])\\n", "$1")

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def weighted_mode(df: DataFrame, keys: list[str], value: str, weight: Column, first_seen: str | None = None) -> DataFrame:
-    """The value with the most weight a group: of equals the smallest, or the one with the least ``first_seen``.
+    """The value with the most weight a group: of equals the one with the least ``first_seen``, if given, then the smallest.
 
     Pre-aggregates by value, so a group's rows never meet in one task, only its values.
     """
     sums = df.groupBy(*keys, value).agg(F.sum(weight).alias("weight"), *([F.min(first_seen).alias("_first")] if first_seen else []))
-    order = F.struct((-F.col("weight")).alias("w"), F.col("_first" if first_seen else value).alias("o"))
+    order = F.struct((-F.col("weight")).alias("w"), *([F.col("_first").alias("f")] if first_seen else []), F.col(value).alias("v"))
     return sums.groupBy(*keys).agg(F.min_by(value, order).alias(value), F.max("weight").alias("weight"))
 
 
@@ -21,10 +23,22 @@ def majority(flag: Column, weight: Column) -> Column:
     return F.sum(F.when(flag, weight).otherwise(0)) * 2 > F.sum(weight)
 
 
-def floor_percentile(values: Column, q: float) -> Column:
-    """Element number floor((n - 1) q) of the sorted values of a group."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.element_at(ordered, (F.floor((F.size(ordered) - 1) * F.lit(q)) + 1).cast("int"))
+def placed_values(df: DataFrame, keys: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """For each group the sorted values at places 0 to n - 1, each a function of the group's size n; nulls are left out.
+
+    Counts by value add up to places, so no group's values ever stand in one row.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*keys)
+    upto = F.sum("_n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    counted = counts.withColumn("_all", F.sum("_n").over(group)).withColumn("_upto", upto)
+    first = (F.min(F.when(F.col("_upto") > place(F.col("_all")), F.col(value))).alias(name) for name, place in places.items())
+    return counted.groupBy(*keys).agg(*first)
+
+
+def at_share(q: float) -> Callable[[Column], Column]:
+    """The place floor((n - 1) q)."""
+    return lambda n: F.floor((n - 1) * F.lit(q))
 
 
 def repeated_margins(margins: DataFrame, keys: list[str], page: str, text: str, share: float = 0.4) -> DataFrame:

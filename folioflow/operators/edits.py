@@ -74,9 +74,9 @@ def without_artifacts(ops: DataFrame, keys: list[str], order: str, opens: Column
     # a mark of ours at depth d ends at the first closing mark that brings the depth to d - 1
     starts = held.where("_opens").select(*keys, F.col(order).alias("_from"), F.col("_depth").alias("_at"))
     ends = held.where("_closes").select(*keys, F.col(order).alias("_to"), (F.col("_depth") + 1).alias("_at"))
-    by_depth = Window.partitionBy(*keys, "_at").orderBy("_place", "_end")
+    from_behind = Window.partitionBy(*keys, "_at").orderBy(F.desc("_place"), F.desc("_end"))
     marks = starts.select(*keys, "_at", F.col("_from").alias("_place"), F.lit(0).alias("_end")).union(ends.select(*keys, "_at", F.col("_to").alias("_place"), F.lit(1).alias("_end")))
-    pairs = marks.withColumn("_last", F.min(F.when(F.col("_end") == 1, F.col("_place"))).over(by_depth.rowsBetween(0, Window.unboundedFollowing))).where("_end = 0")
+    pairs = marks.withColumn("_last", F.min(F.when(F.col("_end") == 1, F.col("_place"))).over(from_behind.rowsBetween(Window.unboundedPreceding, 0))).where("_end = 0")
     reach = pairs.groupBy(*keys, F.col("_place").alias(order)).agg(F.max(F.coalesce("_last", F.lit((1 << 62)))).alias("_last"))
     marked = held.join(reach, [*keys, order], "left").withColumn("_until", F.max("_last").over(upto))
     return marked.where(F.col("_until").isNull() | (F.col(order) > F.col("_until"))).select(ops.columns)

@@ -31,9 +31,12 @@ def islands(df: DataFrame, starts: Column, keys: list[str], order: list[str], na
 
 def bands(df: DataFrame, low: str, high: str, gap: Column, keys: list[str]) -> DataFrame:
     """Intervals grouped where none of the earlier ones reaches within ``gap`` of the next."""
-    reach = F.max(high).over(Window.partitionBy(*keys).orderBy(low, high).rowsBetween(Window.unboundedPreceding, -1))
-    flagged = df.withColumn("_reach", reach)
-    return islands(flagged, F.col("_reach").isNull() | (F.col(low) - F.col("_reach") > gap), keys, [low, high], "band").drop("_reach")
+    by = Window.partitionBy(*keys).orderBy(low, high)
+    reach = F.max(high).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.col("_reach").isNull() | (F.col(low) - F.col("_reach") > gap)
+    # equal intervals are one step of the frame, so that their order says nothing
+    band = F.sum(F.when(starts, 1).otherwise(0)).over(by.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return df.withColumn("_reach", reach).withColumn("band", band.cast("int")).drop("_reach")
 
 
 def moving(kind: str, column: str, radius: int, keys: list[str], order: list[str]) -> Column:
@@ -54,8 +57,25 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str = "n")
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
-def evicted(df: DataFrame, keys: list[str], newest_first: list[Column], size: str, most: int, most_bytes: int) -> DataFrame:
-    """Cache entries that go: beyond the newest ``most`` or past ``most_bytes`` in all."""
+def evicted(df: DataFrame, keys: list[str], newest_first: list[Column], key: str, size: str, most: int, most_bytes: int) -> DataFrame:
+    """Cache entries that go: beyond the newest ``most`` or past ``most_bytes`` in all.
+
+    What stays is among the newest ``most`` of each group, which Spark limits before
+    it shuffles; all others go by an anti join on ``key``, so no group is sorted whole.
+    """
     frame = Window.partitionBy(*keys).orderBy(*newest_first)
-    numbered = df.withColumn("_n", F.row_number().over(frame)).withColumn("_sum", F.sum(size).over(frame.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.where((F.col("_n") > most) | (F.col("_sum") > most_bytes)).drop("_n", "_sum")
+    newest = df.withColumn("_n", F.row_number().over(frame)).where(F.col("_n") <= most)
+    upto = newest.withColumn("_sum", F.sum(size).over(Window.partitionBy(*keys).orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)))
+    return df.join(upto.where(F.coalesce(F.col("_sum"), F.lit(0)) <= most_bytes).select(key), key, "left_anti")
+
+
+def next_at_most(df: DataFrame, keys: list[str], order: str, level: str, levels: int) -> Column:
+    """The order of the next row whose level is at most this row's, of ``levels`` levels; null where there is none.
+
+    One backward running frame a level, so a group costs its rows and not their pairs.
+    """
+    later = Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    found = F.lit(None).cast(df.schema[order].dataType)
+    for n in range(levels, 0, -1):
+        found = F.when(F.col(level) == n, F.last(F.when(F.col(level) <= n, F.col(order)), ignorenulls=True).over(later)).otherwise(found)
+    return found

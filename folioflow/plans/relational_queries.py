@@ -52,11 +52,9 @@ SELECT x.l_orderkey, x.i, coalesce(min(y.i), 1 + any_value(m.last)) AS section_e
 )
 def section_end(spark, sf_dir):
     """The next heading of the same level or a higher one, else the end."""
-    heads = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("i"), (F.col("l_linenumber") % 3 + 1).alias("level"))
-    x, y = heads.alias("x"), heads.alias("y")
-    last = heads.groupBy("l_orderkey").agg(F.max("i").alias("last"))
-    ends = x.join(y, (F.col("x.l_orderkey") == F.col("y.l_orderkey")) & (F.col("y.i") > F.col("x.i")) & (F.col("y.level") <= F.col("x.level")), "left").groupBy(F.col("x.l_orderkey").alias("l_orderkey"), F.col("x.i").alias("i")).agg(F.min("y.i").alias("e"))
-    return ends.join(last, "l_orderkey").select("l_orderkey", "i", F.coalesce("e", F.col("last") + 1).alias("section_end"))
+    heads = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("i"), (F.col("l_linenumber") % 3 + 1).alias("level")).distinct()
+    last = F.max("i").over(Window.partitionBy("l_orderkey"))
+    return heads.select("l_orderkey", "i", F.coalesce(w.next_at_most(heads, ["l_orderkey"], "i", "level", 3), last + 1).alias("section_end"))
 
 
 @query("page_starts", "WITH p AS (SELECT event_id, user_id, CASE WHEN event_id % 4 <> 0 THEN event_id // 50 END AS page FROM events), q AS (SELECT *, last_value(page IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM p) SELECT event_id, page FROM q WHERE page IS NOT NULL AND (previous IS NULL OR page <> previous)")
@@ -71,7 +69,7 @@ def page_starts(spark, sf_dir):
     "interval_bands",
     """WITH x AS (SELECT l_suppkey, l_orderkey, l_linenumber, date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) AS low, date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) + CAST(l_quantity AS INT) % 7 AS high FROM lineitem),
 y AS (SELECT *, max(high) OVER (PARTITION BY l_suppkey ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x),
-z AS (SELECT *, sum(CASE WHEN reach IS NULL OR low - reach > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS band FROM y)
+z AS (SELECT *, sum(CASE WHEN reach IS NULL OR low - reach > 3 THEN 1 ELSE 0 END) OVER (PARTITION BY l_suppkey ORDER BY low, high RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS band FROM y)
 SELECT l_suppkey, CAST(band AS INT) AS band, CAST(min(low) AS INT) AS low, CAST(max(high) AS INT) AS high, count(*) AS n FROM z GROUP BY l_suppkey, band""",
 )
 def interval_bands(spark, sf_dir):
@@ -98,7 +96,7 @@ def page_labels(spark, sf_dir):
 def cache_eviction(spark, sf_dir):
     """A cache of 30 entries and 60,000 bytes for each source."""
     docs = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
-    return w.evicted(docs, ["source"], [F.desc("doc_id")], "n_chars", 30, 60_000).select("source", "doc_id")
+    return w.evicted(docs, ["source"], [F.desc("doc_id")], "doc_id", "n_chars", 30, 60_000).select("source", "doc_id")
 
 
 @query("debounced", "SELECT event_id, user_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next FROM events) WHERE next IS NULL OR epoch_us(next) - epoch_us(ts) > 400000")
@@ -153,7 +151,7 @@ def weighted_mode_size(spark, sf_dir):
     return a.weighted_mode(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity", F.col("l_linenumber"))
 
 
-@query("line_style", "WITH s AS (SELECT l_orderkey, l_returnflag, sum(greatest(1, CAST(l_quantity AS BIGINT))) AS weight, min(l_linenumber) AS f FROM lineitem GROUP BY 1, 2), m AS (SELECT l_orderkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY weight DESC, f) AS r FROM s) SELECT m.l_orderkey, m.l_returnflag, v.bold FROM m JOIN (SELECT l_orderkey, sum(CASE WHEN l_linestatus = 'O' THEN CAST(l_quantity AS BIGINT) ELSE 0 END) * 2 > sum(CAST(l_quantity AS BIGINT)) AS bold FROM lineitem GROUP BY 1) v USING (l_orderkey) WHERE r = 1")
+@query("line_style", "WITH s AS (SELECT l_orderkey, l_returnflag, sum(greatest(1, CAST(l_quantity AS BIGINT))) AS weight, min(l_linenumber) AS f FROM lineitem GROUP BY 1, 2), m AS (SELECT l_orderkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY weight DESC, f, l_returnflag) AS r FROM s) SELECT m.l_orderkey, m.l_returnflag, v.bold FROM m JOIN (SELECT l_orderkey, sum(CASE WHEN l_linestatus = 'O' THEN CAST(l_quantity AS BIGINT) ELSE 0 END) * 2 > sum(CAST(l_quantity AS BIGINT)) AS bold FROM lineitem GROUP BY 1) v USING (l_orderkey) WHERE r = 1")
 def line_style(spark, sf_dir):
     """A2, A3: dominant style, ties to the first seen, and weighted majority."""
     x = table(spark, sf_dir, "lineitem")
@@ -186,10 +184,12 @@ def size_levels(spark, sf_dir):
 
 @query("line_pitch", "SELECT l_suppkey, list_sort(list(l_quantity))[CAST(floor((count(*) - 1) * 0.35) AS BIGINT) + 1] AS p35, median(l_extendedprice) AS middle, list_sort(list(l_quantity))[count(*) // 2 + 1] AS upper_median FROM lineitem GROUP BY l_suppkey")
 def line_pitch(spark, sf_dir):
-    """Floor-index percentile, median and upper median."""
-    ordered = F.array_sort(F.collect_list("l_quantity"))
-    upper = F.element_at(ordered, (F.floor(F.size(ordered) / 2) + 1).cast("int"))
-    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(a.floor_percentile(F.col("l_quantity"), 0.35).alias("p35"), F.percentile("l_extendedprice", F.lit(0.5)).alias("middle"), upper.alias("upper_median"))
+    """Floor-index percentile, median and upper median, from counts by value."""
+    lines = table(spark, sf_dir, "lineitem")
+    half = {"low": lambda n: F.floor((n - 1) / 2), "high": lambda n: F.floor(n / 2)}
+    pitch = a.placed_values(lines, ["l_suppkey"], "l_quantity", {"p35": a.at_share(0.35), "upper_median": half["high"]})
+    middle = a.placed_values(lines, ["l_suppkey"], "l_extendedprice", half)
+    return pitch.join(middle, "l_suppkey").select("l_suppkey", "p35", (F.col("low") + (F.col("high") - F.col("low")) * 0.5).alias("middle"), "upper_median")
 
 
 BYTES = "SELECT vec_id, label, unnest([CAST(greatest(0, least(255, floor((v + 1) * 128))) AS INT) FOR v IN embedding]) AS v FROM embeddings"
@@ -318,21 +318,17 @@ def cascade_deleted(spark, sf_dir):
     return j.without(notes, keys, ["id"], child_of="parent").select("id", "l_linenumber")
 
 
-@query("split_ranges", "SELECT r.first, r.last, o_orderkey FROM (SELECT unnest(range(1, 200, 15)) AS first, unnest(range(1, 200, 15)) + 19 AS last) r JOIN orders ON o_orderkey BETWEEN r.first AND r.last")
-def split_ranges(spark, sf_dir):
-    """Overlapping ranges of the first pages; ``split_ranges_all`` covers every one."""
-    ranges = spark.range(1, 200, 15).select(F.col("id").alias("first"), (F.col("id") + 19).alias("last"))
-    return j.split_ranges(table(spark, sf_dir, "orders").select("o_orderkey"), ranges, "o_orderkey").select("first", "last", "o_orderkey")
+SPLIT_RANGES = "SELECT r.first, r.last, o_orderkey FROM (SELECT unnest(range(low, high + 1, 15)) AS first, unnest(range(low, high + 1, 15)) + 19 AS last FROM (SELECT min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders)) r JOIN orders ON o_orderkey BETWEEN r.first AND r.last"
 
 
-@query("split_ranges_all", "SELECT r.first, r.last, o_orderkey FROM (SELECT unnest(range(low, high + 1, 15)) AS first, unnest(range(low, high + 1, 15)) + 19 AS last FROM (SELECT min(o_orderkey) AS low, max(o_orderkey) AS high FROM orders)) r JOIN orders ON o_orderkey BETWEEN r.first AND r.last")
-def split_ranges_all(spark, sf_dir):
+@query("split_ranges", SPLIT_RANGES)
+@query("split_ranges_all", SPLIT_RANGES)
+def split_ranges(spark, sf_dir):
     """Overlapping ranges from the least to the largest key, so that every row is in one or two."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    low, high = orders.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
-    ranges = spark.range(0, 0) if low is None else spark.range(low, high + 1, 15)
-    ranges = ranges.select(F.col("id").alias("first"), (F.col("id") + 19).alias("last"))
-    return j.split_ranges(orders, ranges, "o_orderkey").select("first", "last", "o_orderkey")
+    ends = orders.agg(F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high")).where("low is not null")
+    first = ends.select(F.explode(F.sequence("low", "high", F.lit(15))).alias("first"))
+    return j.split_ranges(orders, first.withColumn("last", F.col("first") + 19), "o_orderkey").select("first", "last", "o_orderkey")
 
 
 @query("organised_pages", "WITH s AS (SELECT c_custkey AS out, i AS pos, CASE WHEN i % 3 <> 2 THEN c_custkey END AS file, i % 2 + 1 AS index FROM customer, (SELECT unnest(range(0, 6)) AS i)), p AS (SELECT o_custkey AS file, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS index, o_orderkey FROM orders) SELECT out, CAST(pos AS BIGINT) AS position, o_orderkey FROM s LEFT JOIN p ON s.file = p.file AND s.index = p.index")
@@ -376,12 +372,13 @@ def library_search(spark, sf_dir):
 
 @query("moved_paths", "WITH p AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pages) SELECT page_id, CASE WHEN path = f OR starts_with(path, f || '/') THEN 'moved' || substr(path, length(f) + 1) ELSE path END AS path, regexp_extract(path, '([^/]*)$', 1) AS file FROM p, (SELECT min(regexp_extract(path, '^([^/]*)', 1)) AS f FROM p) x")
 def moved_paths(spark, sf_dir):
-    """A prefix rewritten."""
+    """A prefix rewritten; the old prefix is a scalar subquery."""
     p = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^https?://", "").alias("path"))
-    old = p.agg(F.min(F.regexp_extract("path", "^([^/]*)", 1))).first()[0] or ""
-    under = (F.col("path") == old) | F.col("path").startswith(old + "/")
-    new = F.when(under, F.concat(F.lit("moved"), F.substring("path", len(old) + 1, 1 << 20))).otherwise(F.col("path"))
-    return p.select("page_id", new.alias("path"), b.file_of(F.col("path")).alias("file"))
+    old = p.agg(F.coalesce(F.min(F.regexp_extract("path", "^([^/]*)", 1)), F.lit("")).alias("old"))
+    held = p.select("page_id", "path", old.scalar().alias("old"))
+    under = (F.col("path") == F.col("old")) | F.startswith("path", F.concat("old", F.lit("/")))
+    new = F.when(under, F.concat(F.lit("moved"), F.expr("substring(path, length(old) + 1)"))).otherwise(F.col("path"))
+    return held.select("page_id", new.alias("path"), b.file_of(F.col("path")).alias("file"))
 
 
 @query("page_ranges", "WITH x AS (SELECT o_orderkey, o_orderkey % 7 + 1 AS a, o_custkey % 9 + 1 AS b, o_orderkey % 10 + 1 AS c FROM orders) SELECT o_orderkey, array_to_string(list_sort(list_distinct(list_concat(range(least(a, b), greatest(a, b) + 1), [c]))), ',') AS pages FROM x")
@@ -425,46 +422,29 @@ def file_listing(spark, sf_dir):
 # ---- numbers, geometry, binary
 
 
-@query(
-    "number_forms",
-    """WITH s AS (SELECT p_partkey AS k, p_partkey % 4200 AS m, p_partkey * 977 AS bytes, p_partkey % 3 AS level FROM part)
-SELECT k, CASE WHEN bytes < 1024 THEN bytes || ' B' WHEN bytes < 1048576 THEN CASE WHEN bytes / 1024.0 >= 100 THEN printf('%.0f KB', CAST(bytes / 1024.0 AS DOUBLE)) ELSE printf('%.1f KB', CAST(bytes / 1024.0 AS DOUBLE)) END ELSE CASE WHEN bytes / 1048576.0 >= 100 THEN printf('%.0f MB', CAST(bytes / 1048576.0 AS DOUBLE)) ELSE printf('%.1f MB', CAST(bytes / 1048576.0 AS DOUBLE)) END END AS size,
-CASE WHEN m > 0 AND m < 4000 THEN repeat('M', CAST(m // 1000 AS INT)) || ['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC', 'DCCC', 'CM'][m // 100 % 10 + 1] || ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'][m // 10 % 10 + 1] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][m % 10 + 1] ELSE CAST(m AS VARCHAR) END AS roman,
-CASE WHEN k <= 26 THEN chr(CAST(64 + k AS INT)) WHEN k <= 702 THEN chr(CAST(64 + (k - 1) // 26 AS INT)) || chr(CAST(65 + (k - 1) % 26 AS INT)) WHEN k <= 18278 THEN chr(CAST(64 + (k - 703) // 676 + 1 AS INT)) || chr(CAST(65 + (k - 703) // 26 % 26 AS INT)) || chr(CAST(65 + (k - 703) % 26 AS INT)) ELSE '?' END AS letters, k - 1 AS back,
-TIMESTAMP '1899-12-30' + to_milliseconds(CAST((k % 40000 + 61) * 86400000 + 43200000 AS BIGINT)) AS day FROM s WHERE k BETWEEN 1 AND 18278""",
-)
-def number_forms(spark, sf_dir):
-    """F30, F34, F35, F37, for keys of up to three letters; all others are in ``number_forms_all``."""
-    return _number_forms(table(spark, sf_dir, "part").where(F.col("p_partkey").between(1, 18278)))
-
-
-def _number_forms(part):
-    k = F.col("p_partkey")
-    letters = n.column_letters(k)
-    return part.select(k.alias("k"), n.byte_label(k * 977).alias("size"), n.roman(k % 4200).alias("roman"), letters.alias("letters"), n.column_index(letters).alias("back"), n.serial_date((k % 40000 + 61 + 0.5).cast("double")).cast("timestamp_ntz").alias("day"))
-
-
-@query(
-    "number_forms_all",
-    """WITH RECURSIVE l AS (SELECT DISTINCT p_partkey AS k, p_partkey AS v, '' AS letters FROM part UNION ALL SELECT k, (v - 1) // 26, chr(CAST(65 + (v - 1) % 26 AS INT)) || letters FROM l WHERE v > 0),
+NUMBER_FORMS = """WITH RECURSIVE l AS (SELECT DISTINCT p_partkey AS k, p_partkey AS v, '' AS letters FROM part UNION ALL SELECT k, (v - 1) // 26, chr(CAST(65 + (v - 1) % 26 AS INT)) || letters FROM l WHERE v > 0),
 s AS (SELECT p_partkey AS k, p_partkey % 4200 AS m, p_partkey * 977 AS bytes, p_partkey % 40000 + 61.5 AS serial, CASE WHEN p_partkey > 0 THEN letters ELSE CAST(p_partkey AS VARCHAR) END AS letters FROM part JOIN l ON p_partkey = k AND v <= 0),
 u AS (SELECT *, CASE WHEN bytes < 1048576 THEN 1024.0 WHEN bytes < 1073741824 THEN 1048576.0 ELSE 1073741824.0 END AS unit FROM s),
 f AS (SELECT *, CAST(bytes AS DOUBLE) / CAST(unit AS DOUBLE) AS share, CASE unit WHEN 1024 THEN ' KB' WHEN 1048576 THEN ' MB' ELSE ' GB' END AS sign FROM u)
 SELECT k, CASE WHEN bytes < 1024 THEN bytes || ' B' WHEN share >= 100 THEN printf('%.0f', round(share)) || sign ELSE printf('%.1f', round(share, 1)) || sign END AS size,
 CASE WHEN m > 0 AND m < 4000 THEN repeat('M', CAST(m // 1000 AS INT)) || ['', 'C', 'CC', 'CCC', 'CD', 'D', 'DC', 'DCC', 'DCCC', 'CM'][m // 100 % 10 + 1] || ['', 'X', 'XX', 'XXX', 'XL', 'L', 'LX', 'LXX', 'LXXX', 'XC'][m // 10 % 10 + 1] || ['', 'I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX'][m % 10 + 1] ELSE CAST(m AS VARCHAR) END AS roman,
 letters, CAST(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(letters, ''), lambda c: CAST(ascii(c) - 64 AS BIGINT))), lambda a, c: a * 26 + c) - 1 AS BIGINT) AS back,
-CASE WHEN serial >= 0 THEN TIMESTAMP '1899-12-30' + to_milliseconds(CAST((serial + CASE WHEN serial < 61 THEN 1 ELSE 0 END) * 86400000 AS BIGINT)) END AS day FROM f""",
-)
-def number_forms_all(spark, sf_dir):
+CASE WHEN serial >= 0 THEN TIMESTAMP '1899-12-30' + to_milliseconds(CAST((serial + CASE WHEN serial < 61 THEN 1 ELSE 0 END) * 86400000 AS BIGINT)) END AS day FROM f"""
+
+
+@query("number_forms", NUMBER_FORMS)
+@query("number_forms_all", NUMBER_FORMS)
+def number_forms(spark, sf_dir):
     """F30, F34, F35, F37 for every key, of any number of letters; keys that are not positive stay digits."""
-    return _number_forms(table(spark, sf_dir, "part"))
+    k = F.col("p_partkey")
+    letters = n.column_letters(k)
+    return table(spark, sf_dir, "part").select(k.alias("k"), n.byte_label(k * 977).alias("size"), n.roman(k % 4200).alias("roman"), letters.alias("letters"), n.column_index(letters).alias("back"), n.serial_date((k % 40000 + 61 + 0.5).cast("double")).cast("timestamp_ntz").alias("day"))
 
 
-@query("relative_dates", "SELECT o_orderkey, CASE WHEN d = 1 THEN 'Yesterday' WHEN d < 7 AND d <> 0 THEN dayname(o_orderdate) WHEN d = 0 THEN 'Today' WHEN year(o_orderdate) = 1997 THEN strftime(o_orderdate, '%b %-d') ELSE strftime(o_orderdate, '%b %-d, %Y') END AS label FROM (SELECT *, date_diff('day', CAST(o_orderdate AS DATE), DATE '1997-06-15') AS d FROM orders)")
+@query("relative_dates", "SELECT o_orderkey, CASE WHEN d = 1 THEN 'Yesterday' WHEN d < 7 AND d <> 0 THEN dayname(o_orderdate) WHEN d = 0 THEN 'Today, ' || strftime(o_orderdate, '%-I:%M %p') WHEN year(o_orderdate) = 1997 THEN strftime(o_orderdate, '%b %-d') ELSE strftime(o_orderdate, '%b %-d, %Y') END AS label FROM (SELECT *, date_diff('day', CAST(o_orderdate AS DATE), DATE '1997-06-15') AS d FROM orders)")
 def relative_dates(spark, sf_dir):
-    """F29 with a fixed now; the time of day is left out for today."""
-    label = n.relative_date(F.col("o_orderdate"), F.lit("1997-06-15").cast("date"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(label.startswith("Today"), "Today").otherwise(label).alias("label"))
+    """F29 with a fixed now."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", n.relative_date(F.col("o_orderdate"), F.lit("1997-06-15").cast("date")).alias("label"))
 
 
 @query("geometry_forms", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size * 1.0 WHEN 1 THEN p_retailprice WHEN 2 THEN 612.0 - p_size ELSE 792.0 - p_retailprice END AS x, CASE p_partkey % 4 WHEN 0 THEN 792.0 - p_retailprice WHEN 1 THEN p_size * 1.0 WHEN 2 THEN p_retailprice ELSE 612.0 - p_size END AS y, upper(lpad(to_hex((p_partkey * 7919) % 16777216), 6, '0')) AS rgb, CAST(((p_partkey % 256) * 77 + (p_size % 256) * 150 + 29 * 5) // 256 AS INT) AS luma, round(p_retailprice * 2) / 2 AS half, CASE WHEN p_partkey % 2 = 1 THEN 1 ELSE 0 END + CASE WHEN p_size > 25 THEN 2 ELSE 0 END AS flags FROM part")

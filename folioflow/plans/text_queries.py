@@ -64,10 +64,10 @@ def list_markers(spark, sf_dir):
 @query(
     "dehyphenated",
     r"""WITH l AS (SELECT doc_id, regexp_replace(regexp_replace(replace(text, ' of ', '-' || chr(10)), '\s*\n\s*', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS x FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\x{AD}\n', '', 'g'), '(\p{L})[-‐]\n([\"“‘(\[]*\p{Ll})', '\1\2', 'g'), '(\p{L}[-‐])\n', '\1', 'g'), '\n', ' ', 'g') AS joined FROM l""",
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\x{AD}\n', '', 'g'), '(\p{L})[-‐]\n([\"“‘(\[]*\p{Ll})', '\1\2', 'g'), '(\p{L})[-‐]\n([\"“‘(\[]*\p{Ll})', '\1\2', 'g'), '(\p{L}[-‐])\n', '\1', 'g'), '\n', ' ', 'g') AS joined FROM l""",
 )
 def dehyphenated(spark, sf_dir):
-    """`` of `` stands in for hyphenated line ends, which the texts lack."""
+    """`` of `` stands in for hyphenated line ends, which the texts lack. The SQL joins twice, as one pass takes the letter between two ends."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
     return docs.select("doc_id", t.joined_lines(F.replace("text", F.lit(" of "), F.lit("-\n"))).alias("joined"))
 
@@ -91,28 +91,16 @@ def html_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", t.html_text(F.col("text")).alias("html"))
 
 
-@query(
-    "escaped_markdown",
-    rf"""WITH {LINES} SELECT doc_id, CAST(line_no AS INT) AS line_no, regexp_replace(line, '([\\`*_\[\]<>~|])', '\\\1', 'g') AS escaped,
-CASE WHEN regexp_matches(line, '^[#>=+\-|]') THEN '\' || line ELSE regexp_replace(line, '^(\d{{1,9}})([.)])', '\1\\\2') END AS line_start FROM lines WHERE NOT contains(line, '&')""",
-)
-def escaped_markdown(spark, sf_dir):
-    """F15 for lines without an ampersand; all lines are in ``escaped_markdown_all``."""
-    return _escaped_markdown(document_lines(table(spark, sf_dir, "documents")).where(~F.contains("line", F.lit("&"))))
-
-
-def _escaped_markdown(lines):
-    return lines.select("doc_id", "line_no", t.markdown_escape(F.col("line"), pipes=True).alias("escaped"), t.markdown_line_start(F.col("line")).alias("line_start"))
+ESCAPED_MARKDOWN = rf"""WITH {LINES} SELECT doc_id, CAST(line_no AS INT) AS line_no, regexp_replace(regexp_replace(line, '([\\`*_\[\]<>~|])', '\\\1', 'g'), '&((#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);)', '\\&\1', 'g') AS escaped,
+CASE WHEN regexp_matches(line, '^[#>=+\-|]') THEN '\' || line ELSE regexp_replace(line, '^(\d{{1,9}})([.)])', '\1\\\2') END AS line_start FROM lines"""
 
 
-@query(
-    "escaped_markdown_all",
-    rf"""WITH {LINES} SELECT doc_id, CAST(line_no AS INT) AS line_no, regexp_replace(regexp_replace(line, '([\\`*_\[\]<>~|])', '\\\1', 'g'), '&((#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);)', '\\&\1', 'g') AS escaped,
-CASE WHEN regexp_matches(line, '^[#>=+\-|]') THEN '\' || line ELSE regexp_replace(line, '^(\d{{1,9}})([.)])', '\1\\\2') END AS line_start FROM lines""",
-)
-def escaped_markdown_all(spark, sf_dir):
+@query("escaped_markdown", ESCAPED_MARKDOWN)
+@query("escaped_markdown_all", ESCAPED_MARKDOWN)
+def escaped_markdown(spark, sf_dir):
     """F15 for every line, with the rule for entities."""
-    return _escaped_markdown(document_lines(table(spark, sf_dir, "documents")))
+    lines = document_lines(table(spark, sf_dir, "documents"))
+    return lines.select("doc_id", "line_no", t.markdown_escape(F.col("line"), pipes=True).alias("escaped"), t.markdown_line_start(F.col("line")).alias("line_start"))
 
 
 @query(

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.shared import Workspace
+from folioflow.llm.shared import Workspace, fresh, join_counted
 
 #: Blanks that part words or make up blank lines.
 _BLANKS = " \t\r\f\v\u00a0"
@@ -39,8 +39,8 @@ def _ranked(keys: DataFrame, columns: list[str], rank: str) -> DataFrame:
 def repeated_runs(docs: DataFrame, work: Workspace, min_words: int) -> DataFrame:
     """(d, low, high): the stretches of lines to delete, for documents (d, t)."""
     lines = work.keep(_lines(docs), "lines")
-    often = work.keep(_ranked(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n"), ["h1", "h2"], "r"), "ids")
-    found = lines.join(often, ["h1", "h2"]).select("d", "i", "at", "w", "r")
+    often = work.keep(_ranked(lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1"), ["h1", "h2"], "r"), "ids")
+    found = join_counted(lines, often, ["h1", "h2"]).select("d", "i", "at", "w", "r")
     # only stretches of repeated lines with enough words in all can hold a run
     by_doc = Window.partitionBy("d").orderBy("i")
     islands = found.distinct().withColumn("island", F.col("i") - F.row_number().over(by_doc))
@@ -74,8 +74,8 @@ def repeated_runs(docs: DataFrame, work: Workspace, min_words: int) -> DataFrame
         if k:
             ranks = _doubled(ranks, 1 << (k - 1), work, k)
             work.drop(f"ranks-{k - 1}", f"pairs-{k - 1}")
-        part = _later_copies(stretches.where(F.col("k") == k), ranks, 1 << k)
-        part = work.keep(part, f"copies-{k}")
+        part = work.keep(_later_copies(stretches.where(F.col("k") == k), ranks, 1 << k, work, k), f"copies-{k}")
+        work.drop(f"placed-{k}", f"firsts-{k}")
         copies = part if copies is None else copies.union(part)
     work.drop(f"ranks-{deepest}", f"pairs-{deepest}", "active", "stretches")
     # neighbouring and overlapping stretches become one
@@ -89,18 +89,22 @@ def _doubled(ranks: DataFrame, step: int, work: Workspace, k: int) -> DataFrame:
     """Ranks at twice the depth, for the suffixes whose longer prefix is shared."""
     further = F.first("r").over(Window.partitionBy("d").orderBy("i").rangeBetween(step, step))
     pairs = work.keep(ranks.withColumn("r2", further).where("r2 is not null"), f"pairs-{k}")
-    shared = pairs.groupBy("r", "r2").agg(F.count("*").alias("n")).where("n > 1").select("r", "r2")
-    return work.keep(pairs.join(_ranked(shared, ["r", "r2"], "rank"), ["r", "r2"]).select("d", "i", F.col("rank").alias("r")), f"ranks-{k}")
+    shared = pairs.groupBy("r", "r2").agg(F.count("*").alias("n")).where("n > 1")
+    shared = work.keep(_ranked(shared, ["r", "r2"], "rank"), f"shared-{k}")
+    found = work.keep(join_counted(pairs, shared, ["r", "r2"]).select("d", "i", F.col("rank").alias("r")), f"ranks-{k}")
+    work.drop(f"shared-{k}")
+    return found
 
 
-def _later_copies(stretches: DataFrame, ranks: DataFrame, depth: int) -> DataFrame:
+def _later_copies(stretches: DataFrame, ranks: DataFrame, depth: int, work: Workspace, k: int) -> DataFrame:
     """(d, s, e, low, high) of the stretches that repeat an earlier one without overlapping it."""
     head, tail = ranks.select("d", F.col("i").alias("s"), F.col("r").alias("head")), ranks.select("d", F.col("i").alias("t"), F.col("r").alias("tail"))
     placed = stretches.withColumn("t", F.col("e") - depth + 1).join(head, ["d", "s"]).join(tail, ["d", "t"]).withColumn("size", F.col("e") - F.col("s") + 1)
     interval = ["size", "head", "tail"]
-    first = placed.groupBy(interval).agg(F.min(F.struct("d", "s")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    placed = work.keep(placed, f"placed-{k}")
+    first = work.keep(placed.groupBy(interval).agg(F.min(F.struct("d", "s")).alias("first"), F.count("*").alias("n")).where("n > 1"), f"firsts-{k}")
     later: Column = (F.col("first.d") != F.col("d")) | (F.col("first.s") + F.col("size") <= F.col("s"))
-    return placed.join(first, interval).where(later).select("d", "s", "e", "low", "high")
+    return join_counted(placed, first, interval).where(later).select("d", "s", "e", "low", "high")
 
 
 def without_repeats(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -116,20 +120,28 @@ def without_repeats(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id"
 
     Null texts stay null with 0 lines; empty ones have one. A null id is the least.
     Rows that repeat both id and text are one document and get the same result.
-    Other columns pass through; lines, lines_removed and names starting with
-    ``_line`` are replaced. An empty table gives an empty result.
+    Other columns pass through, but lines and lines_removed are replaced; ``cut_texts``
+    leaves even those. An empty table gives an empty result.
+    """
+    breaks = F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))
+    counted = docs.drop("lines", "lines_removed").withColumn("lines", F.coalesce(breaks + 1, F.lit(0)).cast("int"))
+    cut, runs = cut_texts(counted, min_words, id_col, text_col)
+    removed = F.aggregate(runs, F.lit(0), lambda s, r: s + r["high"] - r["low"] + 1)
+    return cut.withColumn("lines_removed", F.coalesce(removed, F.lit(0))).drop(runs)
+
+
+def cut_texts(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """``docs`` with the texts of ``without_repeats`` and every other column as it was, and one more: the deleted (low, high) line runs, else null.
+
+    The name of that column is returned; it is none that ``docs`` has.
     """
     work = Workspace(docs.sparkSession, "line-dedup")
-    own = docs.drop("lines", "lines_removed")
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
     runs = repeated_runs(docs.select(key.alias("d"), F.col(text_col).alias("t")), work, min_words)
-    gone = work.keep(runs.groupBy("d").agg(F.collect_list(F.struct("low", "high")).alias("_line_runs")).select(F.col("d.id").alias("_line_id"), F.col("d.h").alias("_line_h"), "_line_runs"), "runs")
-    marked = own.withColumn("_line_key", F.xxhash64(text_col))
-    joined = marked.join(gone.hint("shuffle_hash"), (F.col("_line_key") == F.col("_line_h")) & F.col(id_col).eqNullSafe(F.col("_line_id")), "left")
-    cut = F.split(text_col, "\n", -1)
-    kept = F.filter(cut, lambda x, n: ~F.exists("_line_runs", lambda r: n.between(r["low"], r["high"])))
-    changed = F.col("_line_runs").isNotNull()
-    removed = F.aggregate("_line_runs", F.lit(0), lambda s, r: s + r["high"] - r["low"] + 1)
-    columns = [F.when(changed, F.array_join(kept, "\n")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c) for c in own.columns]
-    total = F.coalesce(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1, F.lit(0))
-    return joined.select(*columns, total.cast("int").alias("lines"), F.coalesce(removed, F.lit(0)).alias("lines_removed"))
+    own, other, row, held = fresh(docs, "line_id", "line_h", "line_row", "line_runs")
+    gone = work.keep(runs.groupBy("d").agg(F.collect_list(F.struct("low", "high")).alias(held)).select(F.col("d.id").alias(own), F.col("d.h").alias(other), held), "runs")
+    marked = docs.withColumn(row, F.xxhash64(text_col))
+    joined = marked.join(gone.hint("shuffle_hash"), (F.col(row) == F.col(other)) & F.col(id_col).eqNullSafe(F.col(own)), "left")
+    kept = F.filter(F.split(text_col, "\n", -1), lambda x, n: ~F.exists(held, lambda r: n.between(r["low"], r["high"])))
+    text = F.when(F.col(held).isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text_col))
+    return joined.select(*(text.alias(c) if c == text_col else F.col(c) for c in docs.columns), held), held

@@ -5,31 +5,21 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from folioflow.llm.shared import prepare
+from folioflow.llm.rolling import plain_points, prefix_sums, spelt, window_keys
+from folioflow.llm.shared import Workspace, fresh, prepare
 
-Item = tuple[object, str]
-_plain: list = []
-
-
-def _plain_table() -> np.ndarray:
-    """Code point to its lower case (the first of several), other than letters and digits to a space."""
-    if not _plain:
-        _plain.append(np.fromiter((ord(chr(c).lower()[0]) if chr(c).isalnum() else 32 for c in range(0x110000)), np.uint32, 0x110000))
-    return _plain[0]
+_SEGMENT = 1 << 20
 
 
 def plain(text: str) -> str:
     """Lower case, with one space for each run of anything but letters and digits."""
-    points = _plain_table()[np.frombuffer(f"{text} ".encode("utf-32-le", "surrogatepass"), "<u4")]
-    keep = points != 32
-    keep[1:] |= keep[:-1]
-    return points[keep].tobytes().decode("utf-32-le").rstrip()
+    return spelt(plain_points(text))
 
 
 def budget(length: int, rate: float) -> int:
@@ -76,35 +66,69 @@ def myers(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     return (best, end) if best <= most else None
 
 
+class Pieces:
+    """The pieces of one length: their hashes, sorted, and where in which items each stands."""
+
+    def __init__(self, found: dict[int, list[tuple[int, int]]]):
+        self.keys = np.array(sorted(found), np.uint64)
+        self.places = [found[k] for k in self.keys.tolist()]
+        bits = max(12, min(24, (16 * len(found)).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        self.seen = np.zeros(1 << bits, bool)
+        self.seen[self.keys >> self.shift] = True
+
+    def hits(self, keys: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """(place in ``keys``, (item, offset) of the piece) of the hashes that are a piece's."""
+        at = np.flatnonzero(self.seen[keys >> self.shift])
+        if len(at):
+            own = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
+            same = self.keys[own] == keys[at]
+            for place, k in zip(at[same].tolist(), own[same].tolist()):
+                yield place, self.places[k]
+
+
 class Matcher:
-    """Finds the items of a block in texts, each within its own edit budget."""
+    """Finds the items of a block in texts, each within its own edit budget.
 
-    def __init__(self, items: list[Item], rate: float):
+    Pieces have a handful of lengths, as each is about one part in the error rate:
+    a rolling hash of each length over the text is looked up among theirs.
+    """
+
+    def __init__(self, items: list[tuple[object, str]], rate: float):
         self.items = [(i, p, budget(len(p), rate)) for i, text in items if (p := plain(text))]
-        self.pieces = ahocorasick.Automaton()
-        at: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        by_length: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for k, (_, p, most) in enumerate(self.items):
+            sums = prefix_sums(np.frombuffer(p.encode("utf-32-le"), "<u4"))
+            cuts = defaultdict(list)
             for start, end in cut(len(p), most + 1):
-                at[p[start:end]].append((k, start))
-        for piece, places in at.items():
-            self.pieces.add_word(piece, (len(piece), places))
-        if at:
-            self.pieces.make_automaton()
+                cuts[end - start].append(start)
+            for length, starts in cuts.items():
+                keys = window_keys(sums, length, len(p) - length + 1)[starts]
+                for start, key in zip(starts, keys.tolist()):
+                    by_length[length][key].append((k, start))
+        self.pieces = {length: Pieces(found) for length, found in by_length.items()}
 
     def found(self, text: str) -> list[tuple[int, int]]:
         """(number of the item, least distance) of the items that the text holds."""
         if not self.items:
             return []
-        text, starts = plain(text), defaultdict(list)
-        for last, (length, places) in self.pieces.iter(text):
-            for k, offset in places:
-                starts[k].append(last + 1 - length - offset)
+        points, starts = plain_points(text), defaultdict(list)
+        longest = max(self.pieces)
+        for low in range(0, len(points), _SEGMENT):
+            part = points[low : low + _SEGMENT + longest - 1]
+            sums = prefix_sums(part)
+            for length, pieces in self.pieces.items():
+                count = min(_SEGMENT, len(part) - length + 1)
+                if count > 0:
+                    for at, places in pieces.hits(window_keys(sums, length, count)):
+                        for k, offset in places:
+                            starts[k].append(low + at - offset)
         out = []
         for k, guesses in starts.items():
             _, p, most = self.items[k]
             best = None
             for low, high in windows(sorted(guesses), len(p), most):
-                hit = myers(p, text[max(0, low) : high], most)
+                hit = myers(p, spelt(points[max(0, low) : max(0, high)]), most)
                 if hit and (best is None or hit[0] < best):
                     best = hit[0]
                 if best == 0:
@@ -128,48 +152,60 @@ def windows(guesses: list[int], length: int, most: int) -> Iterator[tuple[int, i
         yield low, high
 
 
-def blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[Item]]:
-    """The items in blocks of at most ``block_chars`` characters, or one longer item."""
-    block, size = [], 0
-    for row in items.select(id_col, text_col).where(F.col(text_col).isNotNull()).orderBy(id_col, text_col).toLocalIterator():
-        if block and size + len(row[1]) > block_chars:
-            yield block
-            block, size = [], 0
-        block.append((row[0], row[1]))
-        size += len(row[1])
-    if block:
-        yield block
-
+def blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[object, str]]]:
+    """The items in blocks of about ``block_chars`` characters, one block at a time.
 
-def matches(docs: DataFrame, items: DataFrame, rate: float = 0.06, block_chars: int = 2_000_000, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    Where one block is enough nothing is written; else the items are dealt evenly to
+    blocks of a written table, and each is read when it is asked for.
+    """
+    told = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.col(text_col).isNotNull())
+    chars = told.agg(F.sum(F.length("t"))).first()[0] or 0
+    if chars <= block_chars:
+        yield told.collect()
+        return
+    n = -(-5 * chars // (4 * block_chars))  # a quarter to spare, as items differ in length
+    work = Workspace(items.sparkSession, "benchmark")
+    dealt = work.keep(told.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int")), "items")
+    for block in range(n):
+        yield dealt.where(F.col("block") == block).select("id", "t").collect()
+
+
+def matches(docs: DataFrame, items: DataFrame, rate: float = 0.06, block_chars: int = 24_000_000, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """One row per document and item that it holds: the two ids and the least edit distance.
 
     Texts are compared in lower case with one space for each run of other than
     letters and digits. An item of m characters is held if a part of the text is
     within ``int(rate * m)`` edits of it. It is cut into one piece more than that,
-    so at least one piece stands unchanged in any such part: an Aho-Corasick pass
-    over the whole text finds the pieces, Myers' algorithm verifies around them, and
-    no match is lost. Items go out in blocks of ``block_chars``; each block is one
-    map-only pass over the documents, whatever their skew.
+    so at least one piece stands unchanged in any such part: a pass over the whole
+    text finds the pieces by their hashes, Myers' algorithm verifies around them, and
+    no match is lost. The index of at most about ``block_chars`` characters of items is
+    broadcast, after their sum was checked, and found by one map-only pass over the
+    documents, whatever their skew; of more items, block follows block, and neither
+    driver nor executors hold two.
 
     Null texts and items without letters or digits match nothing; repeated rows
-    each give their own rows; other columns are not read; with an empty table on
-    either side the result is empty.
+    each give their own rows; other columns are not read; ids may be of any type;
+    with an empty table on either side the result is empty.
     """
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
     kinds = docs.schema[doc_col].dataType, items.schema[item_col].dataType
-    schema = f"{doc_col} {kinds[0].simpleString()}, {item_col} {kinds[1].simpleString()}, distance int"
+    schema = f"`{doc_col}` {kinds[0].simpleString()}, `{item_col}` {kinds[1].simpleString()}, distance int"
     picked = docs.select(F.col(doc_col).alias("id"), F.col(text_col).alias("t")).where(F.col("t").isNotNull())
-    result = None
-    for block in blocks(items, item_col, text_col, block_chars):
-        part = picked.mapInArrow(_scan(block, rate, doc_col, item_col), schema)
-        result = part if result is None else result.unionByName(part)
-    return result if result is not None else docs.sparkSession.createDataFrame([], schema)
-
-
-def _scan(block: list[Item], rate: float, doc_col: str, item_col: str):
+    work, result, held = Workspace(spark, "decontaminate"), None, None
+    for n, block in enumerate(blocks(items, item_col, text_col, block_chars)):
+        if held is not None:  # the block before this one: write its rows, let its index go
+            part = work.keep(part, f"block-{n}")
+            held.unpersist()
+            result = part if result is None else result.unionByName(part)
+        held = spark.sparkContext.broadcast(Matcher(block, rate))
+        part = picked.mapInArrow(_scan(held, to_arrow_type(kinds[1]), [doc_col, item_col, "distance"]), schema)
+    return part if result is None else result.unionByName(part)
+
+
+def _scan(block, kind: pa.DataType, names: list[str]):
     def scan(batches):
-        matcher = Matcher(block, rate)
+        matcher = block.value
         for batch in batches:
             rows, items, distances = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
@@ -177,15 +213,15 @@ def _scan(block: list[Item], rate: float, doc_col: str, item_col: str):
                     rows.append(i)
                     items.append(matcher.items[k][0])
                     distances.append(distance)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(items), pa.array(distances, pa.int32())], names=[doc_col, item_col, "distance"]) if rows else pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(0, 0), pa.array([], pa.int64()), pa.array([], pa.int32())], names=[doc_col, item_col, "distance"]
-            )
+            ids = batch.column(0).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(items, kind), pa.array(distances, pa.int32())], names=names)
 
     return scan
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, rate: float = 0.06, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """The documents that hold no item; rows with a null id or text stay if their text holds none."""
-    keyed = docs.withColumn("_key", F.struct(F.col(doc_col).alias("id"), F.xxhash64(text_col).alias("h")))
-    hits = matches(keyed, items, rate, doc_col="_key", item_col=item_col, text_col=text_col).select("_key").distinct()
-    return keyed.join(hits, keyed["_key"].eqNullSafe(hits["_key"]), "left_anti").drop("_key")
+    """The documents that hold no item, with all their columns; rows with a null id or text stay if their text holds none."""
+    (row,) = fresh(docs, "row_key")
+    keyed = docs.withColumn(row, F.struct(F.col(doc_col).alias("id"), F.xxhash64(text_col).alias("h")))
+    hits = matches(keyed, items, rate, doc_col=row, item_col=item_col, text_col=text_col).select(row).distinct()
+    return keyed.join(hits, keyed[row].eqNullSafe(hits[row]), "left_anti").select(docs.columns)

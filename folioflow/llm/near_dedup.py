@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -10,29 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.components import components
-from folioflow.llm.decontaminate import _plain_table
-from folioflow.llm.shared import Workspace, prepare
+from folioflow.llm.rolling import UNBASE, mix, plain_table, power, prefix_sums
+from folioflow.llm.shared import Workspace, fresh, prepare
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SEGMENT = 1 << 20
-_powers: dict = {}
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit words that spreads every bit over all."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _power(base: np.uint64, n: int) -> np.ndarray:
-    known = _powers.get(int(base))
-    if known is None or len(known) < n:
-        step = np.full(max(n, 4096), base, np.uint64)
-        step[0] = 1
-        _powers[int(base)] = known = np.multiply.accumulate(step)
-    return known[:n]
+#: Texts of at most so many shingles get keys of their own that miss no pair of them.
+FEW = 14
 
 
 def words(text: str) -> np.ndarray:
@@ -42,13 +27,13 @@ def words(text: str) -> np.ndarray:
         end = min(len(text), at + _SEGMENT)
         while end < len(text) and text[end - 1].isalnum():
             end += 1
-        points = _plain_table()[np.frombuffer(f" {text[at:end]} ".encode("utf-32-le", "surrogatepass"), "<u4")]
+        points = plain_table()[np.frombuffer(f" {text[at:end]} ".encode("utf-32-le", "surrogatepass"), "<u4")]
         inside = points != 32
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
         first, last = edge[::2], edge[1::2]
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(points.astype(np.uint64) * _power(_BASE, len(points)), dtype=np.uint64)])
-        spelt = (sums[last] - sums[first]) * _power(_UNBASE, len(points))[first]
-        found.append(_mix(spelt + (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        sums = prefix_sums(points)
+        spelt = (sums[last] - sums[first]) * power(UNBASE, len(points))[first]
+        found.append(mix(spelt + (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
         at = end
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
@@ -62,21 +47,21 @@ def shingles(text: str, k: int) -> np.ndarray:
     total = np.zeros(len(w) - k + 1, np.uint64)
     for j in range(k):
         total = total * np.uint64(0xFF51AFD7ED558CCD) + w[j : len(w) - k + 1 + j]
-    return _mix(total + np.uint64(k))
+    return mix(total + np.uint64(k))
 
 
 def labelled(x: np.ndarray) -> np.ndarray:
     """Each shingle with its occurrence number worked in, so that copies differ."""
     ordered = np.sort(x)
     if not (ordered[1:] == ordered[:-1]).any():
-        return _mix(x)
+        return mix(x)
     order = np.argsort(x, kind="stable")
     new = np.ones(len(x), bool)
     new[1:] = ordered[1:] != ordered[:-1]
     place = np.arange(len(x))
     occurrence = np.empty(len(x), np.uint64)
     occurrence[order] = place - np.maximum.accumulate(np.where(new, place, 0))
-    return _mix(x + occurrence * np.uint64(0xC2B2AE3D27D4EB4F))
+    return mix(x + occurrence * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 class Sketcher:
@@ -117,14 +102,27 @@ class Sketcher:
         places = self._least(x)
         entry = np.zeros(len(places), np.uint64)
         for j in range(places.shape[1]):
-            entry = _mix(entry * np.uint64(3) + x[places[:, j]])
+            entry = mix(entry * np.uint64(3) + x[places[:, j]])
         entry = entry.reshape(self.bands, self.rows)
         key = np.arange(self.bands, dtype=np.uint64)
         for j in range(self.rows):
-            key = _mix(key * np.uint64(5) + entry[:, j])
+            key = mix(key * np.uint64(5) + entry[:, j])
         return key
 
 
+def few_keys(x: np.ndarray, similarity: float) -> np.ndarray:
+    """Keys of a text with few labelled shingles: the whole set, and it without each choice of as many as may stay unmatched.
+
+    Of n shingles at most (1 - similarity) n can be unmatched in a link, so two linked
+    texts share the key of what they have in common.
+    """
+    total, out = x.sum(dtype=np.uint64), []
+    for gone in range(int((1 - similarity) * len(x) + 1e-9) + 1):
+        picks = np.array([*combinations(range(len(x)), gone)], int).reshape(comb(len(x), gone), gone)
+        out.append(total - x[picks].sum(1, dtype=np.uint64))
+    return mix(np.concatenate(out) + np.uint64(0xA0761D6478BD642F))
+
+
 def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     """Whether the best alignment of two shingle sequences keeps ``similarity`` of their union in common.
 
@@ -193,8 +191,8 @@ def banded_lcs(a: list[int], b: list[int], band: int, need: int) -> int:
     return total + (high - low) - row.bit_count()
 
 
-def _sketch(docs: DataFrame, k: int, sketcher: Sketcher) -> DataFrame:
-    """(id, h, sig, keys): the row's key, a 128-bit digest of its shingles and its band keys."""
+def _sketch(docs: DataFrame, k: int, similarity: float, sketcher: Sketcher) -> DataFrame:
+    """(id, h, sig, keys): the row's key, a 128-bit digest of its shingles and its keys."""
 
     def sketch(batches):
         for batch in batches:
@@ -203,7 +201,11 @@ def _sketch(docs: DataFrame, k: int, sketcher: Sketcher) -> DataFrame:
                 x = shingles(text or "", k)
                 if len(x):
                     sigs.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
-                    keys.append(sketcher.keys(labelled(x)).view(np.int64))
+                    own = labelled(x)
+                    found = sketcher.keys(own)
+                    if len(x) <= FEW:
+                        found = np.concatenate([found, few_keys(own, similarity)])
+                    keys.append(found.view(np.int64))
                 else:  # no words: equal texts only
                     sigs.append(hashlib.blake2b((text or "").encode("utf-8", "surrogatepass"), digest_size=16, key=b"no words").digest())
                     keys.append(np.empty(0, np.int64))
@@ -312,7 +314,8 @@ def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, bands: int = 2
     lower-cased runs of letters and digits. Texts with the same shingles are one
     vertex from the start, however many rows they have.
 
-    Candidates share a band of Order MinHash entries. A bucket is looked at in one
+    Candidates share a band of Order MinHash entries; texts of at most 14 shingles also
+    have keys that miss no link between them. A bucket is looked at in one
     task if it has at most about ``block_rows`` members and ``block_chars`` characters.
     A larger one is dealt to blocks, each with the bucket's most popular member, whose
     star joins most of them; where members of different blocks are still apart, pairs
@@ -329,7 +332,7 @@ def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, bands: int = 2
     prepare(spark)
     work = Workspace(spark, "near-dedup")
     rows_in = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
-    sketch = work.keep(_sketch(rows_in, k, Sketcher(bands, rows, picks)), "sketch")
+    sketch = work.keep(_sketch(rows_in, k, similarity, Sketcher(bands, rows, picks)), "sketch")
     vertices = sketch.groupBy("sig").agg(F.min(F.struct("id", "h")).alias("first"), F.first("keys").alias("keys"))
     vertices = work.keep(vertices, "vertices")
 
@@ -382,12 +385,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Of rows that repeat both id and text one stays. Nulls are ids like any other.
     """
     found = classes(docs, id_col=id_col, text_col=text_col, **options)
-    kept = found.where("keep").select(F.col(id_col).alias("_id"), F.col("h").alias("_h"))
-    repeated = kept.groupBy("_id", "_h").agg(F.count("*").alias("_copies"))
-    kept = Workspace(docs.sparkSession, "one-of-each").keep(repeated, "kept")
-    keyed = docs.withColumn("_h0", F.xxhash64(text_col))
-    left = keyed.join(kept, (F.col("_h0") == F.col("_h")) & F.col(id_col).eqNullSafe(F.col("_id")), "inner")
-    if kept.where("_copies > 1").isEmpty():
+    own, other, copies, row = fresh(docs, "kept_id", "kept_h", "kept_copies", "row_h")
+    kept = found.where("keep").groupBy(F.col(id_col).alias(own), F.col("h").alias(other)).agg(F.count("*").alias(copies))
+    kept = Workspace(docs.sparkSession, "one-of-each").keep(kept, "kept")
+    keyed = docs.withColumn(row, F.xxhash64(text_col))
+    left = keyed.join(kept, (F.col(row) == F.col(other)) & F.col(id_col).eqNullSafe(F.col(own)), "inner")
+    if kept.where(F.col(copies) > 1).isEmpty():
         return left.select(docs.columns)
-    once, more = left.where("_copies = 1"), left.where("_copies > 1").dropDuplicates(["_id", "_h"])
+    once, more = left.where(F.col(copies) == 1), left.where(F.col(copies) > 1).dropDuplicates([own, other])
     return once.unionByName(more).select(docs.columns)

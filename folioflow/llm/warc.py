@@ -39,6 +39,11 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def record_id(page: object, sha: str, *parts: object) -> str:
+    """The id of a page's record: with the payload's digest alone for the response of that payload, else with url mark and number."""
+    return "<urn:page:" + ":".join(str(x) for x in (page, sha, *parts)) + ">"
+
+
 def serialised(headers: dict[str, str], block: bytes) -> bytes:
     for name, value in headers.items():
         if "\r" in value or "\n" in value:
@@ -86,15 +91,20 @@ def records(archive: bytes, most_bytes: int = 1 << 30) -> Iterator[Record]:
             raw = bytes(view[8 : 8 + size])
             if len(raw) != size:
                 raise ArchiveError("the dictionary is cut short")
-            if raw[:4] == FRAME_MAGIC:
-                raw = zstandard.ZstdDecompressor().decompress(raw, max_output_size=most_bytes)
-            loaded, at = zstandard.ZstdCompressionDict(raw), 8 + size
+            try:
+                if raw[:4] == FRAME_MAGIC:
+                    raw = zstandard.ZstdDecompressor().decompress(raw, max_output_size=most_bytes)
+                loaded, at = zstandard.ZstdCompressionDict(raw), 8 + size
+            except zstandard.ZstdError as error:
+                raise ArchiveError(f"the dictionary does not decode: {error}") from error
     while at < len(view):
         if len(view) - at < 8:
             raise ArchiveError("bytes after the last frame")
         magic, size = struct.unpack_from("<II", view, at)
         if magic & 0xFFFFFFF0 == 0x184D2A50:
             at += 8 + size
+            if at > len(view):
+                raise ArchiveError("a skippable frame is cut short")
             continue
         if bytes(view[at : at + 4]) != FRAME_MAGIC:
             raise ArchiveError("no frame where one must begin")
@@ -122,7 +132,11 @@ def parsed(raw: bytes) -> Record:
     if not mark or first not in (b"WARC/1.0", VERSION):
         raise ArchiveError("no version line")
     headers: dict[str, str] = {}
-    for line in lines.decode("utf-8").split("\r\n"):
+    try:
+        told = lines.decode("utf-8")
+    except UnicodeDecodeError as error:
+        raise ArchiveError("headers that are not UTF-8") from error
+    for line in told.split("\r\n"):
         name, colon, value = line.partition(":")
         if not colon or not name or name != name.strip():
             raise ArchiveError(f"not a header: {line[:80]!r}")
@@ -132,30 +146,48 @@ def parsed(raw: bytes) -> Record:
     for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if not headers.get(name):
             raise ArchiveError(f"{name} is missing")
-    if not headers["content-length"].isdigit():
-        raise ArchiveError("a length that is no number")
-    size = int(headers["content-length"])
+    size = _length(headers, "content-length")
     if len(rest) != size + 4 or rest[size:] != b"\r\n\r\n":
         raise ArchiveError("the block is not as long as it says")
     return Record(headers, rest[:size])
 
 
+def _length(headers: dict[str, str], name: str) -> int:
+    value = headers.get(name, "")
+    if not (value.isascii() and value.isdigit() and len(value) < 19):
+        raise ArchiveError(f"{name} is no number")
+    return int(value)
+
+
 def write_archives(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = 8_000_000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(path, content): archives with one record a page, as a binary file source would show them.
 
     The payload is the page's html in UTF-8, empty for null. Of pages with equal
-    payloads of at least ``min_bytes`` bytes that with the largest id is a response,
-    and the others are revisits without a block that refer to it; shorter ones are
-    all responses. A null id is smaller than any other; rows with the largest id of
-    their payload are all responses. Digests are grouped without the payloads, so a
-    payload that many pages share gathers nowhere; its revisits carry none.
+    payloads of at least ``min_bytes`` bytes that with the largest id is a response
+    (of several with that id the one with the largest url), and the others are
+    revisits without a block that refer to it; shorter ones are all responses. A null
+    id is smaller than any other. Rows that are equal in all of this are told apart
+    by a number, so every record has an id of its own. Of equal payloads one moves,
+    combined before the shuffle; all else moves without payloads, counted by id and
+    url, so a payload that many pages share gathers nowhere.
     """
     prepare(pages.sparkSession)
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     keyed = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("body")).withColumn("sha", F.sha1("body"))
-    repeated = keyed.where(F.length("body") >= min_bytes).groupBy("sha").agg(F.count("*").alias("n"), F.max("id").alias("top")).where("n > 1").select("sha", "top")
-    told = keyed.join(repeated, "sha", "left").withColumn("refers", F.when((F.length("body") >= min_bytes) & F.col("top").isNotNull() & ~F.col("id").eqNullSafe(F.col("top")), F.col("top")))
-    told = told.select("id", "url", F.length("body").alias("size"), F.upper("sha").alias("sha"), "refers", F.when(F.col("refers").isNull(), F.col("body")).alias("body"))
+    long, short = keyed.where(F.length("body") >= min_bytes), keyed.where(F.length("body") < min_bytes)
+    first = long.groupBy("sha").agg(F.max(F.struct("id", "url", "body")).alias("top"))
+    responses = first.select("top.id", "top.url", "top.body", "sha", F.lit(None).cast("int").alias("copy"), F.lit(None).cast(keyed.schema["id"].dataType).alias("refers"), F.length("top.body").alias("size"))
+    same = long.groupBy("sha", "id", "url").agg(F.count("*").cast("int").alias("n"), F.first(F.length("body")).alias("size"))
+    tops = long.groupBy("sha").agg(F.max(F.struct("id", "url")).alias("top"), F.count("*").alias("all")).where(F.col("all") > 1).select("sha", "top")
+    is_top = F.struct("id", "url").eqNullSafe(F.col("top"))
+    others = same.join(tops, "sha").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).where(~(is_top & (F.col("copy") == 0)))
+    revisits = others.select("id", "url", F.lit(None).cast("binary").alias("body"), "sha", "copy", F.col("top.id").alias("refers"), "size")
+    told = responses.withColumn("kind", F.lit("response")).unionByName(revisits.withColumn("kind", F.lit("revisit")))
+    if min_bytes > 0:
+        few = short.groupBy("sha", "id", "url").agg(F.count("*").cast("int").alias("n"), F.first("body").alias("body"))
+        few = few.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("size", F.length("body"))
+        told = told.unionByName(few.select("id", "url", "body", "sha", "copy", F.lit(None).cast(keyed.schema["id"].dataType).alias("refers"), "size", F.lit("response").alias("kind")))
+    told = told.select("kind", "id", "size", F.upper("sha").alias("sha"), "copy", "refers", F.hex(F.xxhash64("url")).alias("mark"), "url", "body")
 
     def write(batches):
         writer, held, number = None, 0, 0
@@ -164,17 +196,18 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = 8_
                 mine = row["body"]
                 if writer is None:
                     writer, held = Writer([r["body"] for r in batch.slice(0, 128).to_pylist() if r["body"]]), 0
+                sha = base64.b32encode(bytes.fromhex(row["sha"])).decode()
                 headers = {
-                    "WARC-Type": "response" if mine is not None else "revisit",
-                    "WARC-Record-ID": f"<urn:page:{row['id']}>",
+                    "WARC-Type": row["kind"],
+                    "WARC-Record-ID": record_id(row["id"], sha, *([] if row["copy"] is None else [row["mark"], row["copy"]])),
                     "WARC-Date": DATE,
-                    "WARC-Payload-Digest": "sha1:" + base64.b32encode(bytes.fromhex(row["sha"])).decode(),
+                    "WARC-Payload-Digest": f"sha1:{sha}",
                     "X-Payload-Length": str(row["size"]),
                 }
                 if row["url"] and not any(c in row["url"] for c in "\r\n"):
                     headers["WARC-Target-URI"] = row["url"]
-                if mine is None:
-                    headers |= {"WARC-Refers-To": f"<urn:page:{row['refers']}>", "WARC-Profile": REVISIT_PROFILE}
+                if row["kind"] == "revisit":
+                    headers |= {"WARC-Refers-To": record_id(row["refers"], sha), "WARC-Profile": REVISIT_PROFILE}
                 writer.add(headers, mine or b"")
                 held += len(mine or b"") + 400
                 if held >= archive_bytes:
@@ -196,8 +229,9 @@ def read_archives(files: DataFrame) -> DataFrame:
     Columns: path, record_id, record_type, refers_to, target, payload_bytes,
     payload_digest, block. The digest of a response is recomputed and must be the
     one its header gives, if any; length and digest of a revisit are those its
-    headers give. A file that breaks the format fails the job with ArchiveError. An
-    empty file or table has no records.
+    headers give, and a revisit must have both, its profile and what it refers to. A
+    file that breaks the format fails the job with ArchiveError. An empty file or
+    table has no records.
     """
     prepare(files.sparkSession)
     schema = "path string, record_id string, record_type string, refers_to string, target string, payload_bytes long, payload_digest string, block binary"
@@ -223,7 +257,9 @@ def _told(path: str, record: Record) -> tuple:
     get = record.headers.get
     kind, given = get("warc-type"), (get("warc-payload-digest") or "").removeprefix("sha1:")
     if kind == "revisit":
-        size, mark = int(get("x-payload-length") or 0), given
+        if get("warc-profile") != REVISIT_PROFILE or not get("warc-refers-to") or not given or record.block:
+            raise ArchiveError("a revisit without profile, reference or digest, or with a block")
+        size, mark = _length(record.headers, "x-payload-length"), given
     else:
         size, mark = len(record.block), digest(record.block)
         if given and given != mark:

@@ -12,13 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.shared import Workspace
+from folioflow.llm.shared import Workspace, fresh, join_counted
 
 #: (verdict, host, path)
 Rule = tuple[str, str, str]
 
-#: Rules that one expression may hold.
-MOST_RULES = 1000
+#: Rules that one expression may hold; more are joined.
+MOST_RULES = 200
 _START, _END = "\u0002", "\u0003"
 
 
@@ -31,8 +31,6 @@ def host_and_path(url: str) -> tuple[Column, Column]:
 
 def decided(rules: Sequence[Rule]) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits columns host and path, or nulls."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"at most {MOST_RULES} rules")
     ordered = sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))
     fits = [((F.col("host") == h) | F.col("host").endswith("." + h)) & F.col("path").startswith(p) for _, h, p in ordered]
     rule = F.coalesce(*(F.when(f, F.lit(h + p)) for f, (_, h, p) in zip(fits, ordered)), F.lit(None).cast("string"))
@@ -40,11 +38,32 @@ def decided(rules: Sequence[Rule]) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def decided_by_join(told: DataFrame, rules: Sequence[Rule], rule: str, verdict: str) -> DataFrame:
+    """``told`` with the columns that ``decided`` gives, for rules of any number.
+
+    Each distinct host and path asks for its host and all its parents, and for the
+    beginnings of its path of the lengths that rules of that host have, so rules are
+    met by equality however many there are.
+    """
+    spark = told.sparkSession
+    known = spark.createDataFrame([(h, p, v) for v, h, p in rules], "h string, p string, v string")
+    asked = told.select("host", "path").distinct()
+    parts = F.split("host", "\\.")
+    parents = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    lengths = known.groupBy("h").agg(F.collect_set(F.length("p")).alias("lengths"))
+    begun = asked.withColumn("h", F.explode(parents)).join(lengths, "h").withColumn("n", F.explode("lengths")).where(F.length("path") >= F.col("n"))
+    hits = begun.withColumn("p", F.expr("substring(path, 1, n)")).join(known, ["h", "p"])
+    full = F.concat("h", "p")
+    best = hits.groupBy("host", "path").agg(F.min_by(F.struct(full.alias("rule"), F.col("v").alias("verdict")), F.struct(-F.length(full), full)).alias("hit"))
+    joined = told.join(best.select(F.col("host").alias("_h"), F.col("path").alias("_p"), "hit"), (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left")
+    return joined.select(*told.columns, F.col("hit.rule").alias(rule), F.col("hit.verdict").alias(verdict))
+
+
 def grams(urls: DataFrame, order: int) -> DataFrame:
     """Every character of each url with the ``order`` before it, a start mark standing in at the front."""
     padded = F.concat(F.lit(_START * order), F.lower("url"), F.lit(_END))
-    cut = urls.withColumn("_p", padded).select("*", F.explode(F.sequence(F.lit(1), F.length("_p") - order)).alias("_i"))
-    return cut.withColumn("gram", F.expr(f"substring(_p, _i, {order + 1})")).drop("_p", "_i")
+    cut = urls.withColumn("p", padded).select("*", F.explode(F.sequence(F.lit(1), F.length("p") - order)).alias("i"))
+    return cut.withColumn("gram", F.expr(f"substring(p, i, {order + 1})")).drop("p", "i")
 
 
 def log_ratios(counted: DataFrame, order: int, work: Workspace) -> DataFrame:
@@ -78,39 +97,49 @@ def judged(pages: DataFrame, rules: Sequence[Rule], order: int = 4, lost: float
     """``pages`` with host, path, rule, verdict and score.
 
     A rule fits its host and all subdomains if the path starts with the rule's; the
-    longest that fits gives the verdict. What no rule decides is judged by two
+    longest that fits gives the verdict (of equals the first by host and path). What no rule decides is judged by two
     character models of order 0 to ``order``: one of urls that a rule blocks, one of
     all others, each url as often as it stands. score is the mean over its characters
-    of the log-ratio between them; a url is blocked below a threshold that is 0 at
-    most and that at most the share ``lost`` of the urls that no rule blocks fall
-    under (in steps of a thousandth). Without blocked urls nothing else is blocked.
-
-    Urls are scored once however often they stand. Null urls have no host, path,
-    rule or score and are allowed; so are empty ones unless the models say
-    otherwise. Columns of these names are replaced, others pass through; an empty
-    table gives an empty result.
+    of the log-ratio between them, added up in whole 2 ** -32nds, so that the order of
+    rows doesn't matter. One url in five, by a hash, is left out of the models. A url
+    is blocked below a threshold that is 0 at most and that at most the share ``lost``
+    of the left-out urls that no rule blocks fall under (in steps of a thousandth).
+    Without blocked urls or without left-out ones nothing else is blocked.
+
+    Urls are scored once however often they stand. Grams that very many urls share
+    are broadcast, a bounded number. Null urls have no host, path, rule or score and
+    are allowed; so are empty ones unless the models say otherwise. Columns of these
+    names are replaced, others pass through; an empty table gives an empty result.
     """
     work = Workspace(pages.sparkSession, "url-filter")
     own = pages.drop("host", "path", "rule", "verdict", "score")
+    by_rule, other = fresh(own, "rule_verdict", "scored_url")
     host, path = host_and_path(url_col)
-    rule, verdict = decided(rules)
-    told = own.withColumn("host", host).withColumn("path", path).withColumn("rule", rule).withColumn("_verdict", verdict)
-    blocked = F.coalesce(F.col("_verdict") == "block", F.lit(False)).cast("long")
+    told = own.withColumn("host", host).withColumn("path", path)
+    if len(rules) > MOST_RULES:
+        told = decided_by_join(told, rules, "rule", by_rule)
+    else:
+        rule, verdict = decided(rules)
+        told = told.withColumn("rule", rule).withColumn(by_rule, verdict)
+    blocked = F.coalesce(F.col(by_rule) == "block", F.lit(False)).cast("long")
     urls = told.where(F.col(url_col).isNotNull()).groupBy(F.col(url_col).alias("url")).agg(F.sum(1 - blocked).alias("a"), F.sum(blocked).alias("r"))
-    urls = work.keep(urls, "urls")
+    urls = work.keep(urls.withColumn("held_out", F.pmod(F.xxhash64("url", F.lit("calibration")), F.lit(5)) == 0), "urls")
     spread = grams(urls, order)
-    counted = work.keep(spread.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r")), "grams")
-    ratios = log_ratios(counted, order, work)
-    scores = spread.select("url", "a", "r", "gram").join(ratios, "gram").groupBy("url").agg(F.avg("lr").alias("score"), F.first("a").alias("a"), F.first("r").alias("r"))
+    learnt = [F.sum(F.when(F.col("held_out"), 0).otherwise(F.col(c))).alias(c) for c in "ar"]
+    counted = work.keep(spread.groupBy("gram").agg(*learnt, F.count("*").alias("n")), "grams")
+    ratios = log_ratios(counted.select("gram", "a", "r"), order, work).withColumn("lr", F.round(F.col("lr") * (1 << 32)).cast("long"))
+    ratios = work.keep(ratios.join(counted.select("gram", "n"), "gram"), "ratios")
+    # sums of whole numbers are the same in any order
+    scores = join_counted(spread, ratios, ["gram"]).groupBy("url").agg((F.sum("lr") / F.count("*") / float(1 << 32)).alias("score"), F.first("a").alias("a"), F.first("r").alias("r"), F.first("held_out").alias("held_out"))
     scores = work.keep(scores, "scores")
     # at most a few ten thousand steps, as a mean log-ratio is within what the smallest count allows
-    steps = scores.where("a > 0").groupBy(F.floor(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("score"))) * 1000).alias("step")).agg(F.sum("a").alias("n")).orderBy("step").collect()
+    steps = scores.where("a > 0 and held_out").groupBy(F.floor(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("score"))) * 1000).alias("step")).agg(F.sum("a").alias("n")).orderBy("step").collect()
     threshold = _threshold([(r["step"] / 1000, r["n"]) for r in steps], lost)
-    if not scores.agg(F.max("r")).first()[0]:
+    if not steps or not scores.where("not held_out").agg(F.max("r")).first()[0]:
         threshold = -math.inf
-    out = told.join(scores.select(F.col("url").alias("_url"), "score"), F.col(url_col) == F.col("_url"), "left")
+    out = told.join(scores.select(F.col("url").alias(other), "score"), F.col(url_col) == F.col(other), "left")
     by_model = F.when(F.col("score") < threshold, "block").otherwise("allow")
-    return out.select(*own.columns, "host", "path", "rule", F.coalesce("_verdict", by_model).alias("verdict"), "score")
+    return out.select(*own.columns, "host", "path", "rule", F.coalesce(by_rule, by_model).alias("verdict"), "score")
 
 
 def _threshold(steps: list[tuple[float, int]], lost: float) -> float:

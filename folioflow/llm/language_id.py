@@ -133,21 +133,24 @@ def fit(bits: np.ndarray, languages: list[str], landmarks: int = 256, ridge: flo
     return Model(names, (marks.T.astype(float) @ (whiten @ solved)).astype(np.float32), goal - middle @ solved, usual=usual)
 
 
-def train(labelled: DataFrame, per_language: int = 1500, landmarks: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on about ``per_language`` rows of each language, picked by a hash of the id.
+def train(labelled: DataFrame, most_rows: int = 6000, most_languages: int = 200, landmarks: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Fit on about ``most_rows`` rows in all, the same number of each language, picked by a hash of the id.
 
     What reaches the driver is a bit row of 2 KiB for each picked text, made from
-    the whole text. Rows with a null language or text are left out.
+    the whole text: about 12 MB, and twice that at most, however many languages there
+    are. The ``most_languages`` most frequent ones are learnt (of equals the first by
+    name). Rows with a null language or text are left out; repeated rows and ids
+    count each time; a null id is a value like any other.
     """
     spark = labelled.sparkSession
     prepare(spark)
     rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t")).where("lang is not null and t is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
     space = 1 << 30
-    limit = F.lit(0)
-    for lang, n in sizes.items():
-        limit = F.when(F.col("lang") == lang, F.lit(min(space, space * per_language // n))).otherwise(limit)
-    picked = rows.withColumn("h", F.pmod(F.xxhash64(F.col("id"), F.lit("language")), F.lit(space))).where(F.col("h") < limit)
+    each = most_rows // max(1, len(sizes))
+    limits = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(space, space * each // r["n"])))) if sizes else F.create_map().cast("map<string,bigint>")
+    limit = F.coalesce(F.element_at(limits, F.col("lang")).cast("long"), F.lit(0))
+    picked = rows.withColumn("h", F.pmod(F.xxhash64(F.col("id"), F.lit("language")), F.lit(space))).where(F.col("h") < limit).limit(2 * most_rows)
 
     def bits(batches):
         for batch in batches:

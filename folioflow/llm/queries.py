@@ -20,7 +20,7 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = Workspace(spark, "warc").keep(warc.write_archives(table(spark, sf_dir, "pages"), min_bytes=0), "archives")
-    page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
+    page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+):", 1).try_cast("long")
     return warc.read_archives(archives).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
@@ -61,7 +61,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_model(docs: DataFrame) -> language_id.Model:
     """Learnt from the texts whose crc32(doc_id) mod 5 is not 0; a null id can't be dealt to a fold and is left out."""
-    return language_id.train(docs.where(crc32_of("doc_id") % 5 != 0), per_language=1500, landmarks=256)
+    return language_id.train(docs.where(crc32_of("doc_id") % 5 != 0), most_rows=6000, landmarks=256)
 
 
 def held_out():

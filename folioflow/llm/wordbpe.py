@@ -85,6 +85,7 @@ class MergeCounter:
         self.split = regex.compile(splits[0]["pattern"]["Regex"])
         self.alphabet = byte_alphabet()
         added = [t["content"] for t in spec["added_tokens"]]
+        self.added = added
         self.special = re.compile("|".join(re.escape(t) for t in sorted(added, key=len, reverse=True))) if added else None
         self.table: dict[str, int] = {}
         self.words: dict[str, int] = {}
@@ -137,7 +138,7 @@ class MergeCounter:
     def count(self, text: str) -> int:
         """Tokens of a text; an added token's string in it counts as one."""
         total = 0
-        if self.special and "<|" in text and self.special.search(text):
+        if self.special and any(t in text for t in self.added):
             total = len(self.special.findall(text))
             parts = self.special.split(text)
         else:

@@ -163,10 +163,22 @@ def test_archives_round_trip_and_broken_ones_are_refused():
     for broken in (data[:-3], data + b"xx", data[:4] + b"\xff\xff\xff\x7f" + data[8:]):
         with pytest.raises(warc.ArchiveError):
             list(warc.records(broken))
+    trailing = struct.pack("<II", 0x184D2A51, 3) + b"abc"
+    assert len([*warc.records(data + trailing)]) == len(payloads)
+    size = struct.unpack_from("<I", data, 4)[0]
+    corrupt = data[:12] + bytes(size - 4) + data[8 + size :]
+    for broken in (data + trailing[:-1], corrupt):
+        with pytest.raises(warc.ArchiveError):
+            list(warc.records(broken))
     good = warc.serialised({"WARC-Type": "a", "WARC-Record-ID": "b", "WARC-Date": "c"}, b"xyz")
-    for bad in (good.replace(b"Length: 3", b"Length: 4"), good.replace(b"WARC-Type: a\r\n", b""), good.replace(b"WARC/1.1", b"WARC/9.9"), good[:-2], good.replace(b"WARC-Date: c", b"no header")):
+    for bad in (good.replace(b"Length: 3", b"Length: 4"), good.replace(b"WARC-Type: a\r\n", b""), good.replace(b"WARC/1.1", b"WARC/9.9"), good[:-2], good.replace(b"WARC-Date: c", b"no header"), good.replace(b"WARC-Date: c", b"WARC-Date: \xff"), good.replace(b"Length: 3", "Length: ³".encode())):
         with pytest.raises(warc.ArchiveError):
             warc.parsed(bad)
+    revisit = {"warc-profile": warc.REVISIT_PROFILE, "warc-refers-to": "<x>", "warc-type": "revisit", "warc-record-id": "<r>", "warc-payload-digest": "sha1:ABC", "x-payload-length": "7"}
+    assert warc._told("p", warc.Record(revisit, b""))[5:7] == (7, "ABC")
+    for name in ("warc-profile", "warc-refers-to", "warc-payload-digest", "x-payload-length"):
+        with pytest.raises(warc.ArchiveError):
+            warc._told("p", warc.Record({k: v for k, v in revisit.items() if k != name}, b""))
     assert warc.digest(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
 
 
@@ -194,3 +206,18 @@ def test_pairs_of_features_are_learnt():
     m = quality.fit(x[:3000], y[:3000], rounds=60)
     assert (0, 1) in m.pairs
     assert ((m.score(x[3000:]) > 0.5) == y[3000:]).mean() > 0.9
+
+
+def test_short_texts_share_a_key_wherever_they_link():
+    random.seed(8)
+    for _ in range(3000):
+        a = [random.randint(1, 60) for _ in range(random.randint(1, 14))]
+        b = a[:]
+        for _ in range(random.randint(0, 3)):
+            at = random.randrange(len(b))
+            b[at : at + random.randint(0, 1)] = [random.randint(1, 60)] * random.randint(0, 1)
+            b = b or [1]
+        x, y = (np.array(v, np.uint64) for v in (a, b))
+        if len(y) <= near_dedup.FEW and near_dedup.aligned(x, y, 0.8):
+            keys = [set(near_dedup.few_keys(near_dedup.labelled(v), 0.8).tolist()) for v in (x, y)]
+            assert keys[0] & keys[1]

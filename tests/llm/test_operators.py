@@ -34,7 +34,7 @@ def test_odd_rows_pass_every_document_operator(spark):
     assert left.columns == docs.columns and left.count() == 4
     cut = line_dedup.without_repeats(docs, min_words=3)
     assert cut.count() == 9 and cut.columns == [*[c for c in docs.columns if c != "lines"], "lines", "lines_removed"]
-    model = language_id.train(table(spark, SF, "documents"), per_language=50, landmarks=32)
+    model = language_id.train(table(spark, SF, "documents"), most_rows=200, landmarks=32)
     told = language_id.predict(docs, model).collect()
     assert [r["lang_pred"] for r in told if r["text"] in (None, "", "123 !!")] == ["und"] * 5
     scored = quality.scored(docs, quality.fit(np.empty((0, 18)), np.empty(0))).collect()
@@ -123,20 +123,22 @@ def test_line_runs_are_those_of_brute_force(spark):
 
 
 def test_archives_hold_every_page(spark):
-    rows = [(5, "http://a/", "same"), (9, "u\r\nv", "same"), (7, None, "same"), (1, "x", ""), (2, "x", None), (3, "y", "é" * 100), (None, "z", "same")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r["record_id"]: r for r in warc.read_archives(warc.write_archives(pages)).collect()}
-    assert {k: (r["record_type"], r["refers_to"], r["payload_bytes"]) for k, r in got.items()} == {
-        "<urn:page:9>": ("response", None, 4),
-        "<urn:page:5>": ("revisit", "<urn:page:9>", 4),
-        "<urn:page:7>": ("revisit", "<urn:page:9>", 4),
-        "<urn:page:null>": ("revisit", "<urn:page:9>", 4),
-        "<urn:page:None>": ("revisit", "<urn:page:9>", 4),
-        "<urn:page:2>": ("response", None, 0),
-        "<urn:page:1>": ("revisit", "<urn:page:2>", 0),
-        "<urn:page:3>": ("response", None, 200),
-    } or len(got) == 7
-    assert {r["payload_digest"] for r in got.values() if r["payload_bytes"] == 4} == {warc.digest(b"same")}
+    rows = [(5, "http://a/", "same"), (9, "u\r\nv", "same"), (9, "u\r\nv", "same"), (9, "a", "same"), (7, None, "same"), (1, "x", ""), (2, "x", None), (3, "y", "é" * 100), (None, "z", "same"), (None, "z", "lone"), (3, "y", "z" * 9)]
+    pages = spark.createDataFrame([(*r, "h", "r", 1) for r in rows], "page_id long, url string, html string, sha string, refers string, copy int")
+    same, empty = warc.digest(b"same"), warc.digest(b"")
+    page = lambda r: r.split(":")[2] if r else None
+    for least in (0, 5):
+        got = warc.read_archives(warc.write_archives(pages, min_bytes=least)).collect()
+        assert len({r["record_id"] for r in got}) == len(rows)
+        told = sorted((page(r["record_id"]).rstrip(">"), r["record_type"], page(r["refers_to"]), r["payload_bytes"], r["payload_digest"]) for r in got)
+        want = [("3", "response", None, 200, warc.digest(("é" * 100).encode())), ("3", "response", None, 9, warc.digest(b"z" * 9)), ("None", "response", None, 4, warc.digest(b"lone"))]
+        if least:
+            want += [(i, "response", None, 4, same) for i in ("5", "9", "9", "9", "7", "None")] + [(i, "response", None, 0, empty) for i in "12"]
+        else:
+            want += [(i, "revisit", "9", 4, same) for i in ("5", "9", "9", "7", "None")] + [("9", "response", None, 4, same), ("2", "response", None, 0, empty), ("1", "revisit", "2", 0, empty)]
+        assert sorted(map(str, told)) == sorted(map(str, want))
+        responses = {r["record_id"]: r["payload_digest"] for r in got if r["record_type"] == "response"}
+        assert all(responses[r["refers_to"]] == r["payload_digest"] for r in got if r["record_type"] == "revisit")
 
 
 def test_nearest_neighbours_leave_out_unusable_vectors(spark):
@@ -145,8 +147,8 @@ def test_nearest_neighbours_leave_out_unusable_vectors(spark):
     rows += [(300, None), (301, [0.0] * 8), (302, [1.0] * 7), (303, [None] + [1.0] * 7), (304, [float("nan")] + [1.0] * 7), (305, [float("inf")] + [1.0] * 7), (None, [1.0] * 8)]
     rows += [(i, rows[1][1]) for i in range(400, 420)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    for blocks in (20_000, 16):
-        got = neighbours.search(vectors, vectors.where("vec_id % 50 = 0 or vec_id in (1, 301)"), k=10, centroids=4, scanned=1.0, block_rows=blocks).collect()
+    for blocks, groups in ((20_000, 4096), (16, 3)):
+        got = neighbours.search(vectors, vectors.where("vec_id % 50 = 0 or vec_id in (1, 301)"), k=10, centroids=4, scanned=1.0, block_rows=blocks, block_queries=groups).collect()
         x = {i: np.array(v, np.float32).astype(float) for i, v in rows if i is not None and (i < 300 or i >= 400)}
         for q in {i for i in x if i % 50 == 0 or i == 1}:
             want = sorted((float(np.sqrt(((x[i] - x[q]) ** 2).sum())), i) for i in x if i != q)[:10]

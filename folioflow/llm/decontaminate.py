@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from folioflow.llm.rolling import plain_points, prefix_sums, spelt, window_keys
+from folioflow.llm.rolling import keys_at, plain_points, prefix_sums, spelt, window_keys
 from folioflow.llm.shared import Workspace, fresh, prepare
 
 _SEGMENT = 1 << 20
@@ -72,41 +72,60 @@ class Pieces:
     def __init__(self, found: dict[int, list[tuple[int, int]]]):
         self.keys = np.array(sorted(found), np.uint64)
         self.places = [found[k] for k in self.keys.tolist()]
-        bits = max(12, min(24, (16 * len(found)).bit_length()))
-        self.shift = np.uint64(64 - bits)
-        self.seen = np.zeros(1 << bits, bool)
-        self.seen[self.keys >> self.shift] = True
 
     def hits(self, keys: np.ndarray) -> Iterator[tuple[int, list[tuple[int, int]]]]:
         """(place in ``keys``, (item, offset) of the piece) of the hashes that are a piece's."""
-        at = np.flatnonzero(self.seen[keys >> self.shift])
-        if len(at):
-            own = np.minimum(np.searchsorted(self.keys, keys[at]), len(self.keys) - 1)
-            same = self.keys[own] == keys[at]
-            for place, k in zip(at[same].tolist(), own[same].tolist()):
-                yield place, self.places[k]
+        own = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        same = np.flatnonzero(self.keys[own] == keys)
+        for place, k in zip(same.tolist(), own[same].tolist()):
+            yield place, self.places[k]
+
+
+class Seeds:
+    """Which hashes the beginnings, ``length`` long, of some pieces have: a table of their highest bits."""
+
+    def __init__(self, length: int, keys: np.ndarray):
+        self.length = length
+        bits = max(12, min(24, (16 * len(keys)).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        self.seen = np.zeros(1 << bits, bool)
+        self.seen[keys >> self.shift] = True
+
+    def places(self, sums: np.ndarray, most: int) -> np.ndarray:
+        """Where a piece may begin, of the first ``most`` places."""
+        count = min(most, len(sums) - self.length)
+        return np.flatnonzero(self.seen[window_keys(sums, self.length, count) >> self.shift]) if count > 0 else np.empty(0, np.int64)
 
 
 class Matcher:
     """Finds the items of a block in texts, each within its own edit budget.
 
-    Pieces have a handful of lengths, as each is about one part in the error rate:
-    a rolling hash of each length over the text is looked up among theirs.
+    A rolling hash over the text finds where the beginning of a piece may stand; there
+    the hashes of each length that pieces have are looked up. Pieces of ``SEED``
+    characters or more share one beginning length, the least that any of them has;
+    shorter pieces, of short items only, are looked for by their whole length.
     """
 
+    SEED = 8
+
     def __init__(self, items: list[tuple[object, str]], rate: float):
         self.items = [(i, p, budget(len(p), rate)) for i, text in items if (p := plain(text))]
         by_length: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        about = {(len(p), most + 1) for _, p, most in self.items}
+        least = min((end - start for length, parts in about for start, end in cut(length, parts) if end - start >= self.SEED), default=0)
+        begun: dict[int, set[int]] = defaultdict(set)
         for k, (_, p, most) in enumerate(self.items):
             sums = prefix_sums(np.frombuffer(p.encode("utf-32-le"), "<u4"))
-            cuts = defaultdict(list)
-            for start, end in cut(len(p), most + 1):
-                cuts[end - start].append(start)
-            for length, starts in cuts.items():
-                keys = window_keys(sums, length, len(p) - length + 1)[starts]
-                for start, key in zip(starts, keys.tolist()):
-                    by_length[length][key].append((k, start))
+            pieces = np.array(cut(len(p), most + 1))
+            starts, lengths = pieces[:, 0], pieces[:, 1] - pieces[:, 0]
+            keys = keys_at(sums, starts, lengths).tolist()
+            for start, length, key in zip(starts.tolist(), lengths.tolist(), keys):
+                by_length[length][key].append((k, start))
+            for q in {least if n >= self.SEED else n for n in set(lengths.tolist())}:
+                mine = starts[lengths >= self.SEED] if q >= self.SEED else starts[lengths == q]
+                begun[q].update(keys_at(sums, mine, np.full(len(mine), q)).tolist())
         self.pieces = {length: Pieces(found) for length, found in by_length.items()}
+        self.seeds = [(Seeds(q, np.array([*keys], np.uint64)), [n for n in self.pieces if (n >= self.SEED) == (q >= self.SEED) and (n == q or q >= self.SEED)]) for q, keys in begun.items()]
 
     def found(self, text: str) -> list[tuple[int, int]]:
         """(number of the item, least distance) of the items that the text holds."""
@@ -117,12 +136,13 @@ class Matcher:
         for low in range(0, len(points), _SEGMENT):
             part = points[low : low + _SEGMENT + longest - 1]
             sums = prefix_sums(part)
-            for length, pieces in self.pieces.items():
-                count = min(_SEGMENT, len(part) - length + 1)
-                if count > 0:
-                    for at, places in pieces.hits(window_keys(sums, length, count)):
+            for seeds, lengths in self.seeds:
+                at = seeds.places(sums, _SEGMENT)
+                for length in lengths if len(at) else ():
+                    whole = at[at + length <= len(part)]
+                    for n, places in self.pieces[length].hits(keys_at(sums, whole, length)):
                         for k, offset in places:
-                            starts[k].append(low + at - offset)
+                            starts[k].append(low + int(whole[n]) - offset)
         out = []
         for k, guesses in starts.items():
             _, p, most = self.items[k]

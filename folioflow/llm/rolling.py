@@ -54,5 +54,10 @@ def prefix_sums(points: np.ndarray) -> np.ndarray:
 
 
 def window_keys(sums: np.ndarray, length: int, windows: int) -> np.ndarray:
-    """Hashes of the first ``windows`` stretches of ``length`` points."""
-    return mix((sums[length : length + windows] - sums[:windows]) * power(UNBASE, windows) + np.uint64(length * 0x56E8FEB86659FD93 % (1 << 64)))
+    """Hashes of the first ``windows`` stretches of ``length`` points; the high bits depend on every point."""
+    return (sums[length : length + windows] - sums[:windows]) * power(UNBASE, windows)
+
+
+def keys_at(sums: np.ndarray, starts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
+    """Hashes of the stretches of ``lengths`` points from each of ``starts`` on."""
+    return (sums[starts + lengths] - sums[starts]) * power(UNBASE, len(sums))[starts]

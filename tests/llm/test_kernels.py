@@ -221,3 +221,18 @@ def test_short_texts_share_a_key_wherever_they_link():
         if len(y) <= near_dedup.FEW and near_dedup.aligned(x, y, 0.8):
             keys = [set(near_dedup.few_keys(near_dedup.labelled(v), 0.8).tolist()) for v in (x, y)]
             assert keys[0] & keys[1]
+
+
+def test_pieces_of_all_lengths_are_found():
+    random.seed(12)
+    letters = "abcdefghij"
+    items = [(n, "".join(random.choice(letters) for _ in range(n))) for n in [1, 3, 7, 8, 9, 15, 16, 17, 18, 31, 33, 50, 70, 140, 400]]
+    matcher = decontaminate.Matcher(items, 0.06)
+    for k, (n, item) in enumerate(items):
+        text = " ".join("".join(random.choice(letters) for _ in range(9)) for _ in range(30))
+        held = list(item)
+        for _ in range(decontaminate.budget(n, 0.06)):
+            held[random.randrange(n)] = "z"
+        found = dict(matcher.found(f"{text} {''.join(held)} {text}"))
+        want = {j: d for j, (m, other) in enumerate(items) if (d := _substring_distance(other, f"{text} {''.join(held)} {text}")) <= decontaminate.budget(m, 0.06)}
+        assert found == want and k in found

@@ -65,22 +65,22 @@ class MultiIndex:
         middle = self.halves[0].shape[1]
         one, other = squared(query[None, :middle], self.halves[0])[0], squared(query[None, middle:], self.halves[1])[0]
         left, right = np.argsort(one, kind="stable"), np.argsort(other, kind="stable")
-        taken, found, out = np.zeros((len(left) + 1, len(right) + 1), bool), 0, []
-        heap = [(one[left[0]] + other[right[0]], 0, 0)]
+        sizes = self.sizes[np.ix_(left, right)].tolist()
+        rows, columns, one, other = left.tolist(), right.tolist(), one[left].tolist(), other[right].tolist()
+        taken, found, out = [0] * len(rows), 0, []  # how many cells of each row have been taken
+        heap = [(one[0] + other[0], 0, 0)]
         while heap and found < enough:
             _, i, j = heappop(heap)
-            taken[i, j] = True
-            cell = int(left[i]), int(right[j])
-            if self.sizes[cell]:
-                found += int(self.sizes[cell])
-                out.append(cell)
-            if i + 1 < len(left) and (j == 0 or taken[i + 1, j - 1]):
-                heappush(heap, (one[left[i + 1]] + other[right[j]], i + 1, j))
-            if j + 1 < len(right) and (i == 0 or taken[i - 1, j + 1]):
-                heappush(heap, (one[left[i]] + other[right[j + 1]], i, j + 1))
+            taken[i] = j + 1
+            if sizes[i][j]:
+                found += sizes[i][j]
+                out.append((rows[i], columns[j]))
+            if i + 1 < len(rows) and taken[i + 1] == j:
+                heappush(heap, (one[i + 1] + other[j], i + 1, j))
+            if j + 1 < len(columns) and (i == 0 or taken[i - 1] > j + 1):
+                heappush(heap, (one[i] + other[j + 1], i, j + 1))
         return out
 
-
     def entries_until(self, query: np.ndarray, cells: list[tuple[int, int]]) -> list[int]:
         """For each cell how many entries a walk has passed once it has taken that cell."""
         middle = self.halves[0].shape[1]
@@ -194,7 +194,9 @@ def search(
             block = at[batch.column(2).to_numpy(), batch.column(3).to_numpy()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(block, pa.int32()), pa.array(parts[block], pa.int32()), pa.array(groups[block], pa.int32())], names=["id", "v", "j", "block", "parts", "groups"])
 
-    visits = work.keep(asked.mapInArrow(visit, f"id {kind}, v {element}, block int, js array<int>"), "visits")
+    # walks take time: no task has many, however few the queries are
+    walkers = asked.repartition(max(1, min(-(-asked.count() // 8), int(spark.conf.get("spark.sql.shuffle.partitions")))), "id")
+    visits = work.keep(walkers.mapInArrow(visit, f"id {kind}, v {element}, block int, js array<int>"), "visits")
     groups = np.ones(len(parts), np.int64)
     for r in visits.groupBy("block").agg(F.count("*").alias("n")).collect():  # no more rows than blocks
         groups[r["block"]] = -(-r["n"] // block_queries)

@@ -31,8 +31,10 @@ def test_parts_and_relations():
     assert [t.text for t in first.iter(f"{A}t")] == ["one < two", "three"]
     offsets = [(int(o.get("x")), int(o.get("y"))) for o in first.iter(f"{A}off")]
     assert offsets[-1] == (10 * 12700, 20 * 12700)
-    # the second page is twice as wide: half the scale, centred from top to bottom
-    assert [(int(o.get("x")), int(o.get("y"))) for o in second.iter(f"{A}off")][-1] == (5 * 12700, 85 * 12700)
+    # the second page is twice as wide: a group of half the scale, centred from top to bottom, with the page's own coordinates in it
+    group = second.find(".//{*}grpSp/{*}grpSpPr/{*}xfrm")
+    assert [tuple(int(v) for v in e.attrib.values()) for e in group] == [(0, 75 * 12700), (400 * 12700, 150 * 12700), (0, 0), (800 * 12700, 300 * 12700)]
+    assert [(int(o.get("x")), int(o.get("y"))) for o in second.iter(f"{A}off")][-1] == (10 * 12700, 20 * 12700)
     assert [r.get("sz") for r in second.iter(f"{A}rPr")] == ["600", "600"]
     with pytest.raises(ValueError):
         slides.presentation([])

@@ -73,3 +73,28 @@ def shoelace(points: Column) -> Column:
     n = F.size(points)
     terms = F.transform(points, lambda p, i: p["x"] * F.element_at(points, (F.pmod(i + 1, n) + 1).cast("int"))["y"] - F.element_at(points, (F.pmod(i + 1, n) + 1).cast("int"))["x"] * p["y"])
     return F.abs(F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)) / 2
+
+
+def _next(points: Column, i: Column, step: int = 1) -> Column:
+    return F.element_at(points, (F.pmod(i + step, F.size(points)) + 1).cast("int"))
+
+
+def perimeter(points: Column) -> Column:
+    """Length around a polygon given as an array of structs x, y."""
+    sides = F.transform(points, lambda p, i: F.hypot(_next(points, i)["x"] - p["x"], _next(points, i)["y"] - p["y"]))
+    return F.aggregate(sides, F.lit(0.0), lambda a, s: a + s)
+
+
+def turns(points: Column) -> Column:
+    """The cross product at each corner; of one sign in convex polygons."""
+    def cross(p: Column, i: Column) -> Column:
+        q, r = _next(points, i), _next(points, i, 2)
+        return (q["x"] - p["x"]) * (r["y"] - q["y"]) - (q["y"] - p["y"]) * (r["x"] - q["x"])
+
+    return F.transform(points, cross)
+
+
+def is_convex(points: Column) -> Column:
+    """Whether all corners turn the same way, none of them straight on."""
+    t = turns(points)
+    return F.forall(t, lambda x: x > 0) | F.forall(t, lambda x: x < 0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -218,3 +220,88 @@ def struck(glyphs: DataFrame, strokes: DataFrame, keys: list[str], key: str, til
     under = (F.col("y") >= base - size * 0.05) & (F.col("y") <= base + size * 0.22)
     through = (F.col("y") < base - size * 0.15) & (F.col("y") > base - size * 0.6)
     return met.where(under | through).groupBy(*keys, key).agg(F.bool_or(under).alias("underline"), F.bool_or(through).alias("strike"))
+
+
+def upright(ops: DataFrame, keys: list[str]) -> DataFrame:
+    """Text operators that are seen and turned by under three degrees, numbered by baseline and left edge."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("baseline", "l", "id")) - 1
+    return ops.where(~F.col("invisible") & (F.abs("angle") < 3)).withColumn("place", place)
+
+
+def layer_words(words: DataFrame, keys: list[str]) -> DataFrame:
+    """How many recognised words become a page's text layer: those with text and a width."""
+    return words.groupBy(*keys).agg(F.count_if((F.trim("text") != "") & (F.col("r") > F.col("l"))).alias("words"))
+
+
+def leadings(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """the mean step between a block's baselines, 1.2 sizes of its first line where it has one line; and how far a new font is stretched.
+
+    The ratio of the old width to the new one stays within 0.8 and 1.1; without either it is 1.
+    """
+    found = lines.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("baseline").alias("_low"), F.max("baseline").alias("_high"), F.min_by("size", F.struct("baseline", "id")).alias("_size"), F.sum(F.when(F.col("new_width") > 0, F.col("width"))).alias("_old"), F.sum(F.when(F.col("new_width") > 0, F.col("new_width"))).alias("_new"))
+    leading = F.when(F.col("_n") < 2, F.col("_size") * 1.2).otherwise((F.col("_high") - F.col("_low")) / (F.col("_n") - 1))
+    ratio = F.when((F.col("_old") > 0) & (F.col("_new") > 0), F.greatest(F.lit(0.8), F.least(F.lit(1.1), F.col("_old") / F.col("_new")))).otherwise(1.0)
+    return found.select(*keys, leading.alias("leading"), ratio.alias("ratio"))
+
+
+def decoded_spans(c: Column) -> Column:
+    """spans of a JSON list, with defaults for what a span leaves out."""
+    given = F.from_json(c, "array<struct<text:string,size:double,bold:boolean,color:bigint>>")
+    return F.transform(given, lambda s: F.struct(F.coalesce(s["text"], F.lit("")).alias("text"), F.coalesce(s["size"], F.lit(10.0)).alias("size"), F.coalesce(s["bold"], F.lit(False)).alias("bold"), F.coalesce(s["color"], F.lit(0xFF000000)).alias("color")))
+
+
+def same_blocks(one: DataFrame, other: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Blocks of two analyses that have the same number on the same page."""
+    numbered = lambda df, name: df.select(*keys, F.col(order).alias(name), F.row_number().over(Window.partitionBy(*keys).orderBy(order)).alias("_n"))
+    return numbered(one, "left").join(numbered(other, "right"), [*keys, "_n"]).drop("_n")
+
+
+def largest(df: DataFrame, keys: list[str], size: str, key: str, most: int) -> DataFrame:
+    """The ``most`` largest of each group, of equals those with the smaller key; Spark limits before it shuffles."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(size), key))
+    return df.withColumn("rank", place).where(F.col("rank") <= most)
+
+
+def with_ancestors(touched: DataFrame, parents: DataFrame, key: str, parent: str, rounds: int = 5) -> DataFrame:
+    """Units and all that they stand in, up to 2 ** ``rounds`` levels of nesting; each round doubles the reach by two equi joins."""
+    found, jump = touched.select(key).distinct(), parents.where(F.col(parent).isNotNull()).select(F.col(key).alias("_k"), F.col(parent).alias("_p"))
+    for n in range(rounds):
+        found = found.union(found.join(jump, F.col(key) == F.col("_k")).select(F.col("_p").alias(key))).distinct()
+        if n + 1 < rounds:
+            jump = jump.join(jump.select(F.col("_k").alias("_p"), F.col("_p").alias("_q")), "_p").select("_k", F.col("_q").alias("_p"))
+    return found
+
+
+def stretched(low: Column, high: Column) -> Column:
+    """a lookup table of 256 entries that stretches low..high to 0..255."""
+    ends = F.struct(low.alias("low"), high.alias("high"))
+    spread = lambda e, v: F.when(e["high"] > e["low"], F.greatest(F.lit(0), F.least(F.lit(255), F.floor((v - e["low"]) * 255.0 / (e["high"] - e["low"]) + 0.5)))).otherwise(v)
+    return _bound(ends, lambda e: F.transform(F.sequence(F.lit(0), F.lit(255)), lambda v: spread(e, v).cast("int")))
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once a row, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def looked_up(values: Column, *tables: Column) -> Column:
+    """values 0 to 255 through one lookup table after the other."""
+    for lut in tables:
+        values = _bound(lut, _entries(values))
+    return values
+
+
+def without_first(parts: Column, n: Column) -> Column:
+    """texts of spans without their first ``n`` signs in all, empty ones left out."""
+    ends = F.transform(parts, lambda p, i: F.aggregate(F.slice(parts, 1, i + 1), F.lit(0), lambda a, x: a + F.length(x)))
+    kept = F.zip_with(parts, ends, lambda p, e: F.when(e - F.length(p) >= n, p).when(e > n, F.right(p, e - n)).otherwise(F.lit("")))
+    return F.filter(kept, lambda p: p != "")
+
+
+def tail_text(parts: Column, n: int) -> Column:
+    """the last ``n`` signs of spans."""
+    return F.right(F.array_join(parts, ""), F.lit(n))
+
+
+def _entries(values: Column) -> Callable[[Column], Column]:
+    return lambda lut: F.transform(values, lambda v: F.element_at(lut, v + 1))

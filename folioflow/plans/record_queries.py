@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from folioflow.functions import binary as b
+from folioflow.functions import geometry as g
 from folioflow.functions import reading
 from folioflow.functions import text as t
 from folioflow.functions.numbers import is_numeric_text
@@ -305,7 +307,7 @@ SELECT conv_id, turn, CAST(i - 1 AS INT) AS n, c[i] AS chunk FROM (SELECT conv_i
 )
 def reading_chunks(spark, sf_dir):
     """each turn said three times, packed for reading."""
-    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(" ", "text", "text", "text").alias("text")).where("text <> ''")
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(" ", "text", "text", "text").alias("text"))
     return said.select("conv_id", "turn", F.posexplode(reading.packed_sentences(F.col("text"))).alias("n", "chunk"))
 
 
@@ -317,16 +319,15 @@ def encodable_text(spark, sf_dir):
 
 @query(
     "wrapped_lines",
-    """WITH w AS (SELECT conv_id, turn, string_split(replace(text, chr(10), ' '), ' ') AS l FROM conversations WHERE text <> '' AND len(list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: length(x) > 30)) = 0),
-f AS (SELECT conv_id, turn, list_reduce(list_prepend([''], list_transform(l, lambda x: [x])), lambda a, x: CASE WHEN a[len(a)] = '' THEN list_append(a[1:len(a) - 1], x[1]) WHEN length(a[len(a)]) + 1 + length(x[1]) <= 30 THEN list_append(a[1:len(a) - 1], a[len(a)] || ' ' || x[1]) ELSE list_append(a, x[1]) END) AS c FROM w)
+    """WITH w AS (SELECT conv_id, turn, string_split(replace(text, chr(10), ' '), ' ') AS l FROM conversations WHERE text IS NOT NULL),
+f AS (SELECT conv_id, turn, list_reduce(list_prepend([''], list_transform(l, lambda x: [x])), lambda a, x: CASE WHEN a[len(a)] = '' AND length(x[1]) > 6 THEN list_concat(a[1:len(a) - 1], list_transform(range(0, (length(x[1]) + 5) // 6), lambda i: substr(x[1], CAST(i * 6 + 1 AS BIGINT), 6)))
+WHEN a[len(a)] = '' THEN list_append(a[1:len(a) - 1], x[1]) WHEN length(a[len(a)]) + 1 + length(x[1]) <= 6 THEN list_append(a[1:len(a) - 1], a[len(a)] || ' ' || x[1]) ELSE list_append(a, x[1]) END) AS c FROM w)
 SELECT conv_id, turn, CAST(i - 1 AS INT) AS n, c[i] AS line FROM (SELECT conv_id, turn, c, unnest(range(1, len(c) + 1)) AS i FROM f)""",
 )
 def wrapped_lines(spark, sf_dir):
-    """turns without a word that must be cut, wrapped at 30 signs; tests cut longer words."""
-    flat = F.replace("text", F.lit("\n"), F.lit(" "))
-    short = F.forall(F.split(flat, " ", -1), lambda x: F.length(x) <= 30)
-    said = table(spark, sf_dir, "conversations").where(short & (F.col("text") != ""))
-    return said.select("conv_id", "turn", F.posexplode(reading.wrapped(flat, 30)).alias("n", "line"))
+    """turns wrapped at six signs; a longer word is cut where it begins the text."""
+    said = table(spark, sf_dir, "conversations").where("text is not null")
+    return said.select("conv_id", "turn", F.posexplode(reading.wrapped(F.replace("text", F.lit("\n"), F.lit(" ")), 6)).alias("n", "line"))
 
 
 LINEAR = "CASE WHEN {0} / 255.0 <= 0.03928 THEN {0} / 255.0 / 12.92 ELSE pow(({0} / 255.0 + 0.055) / 1.055, 2.4) END"
@@ -360,3 +361,99 @@ def spoken_sentences(spark, sf_dir):
     """F8: every turn's sentences with their places, at most 280 signs each; held by a test against a loop."""
     said = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(reading.spoken_pieces(F.col("text"))).alias("n", "piece"))
     return said.select("conv_id", "turn", "n", "piece.start", "piece.end", "piece.text")
+
+
+# ---- small filters, counts and forms
+
+
+@query("upright_text", "SELECT p_partkey % 97 AS page, p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey % 97 ORDER BY p_size, p_retailprice, p_partkey) - 1 AS INT) AS place FROM part WHERE p_partkey % 8 <> 0 AND abs(p_partkey % 11 - 5) < 3")
+def upright_text(spark, sf_dir):
+    """P6, O4."""
+    k = F.col("p_partkey")
+    ops = table(spark, sf_dir, "part").select((k % 97).alias("page"), k.alias("id"), F.col("p_size").alias("baseline"), F.col("p_retailprice").alias("l"), (k % 8 == 0).alias("invisible"), (k % 11 - 5).alias("angle"))
+    return r.upright(ops, ["page"]).select("page", F.col("id").alias("p_partkey"), "place")
+
+
+@query("layer_words", "SELECT conv_id, count(*) FILTER (trim(CASE WHEN turn % 4 = 0 THEN ' ' ELSE text END) <> '' AND turn % 3 > 0) AS words FROM conversations GROUP BY conv_id")
+def layer_words(spark, sf_dir):
+    """K13, D18, A24."""
+    words = table(spark, sf_dir, "conversations").select("conv_id", F.when(F.col("turn") % 4 == 0, F.lit(" ")).otherwise(F.col("text")).alias("text"), F.lit(0).alias("l"), (F.col("turn") % 3).alias("r"))
+    return r.layer_words(words, ["conv_id"])
+
+
+@query("line_leadings", "WITH x AS (SELECT o_custkey, o_orderkey AS id, CAST(o_orderkey % 700 AS DOUBLE) AS baseline, CAST(o_orderkey % 9 + 8 AS DOUBLE) AS size, CAST(o_orderkey % 50 AS DOUBLE) AS width, CAST(o_orderkey % 45 AS DOUBLE) AS w FROM orders), g AS (SELECT o_custkey, count(*) AS n, min(baseline) AS lo, max(baseline) AS hi, arg_min(size, struct_pack(b := baseline, i := id)) AS size, sum(width) FILTER (w > 0) AS old, sum(w) FILTER (w > 0) AS new FROM x GROUP BY 1) SELECT o_custkey, CAST(CASE WHEN n < 2 THEN size * 1.2 ELSE (hi - lo) / (n - 1) END AS DOUBLE) AS leading, CAST(CASE WHEN old > 0 AND new > 0 THEN greatest(0.8::DOUBLE, least(1.1::DOUBLE, old / new)) ELSE 1 END AS DOUBLE) AS ratio FROM g")
+def line_leadings(spark, sf_dir):
+    """F53."""
+    k = F.col("o_orderkey")
+    lines = table(spark, sf_dir, "orders").select("o_custkey", k.alias("id"), *(c.cast("double").alias(n) for n, c in (("baseline", k % 700), ("size", k % 9 + 8), ("width", k % 50), ("new_width", k % 45))))
+    return r.leadings(lines, ["o_custkey"])
+
+
+@query("decoded_spans", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE '' END AS text, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS DOUBLE) ELSE 10.0::DOUBLE END AS size, p_partkey % 5 = 0 AS bold, 4278190080 AS color FROM part")
+def decoded_spans(spark, sf_dir):
+    """spans whose JSON leaves fields out by turns."""
+    k = F.col("p_partkey")
+    fields = F.struct(F.when(k % 2 == 0, F.col("p_name")).alias("text"), F.when(k % 3 == 0, F.col("p_size")).alias("size"), F.when(k % 5 == 0, F.lit(True)).alias("bold"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.inline(r.decoded_spans(F.to_json(F.array(fields)))))
+
+
+@query("same_blocks", "WITH a AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE turn % 2 = 0)), b AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE turn % 3 <> 1)) SELECT a.conv_id, a.turn AS left, b.turn AS right FROM a JOIN b USING (conv_id, n)".replace("AS left", 'AS "left"').replace("AS right", 'AS "right"'))
+def same_blocks(spark, sf_dir):
+    """Two analyses of each conversation, one of even turns."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn").distinct()
+    return r.same_blocks(turns.where("turn % 2 = 0"), turns.where("turn % 3 <> 1"), ["conv_id"], "turn")
+
+
+@query("largest_parts", "SELECT page, k, CAST(n AS INT) AS rank FROM (SELECT p_partkey % 97 AS page, p_partkey AS k, row_number() OVER (PARTITION BY p_partkey % 97 ORDER BY p_size DESC, p_partkey) AS n FROM part) WHERE n <= 3")
+def largest_parts(spark, sf_dir):
+    """The three largest of each page."""
+    k = F.col("p_partkey")
+    return r.largest(table(spark, sf_dir, "part").select((k % 97).alias("page"), k.alias("k"), "p_size"), ["page"], "p_size", "k", 3).select("page", "k", "rank")
+
+
+@query("touched_units", "WITH RECURSIVE u AS (SELECT p_partkey AS unit FROM part WHERE p_partkey % 37 = 0 UNION SELECT unit // 3 FROM u WHERE unit // 3 > 0) SELECT unit FROM u")
+def touched_units(spark, sf_dir):
+    """A unit stands in the one of a third of its number."""
+    keys = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("unit"))
+    parents = keys.withColumn("parent", F.floor(F.col("unit") / 3)).where("parent > 0")
+    return r.with_ancestors(keys.where("unit % 37 = 0"), parents, "unit", "parent")
+
+
+@query("stretched_planes", "WITH x AS (SELECT vec_id, [CAST(greatest(0, least(255, floor((v + 1) * 128))) AS INT) FOR v IN embedding] AS p FROM embeddings), y AS (SELECT vec_id, p, list_min(p) AS lo, list_max(p) AS hi FROM x) SELECT vec_id, CAST(list_sum([CASE WHEN hi > lo THEN CAST(greatest(0, least(255, floor((v - lo) * 255.0::DOUBLE / (hi - lo) + 0.5))) AS INT) ELSE v END FOR v IN p]) AS BIGINT) AS total FROM y")
+def stretched_planes(spark, sf_dir):
+    """planes through the lookup table that stretches them."""
+    plane = F.transform("embedding", lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((v + 1) * 128))).cast("int"))
+    held = table(spark, sf_dir, "embeddings").select("vec_id", plane.alias("p"))
+    shown = r.looked_up(F.col("p"), r.stretched(F.array_min("p"), F.array_max("p")))
+    return held.select("vec_id", F.aggregate(shown, F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
+
+
+@query("span_edits", "WITH x AS (SELECT p_partkey, [p_name, p_brand, p_type] AS parts, p_name || p_brand || p_type AS whole, p_partkey % 25 AS n FROM part) SELECT p_partkey, substr(whole, n + 1) AS rest, right(whole, 9) AS tail FROM x")
+def span_edits(spark, sf_dir):
+    """spans without their first signs, and their last ones."""
+    parts = F.array("p_name", "p_brand", "p_type")
+    rest = r.without_first(parts, (F.col("p_partkey") % 25).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(rest, "").alias("rest"), r.tail_text(parts, 9).alias("tail"))
+
+
+@query("quads", "WITH q AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS s, CAST(p_partkey % 23 AS DOUBLE) AS d FROM part), c AS (SELECT *, [0.0, s, d, 0.0]::DOUBLE[] AS xs, [0.0, 0.0, d, s]::DOUBLE[] AS ys FROM q), t AS (SELECT *, [(xs[i % 4 + 1] - xs[i]) * (ys[(i + 1) % 4 + 1] - ys[i % 4 + 1]) - (ys[i % 4 + 1] - ys[i]) * (xs[(i + 1) % 4 + 1] - xs[i % 4 + 1]) FOR i IN [1, 2, 3, 4]] AS z FROM c) SELECT p_partkey, CAST(abs(list_sum([xs[i] * ys[i % 4 + 1] - xs[i % 4 + 1] * ys[i] FOR i IN [1, 2, 3, 4]])) / 2 AS DOUBLE) AS area, round(list_sum([sqrt(pow(xs[i % 4 + 1] - xs[i], 2) + pow(ys[i % 4 + 1] - ys[i], 2)) FOR i IN [1, 2, 3, 4]]), 6) AS around, list_min(z) > 0 OR list_max(z) < 0 AS convex FROM t")
+def quads(spark, sf_dir):
+    """area, length around and convexity of four corners."""
+    s, d, o = F.col("p_size").cast("double"), (F.col("p_partkey") % 23).cast("double"), F.lit(0.0)
+    corners = F.array(*(F.struct(x.alias("x"), y.alias("y")) for x, y in ((o, o), (s, o), (d, d), (o, s))))
+    return table(spark, sf_dir, "part").select("p_partkey", g.shoelace(corners).alias("area"), F.round(g.perimeter(corners), 6).alias("around"), g.is_convex(corners).alias("convex"))
+
+
+@query("image_kinds", "SELECT p_partkey, ['png', 'jpeg', 'gif', 'webp', 'unknown', 'tiff'][p_partkey % 6 + 1] AS kind FROM part")
+def image_kinds(spark, sf_dir):
+    """kinds by first bytes."""
+    heads = ("89504E470D0A1A0A00", "FFD8FFE000", "474946383961", "52494646000000005745425056", "00112233", "49492A0008")
+    head = F.element_at(F.array(*(F.lit(h) for h in heads)), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", b.image_kind(F.unhex(head)).alias("kind"))
+
+
+@query("stored_signatures", "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INT) AS place FROM events WHERE event_type = 'purchase'")
+def stored_signatures(spark, sf_dir):
+    """Each user's signatures, newest first."""
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
+    return table(spark, sf_dir, "events").where("event_type = 'purchase'").select("event_id", place.alias("place"))

@@ -11,6 +11,7 @@ from folioflow.functions import reading
 from folioflow.functions import text as t
 from folioflow.functions.numbers import is_numeric_text
 from folioflow.operators import records as r
+from folioflow.operators import scans
 from folioflow.plans.registry import query
 from folioflow.session import table
 
@@ -457,3 +458,39 @@ def stored_signatures(spark, sf_dir):
     """Each user's signatures, newest first."""
     place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
     return table(spark, sf_dir, "events").where("event_type = 'purchase'").select("event_id", place.alias("place"))
+
+
+# ---- planes of scans: each vector as eight by eight pixels
+
+PLANES = """x AS (SELECT vec_id, unnest(range(0, 64)) AS i, [CAST(greatest(0, least(255, floor((v + 1) * 128))) AS INT) FOR v IN embedding] AS p FROM embeddings WHERE len(embedding) = 64),
+w AS (SELECT vec_id, i, p[i + 1] AS v, [p[CAST(greatest(0, least(7, i // 8 + d // 3 - 1)) * 8 + greatest(0, least(7, i % 8 + d % 3 - 1)) + 1 AS BIGINT)] FOR d IN range(0, 9)] AS n FROM x)"""
+
+
+def planes(spark, sf_dir):
+    plane = F.transform("embedding", lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((v + 1) * 128))).cast("int"))
+    return table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64).select("vec_id", F.lit(8).alias("width"), F.lit(8).alias("height"), plane.alias("pixels"))
+
+
+def _pixels(df, name):
+    return df.select("vec_id", F.posexplode("pixels").alias("i", name)).withColumn("i", F.col("i").cast("long"))
+
+
+@query("local_spread", f"WITH {PLANES} SELECT vec_id, i, round(list_avg(n), 3) AS mean, round(list_avg([a * a FOR a IN n]) - list_avg(n) * list_avg(n), 1) AS variance FROM w")
+def local_spread(spark, sf_dir):
+    """Mean and variance over nine pixels, the edge repeated."""
+    held = planes(spark, sf_dir)
+    mean, spread = (_pixels(scans.filtered(held, kernel, 1, key="vec_id"), name) for kernel, name in (("local_mean", "mean"), ("local_variance", "variance")))
+    return mean.join(spread, ["vec_id", "i"]).select("vec_id", "i", F.round("mean", 3).alias("mean"), F.round("variance", 1).alias("variance"))
+
+
+@query("inked_pixels", f"WITH {PLANES}, m AS (SELECT vec_id, i, v, list_avg(n) AS m, sqrt(greatest(0, list_avg([a * a FOR a IN n]) - list_avg(n) * list_avg(n))) AS s FROM w), k AS (SELECT vec_id, i, v < m * (1 + 0.25 * (s / 128 - 1)) AS ink FROM m), g AS (SELECT a.vec_id, a.i, a.ink, count(*) FILTER (b.ink) AS others FROM k a JOIN k b ON a.vec_id = b.vec_id AND abs(a.i % 8 - b.i % 8) <= 1 AND abs(a.i // 8 - b.i // 8) <= 1 AND a.i <> b.i GROUP BY 1, 2, 3) SELECT vec_id, count(*) AS pixels FROM g WHERE ink AND (others > 0 OR i % 8 IN (0, 7) OR i // 8 IN (0, 7)) GROUP BY vec_id")
+def inked_pixels(spark, sf_dir):
+    """Black pixels of planes in black and white, without specks."""
+    black = _pixels(scans.filtered(planes(spark, sf_dir), "black_white", 1, key="vec_id"), "v").where("v = 0")
+    return black.groupBy("vec_id").agg(F.count("*").alias("pixels"))
+
+
+@query("turned_planes", f"WITH x AS (SELECT vec_id, embedding AS e FROM embeddings WHERE len(embedding) = 64) SELECT vec_id, i, CAST(greatest(0, least(255, floor((e[CAST((7 - i % 8) * 8 + i // 8 + 1 AS BIGINT)] + 1) * 128))) AS DOUBLE) AS v FROM x, (SELECT unnest(range(0, 64)) AS i)")
+def turned_planes(spark, sf_dir):
+    """planes turned clockwise by a quarter."""
+    return _pixels(scans.filtered(planes(spark, sf_dir), "turned", 1, key="vec_id"), "v")

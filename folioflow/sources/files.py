@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions import binary as b
+from folioflow.sources import markdown, plain_text, word, workbook
 
 #: Readers by extension; csv is read as plain text.
 READERS = {"docx": "docx", "md": "markdown", "markdown": "markdown", "txt": "text", "text": "text", "log": "text", "csv": "text", "xlsx": "xlsx"}
@@ -33,9 +34,29 @@ def reader_of(path: str = "path"):
 
 
 def library(spark: SparkSession, path: str) -> DataFrame:
-    """The library's records; missing fields get their defaults, broken lines are left out."""
-    rows = spark.read.schema(LIBRARY).option("mode", "DROPMALFORMED").json(path)
-    return rows.select("path", F.timestamp_millis("lastOpened").alias("last_opened"), F.coalesce("starred", F.lit(False)).alias("starred"), F.coalesce("lastPage", F.lit(0)).alias("last_page"), F.col("pageCount").alias("page_count"), F.coalesce("bookmarks", F.array()).alias("bookmarks")).where("path is not null")
+    """The library's records; missing fields get their defaults. Broken lines are no records; ``broken_lines`` has them."""
+    return _told(spark, path).where("path is not null").select("path", F.timestamp_millis("lastOpened").alias("last_opened"), F.coalesce("starred", F.lit(False)).alias("starred"), F.coalesce("lastPage", F.lit(0)).alias("last_page"), F.col("pageCount").alias("page_count"), F.coalesce("bookmarks", F.array()).alias("bookmarks"))
+
+
+def broken_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line) of the library's lines that are no records, so that none is lost without a word."""
+    return _told(spark, path).where("path is null").select(F.coalesce("line", F.to_json(F.struct("lastOpened", "starred", "lastPage", "pageCount"))).alias("line"))
+
+
+def _told(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{LIBRARY}, line string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "line").json(path)
+
+
+def read_documents(files: DataFrame) -> DataFrame:
+    """The blocks of (path, content) files by the reader that each extension asks for; others are left out."""
+    wanted = files.select("path", "content", reader_of().alias("reader")).where("reader is not null")
+    text = lambda kind: wanted.where(F.col("reader") == kind).select("path", F.decode("content", "UTF-8").alias("text"))
+    data = lambda kind: wanted.where(F.col("reader") == kind).select("path", "content")
+    plain = plain_text.as_blocks(plain_text.read_blocks(text("text"), "path"))
+    parts = [markdown.read_blocks(text("markdown"), "path"), word.read_blocks(data("docx"), "path"), workbook.read_blocks(data("xlsx"), "path")]
+    for part in parts:
+        plain = plain.unionByName(part, allowMissingColumns=True)
+    return plain
 
 
 def recents(records: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
+from functools import partial
 from datetime import datetime, timedelta
 from decimal import ROUND_HALF_UP, Decimal
 from xml.etree import ElementTree
@@ -240,16 +241,16 @@ def grid(cells: Iterator[tuple[int, int, str]], max_cells: int = MAX_CELLS) -> t
     return rows, len(rows) > 1 and 2 * len(labels) >= width and all(map(_is_label, labels))
 
 
-def workbook_blocks(data: bytes) -> Iterator[Block]:
+def workbook_blocks(data: bytes, max_cells: int = MAX_CELLS) -> Iterator[Block]:
     """A heading of level 1 with the sheet's name, then its table unless empty."""
     book = _Book(_Package(data))
     for name, sheet in book.sheets():
         yield {"kind": "heading", "level": 1, "spans": [{"text": name}]}
-        rows, has_header = grid(book.cells(sheet))
+        rows, has_header = grid(book.cells(sheet), max_cells)
         if rows:
             yield {"kind": "table", "rows": rows, "has_header": has_header}
 
 
-def read_blocks(files: DataFrame, id_col: str = "path", content_col: str = "content", mode: str = "FAILFAST") -> DataFrame:
-    """Blocks of workbooks, such as ``spark.read.format("binaryFile")`` gives; a file is one row."""
-    return parsed(files, id_col, content_col, workbook_blocks, mode)
+def read_blocks(files: DataFrame, id_col: str = "path", content_col: str = "content", mode: str = "FAILFAST", max_cells: int = MAX_CELLS) -> DataFrame:
+    """Blocks of workbooks, such as ``spark.read.format("binaryFile")`` gives; a file is one row, a sheet has at most ``max_cells``."""
+    return parsed(files, id_col, content_col, partial(workbook_blocks, max_cells=max_cells), mode)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -71,15 +72,23 @@ def stability(stream: DataFrame, key: str, time: str, value: str, move: float =
     return stream.select(key, time, value).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, at_ms long", "reference double, since long", "append", GroupStateTimeout.NoTimeout)
 
 
-def doubling(recompute: Callable[[DataFrame], None], rows: Callable[[], DataFrame], first: int = 1) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that recomputes over all rows so far whenever their number has doubled."""
-    due = [first]
+def doubling(recompute: Callable[[DataFrame], None], rows: Callable[[], DataFrame], state: str, first: int = 1) -> Callable[[DataFrame, int], None]:
+    """T4: a foreachBatch function that recomputes over all rows so far whenever their number has doubled.
+
+    The number of rows at the last time stands in a table in the folder ``state``,
+    next to the output, so a stream that is started again goes on from there.
+    """
 
     def batch(df: DataFrame, epoch: int) -> None:
         everything = rows()
+        spark = everything.sparkSession
+        try:
+            due = 2 * spark.read.schema("n long").parquet(state).agg({"n": "max"}).first()[0]
+        except AnalysisException:  # not there yet
+            due = first
         n = everything.count()
-        if n >= due[0]:
+        if n >= due:
             recompute(everything)
-            due[0] = 2 * n
+            spark.createDataFrame([(n,)], "n long").write.mode("append").parquet(state)
 
     return batch

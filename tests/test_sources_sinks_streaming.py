@@ -71,7 +71,14 @@ def test_listing_and_library(spark, tmp_path):
     store = tmp_path / "lib.json"
     store.write_text("\n".join([json.dumps({"path": "a", "lastOpened": 1000}), json.dumps({"path": "b", "lastOpened": 2000, "starred": True}), "broken", json.dumps({"path": "c"})]))
     got = files.library(spark, f"file://{store}")
-    assert [r["path"] for r in files.recents(got).collect()] == ["b", "a"]
+    assert [r["path"] for r in files.recents(got).collect()] == ["b", "a"] and got.count() == 3
+    assert [r["line"] for r in files.broken_lines(spark, f"file://{store}").collect()] == ["broken"]
+
+
+def test_files_go_to_the_reader_of_their_extension(spark):
+    rows = [("/a.md", "# Head\n\ntext"), ("/b.txt", "- item\n\nplain"), ("/c.CSV", "x,y"), ("/d.pdf", "%PDF")]
+    blocks = files.read_documents(spark.createDataFrame([(p, bytearray(c.encode())) for p, c in rows], "path string, content binary"))
+    assert sorted((r["path"], r["kind"]) for r in blocks.collect()) == [("/a.md", "heading"), ("/a.md", "paragraph"), ("/b.txt", "list_item"), ("/b.txt", "paragraph"), ("/c.CSV", "paragraph")]
 
 
 def test_throttle_and_stability():
@@ -96,9 +103,8 @@ def test_throttled_stream(spark, tmp_path):
     assert abs(spark.table("throttled").count() - want) <= 1
 
 
-def test_doubling(spark):
+def test_doubling(spark, tmp_path):
     seen, n = [], [1]
-    step = triggers.doubling(lambda df: seen.append(df.count()), lambda: spark.range(n[0]))
-    for n[0] in (1, 2, 3, 4, 7, 8, 20):
-        step(None, 0)
+    for n[0] in (1, 2, 3, 4, 7, 8, 20):  # started again for each batch
+        triggers.doubling(lambda df: seen.append(df.count()), lambda: spark.range(n[0]), f"file://{tmp_path}/state")(None, 0)
     assert seen == [1, 2, 4, 8, 20]

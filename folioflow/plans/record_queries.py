@@ -10,6 +10,7 @@ from folioflow.functions import geometry as g
 from folioflow.functions import reading
 from folioflow.functions import text as t
 from folioflow.functions.numbers import is_numeric_text
+from folioflow.operators import glyphs
 from folioflow.operators import records as r
 from folioflow.operators import scans
 from folioflow.plans.registry import query
@@ -494,3 +495,35 @@ def inked_pixels(spark, sf_dir):
 def turned_planes(spark, sf_dir):
     """planes turned clockwise by a quarter."""
     return _pixels(scans.filtered(planes(spark, sf_dir), "turned", 1, key="vec_id"), "v")
+
+
+# ---- glyphs and text operators: each turn as a line of signs five points wide
+
+SAID = "s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n, text FROM conversations WHERE text IS NOT NULL)"
+
+
+def said(spark, sf_dir):
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text"))
+    return table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", n.alias("n"), "text")
+
+
+@query("glyph_lines", rf"WITH {SAID} SELECT conv_id, CAST(n * 20 AS DOUBLE) AS baseline, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g') AS text FROM s WHERE regexp_matches(text, '\S')")
+def glyph_lines(spark, sf_dir):
+    """The signs of every turn put together again; blanks in a row are one."""
+    signs = said(spark, sf_dir).select("conv_id", "n", F.posexplode(F.filter(F.split("text", ""), lambda x: x != "")).alias("i", "sign"))
+    base, left = (F.col("n") * 20).cast("double"), F.col("i") * 5.0
+    drawn = signs.select("conv_id", "n", "i", "sign", base.alias("baseline"), left.alias("l"), (left + 5).alias("r"), (base - 8).alias("t"), (base + 2).alias("b"), F.lit(0.0).alias("angle"), F.lit(10.0).alias("size"), F.lit(False).alias("bold"), F.lit(False).alias("italic"), F.lit("Sans").alias("font"), F.lit(0).cast("long").alias("color"), F.lit(False).alias("underline"), F.lit(False).alias("strike"), F.lit(None).cast("string").alias("link"))
+    found = glyphs.lines(drawn, ["conv_id"], ["n", "i"])
+    return found.select("conv_id", "baseline", F.array_join(F.transform("spans", lambda s: s["text"]), "|").alias("text"))
+
+
+@query("operator_blocks", rf"WITH {SAID}, p AS (SELECT conv_id, n, sum(CASE WHEN n % 3 = 0 THEN 40 ELSE 12 END) OVER (PARTITION BY conv_id ORDER BY n) AS y, CASE WHEN n % 3 = 0 THEN 1 ELSE 0 END AS opens, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g') AS text FROM s WHERE regexp_matches(text, '\S')), q AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR opens = 1 THEN 1 ELSE 0 END AS first FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY n)) SELECT conv_id, CAST(sum(first) OVER (PARTITION BY conv_id ORDER BY n) - 1 AS INT) AS block_no, CAST(y AS DOUBLE) AS baseline, text FROM q")
+def operator_blocks(spark, sf_dir):
+    """The words of every turn as operators, every third turn set further down."""
+    held = said(spark, sf_dir).where(F.col("text").rlike(r"\S"))
+    down = F.sum(F.when(F.col("n") % 3 == 0, 40).otherwise(12)).over(Window.partitionBy("conv_id").orderBy("n"))
+    words = F.filter(F.split("text", r"\s+"), lambda x: x != "")
+    placed = held.withColumn("baseline", down.cast("double")).select("conv_id", "n", "baseline", F.posexplode(words).alias("i", "text"))
+    before = F.coalesce(F.sum(F.length("text") + 1).over(Window.partitionBy("conv_id", "n").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) * 5.0
+    ops = placed.withColumn("l", before).select("conv_id", F.struct("n", "i").alias("id"), "l", (F.col("baseline") - 8).alias("t"), (F.col("l") + F.length("text") * 5.0).alias("r"), (F.col("baseline") + 2).alias("b"), "baseline", F.lit(10.0).alias("size"), "text", F.lit(0.0).alias("angle"), F.lit(False).alias("invisible"))
+    return glyphs.text_blocks(ops, ["conv_id"]).select("conv_id", "block_no", "baseline", "text")

@@ -8,6 +8,8 @@ from folioflow.functions.raster import box_mean_variance
 
 #: Weight of the spread in Sauvola's threshold, and the spread that counts as full.
 SAUVOLA, FULL_SPREAD = 0.25, 128.0
+#: A range of fewer values isn't stretched.
+LEAST_RANGE = 16
 
 
 def homography(source: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -64,35 +66,45 @@ def turned(plane: np.ndarray, quarters: int) -> np.ndarray:
     return np.rot90(plane, -quarters)
 
 
-def sauvola(plane: np.ndarray, radius: int, k: float = SAUVOLA) -> np.ndarray:
-    """which pixels are ink: below the local mean lowered where the local spread is small."""
+def sauvola(plane: np.ndarray, radius: int, k: float = SAUVOLA, closed: bool = False) -> np.ndarray:
+    """which pixels are ink: below the local mean lowered where the local spread is small; ``closed`` has pixels at that very value in it."""
     mean, variance = box_mean_variance(plane, radius)
-    return plane < mean * (1 + k * (np.sqrt(np.maximum(variance, 0)) / FULL_SPREAD - 1))
+    limit = mean * (1 + k * (np.sqrt(np.maximum(variance, 0)) / FULL_SPREAD - 1))
+    return plane <= limit if closed else plane < limit
 
 
 def stretched(low: float, high: float) -> np.ndarray:
-    """a table of 256 values that spreads low..high over all."""
-    span = max(high - low, 1)
-    return np.clip(np.floor((np.arange(256) - low) * 255 / span + 0.5), 0, 255).astype(np.uint8)
+    """a table of 256 values that spreads low..high over all; under 16 values there is too little to spread."""
+    values = np.arange(256)
+    if high - low < LEAST_RANGE:
+        return values.astype(np.uint8)
+    return np.floor(np.clip((values - low) * (255.0 / (high - low)), 0, 255) + 0.5).astype(np.uint8)
 
 
-def lighting(plane: np.ndarray, passes: int = 5, below: float = 2.0) -> np.ndarray:
-    """A quadratic surface through the paper's brightness, fitted again and again without what lies well below it."""
+def lighting(plane: np.ndarray, passes: int = 5) -> np.ndarray:
+    """A quadratic surface through the paper's brightness, fitted again and again without what lies well below it.
+
+    The first fit takes the brighter half. Fewer than 12 samples have no surface but
+    their upper median.
+    """
     h, w = plane.shape
-    y, x = np.mgrid[:h, :w]
-    u, v = (x.ravel() / max(w - 1, 1)) * 2 - 1, (y.ravel() / max(h - 1, 1)) * 2 - 1
-    terms, values = np.column_stack([np.ones_like(u), u, v, u * u, u * v, v * v]), plane.ravel().astype(float)
-    held = np.ones(len(values), bool)
-    weights = np.zeros(6)
+    across, down = (2 * np.arange(n) / max(n - 1, 1) - 1 for n in (w, h))
+    terms = lambda x, y: np.stack([np.ones_like(x), x, y, x * x, x * y, y * y], -1)
+    step = max(1, min(h, w) // 40)
+    samples, values = terms(*np.meshgrid(across[::step], down[::step])).reshape(-1, 6), plane[::step, ::step].astype(float).ravel()
+    middle = np.sort(values)[len(values) // 2]
+    weights, held = None, values >= middle
     for _ in range(passes):
-        weights = np.linalg.lstsq(terms[held], values[held], rcond=None)[0]
-        off = values - terms @ weights
-        spread = off[held].std()
-        kept = off > -below * max(spread, 1e-6)
-        if kept.sum() < 6 or (kept == held).all():
+        if held.sum() < 12 or np.linalg.matrix_rank(samples[held]) < 6:
+            break
+        weights = np.linalg.lstsq(samples[held], values[held], rcond=None)[0]
+        fit = samples @ weights
+        before, held = held, values >= fit - np.maximum(8.0, 0.1 * fit)
+        if (before == held).all():
             break
-        held = kept
-    return (terms @ weights).reshape(h, w)
+    if weights is None or not weights.any():
+        return np.full((h, w), max(float(middle), 1.0))
+    return np.clip(terms(*np.meshgrid(across, down)) @ weights, 1, 255)
 
 
 def components(mask: np.ndarray) -> np.ndarray:

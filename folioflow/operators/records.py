@@ -273,9 +273,9 @@ def with_ancestors(touched: DataFrame, parents: DataFrame, key: str, parent: str
 
 
 def stretched(low: Column, high: Column) -> Column:
-    """a lookup table of 256 entries that stretches low..high to 0..255."""
+    """a lookup table of 256 entries that stretches low..high to 0..255; under 16 values nothing is stretched."""
     ends = F.struct(low.alias("low"), high.alias("high"))
-    spread = lambda e, v: F.when(e["high"] > e["low"], F.greatest(F.lit(0), F.least(F.lit(255), F.floor((v - e["low"]) * 255.0 / (e["high"] - e["low"]) + 0.5)))).otherwise(v)
+    spread = lambda e, v: F.when(e["high"] - e["low"] >= 16, F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), (v - e["low"]) * (F.lit(255.0) / (e["high"] - e["low"])))) + 0.5)).otherwise(v)
     return _bound(ends, lambda e: F.transform(F.sequence(F.lit(0), F.lit(255)), lambda v: spread(e, v).cast("int")))
 
 

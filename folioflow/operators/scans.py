@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from folioflow.functions import raster, scan
+from folioflow.functions import colors, raster, scan
 
 Kernel = Callable[[np.ndarray], np.ndarray]
 
@@ -45,3 +45,21 @@ def filtered(planes: DataFrame, kernel: str, *parameters: float, key: str = "ima
             yield pa.RecordBatch.from_arrays([batch.column(0), *sizes, pa.array([x.ravel().astype(float) for x in out], pa.list_(pa.float64()))], names=[key, "width", "height", "pixels"])
 
     return sound.select(key, "width", "height", "pixels").mapInArrow(step, f"`{key}` {kind}, width int, height int, pixels array<double>")
+
+
+def colour_filtered(images: DataFrame, name: str, brightness: float = 0.0, contrast: float = 0.0, key: str = "image_id") -> DataFrame:
+    """(key, width, height, pixels) of colour images through a filter of ``colors.FILTERS``.
+
+    ``pixels`` has width * height * 3 whole numbers 0 to 255, row by row, red, green
+    and blue of a pixel together. Images of another size, or null ones, are left out.
+    """
+    kind = images.schema[key].dataType.simpleString()
+    sound = images.where("width > 0 and height > 0 and size(pixels) = width * height * 3 and not exists(pixels, p -> p is null)")
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3))
+            shown = [colors.filtered(np.asarray(p.values, np.uint8).reshape(h, w, 3), name, brightness, contrast).ravel() for w, h, p in sizes]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x.astype(np.int32) for x in shown], pa.list_(pa.int32()))], names=[key, "width", "height", "pixels"])
+
+    return sound.select(key, *(sound[c].cast("int").alias(c) for c in ("width", "height")), sound["pixels"].cast("array<int>").alias("pixels")).mapInArrow(step, f"`{key}` {kind}, width int, height int, pixels array<int>")

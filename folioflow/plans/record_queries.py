@@ -421,7 +421,7 @@ def touched_units(spark, sf_dir):
     return r.with_ancestors(keys.where("unit % 37 = 0"), parents, "unit", "parent")
 
 
-@query("stretched_planes", "WITH x AS (SELECT vec_id, [CAST(greatest(0, least(255, floor((v + 1) * 128))) AS INT) FOR v IN embedding] AS p FROM embeddings), y AS (SELECT vec_id, p, list_min(p) AS lo, list_max(p) AS hi FROM x) SELECT vec_id, CAST(list_sum([CASE WHEN hi > lo THEN CAST(greatest(0, least(255, floor((v - lo) * 255.0::DOUBLE / (hi - lo) + 0.5))) AS INT) ELSE v END FOR v IN p]) AS BIGINT) AS total FROM y")
+@query("stretched_planes", "WITH x AS (SELECT vec_id, [CAST(greatest(0, least(255, floor((v + 1) * 128))) AS INT) FOR v IN embedding] AS p FROM embeddings), y AS (SELECT vec_id, p, list_min(p) AS lo, list_max(p) AS hi FROM x) SELECT vec_id, CAST(list_sum([CASE WHEN hi - lo >= 16 THEN CAST(floor(greatest(0.0, least(255.0, (v - lo) * (255.0::DOUBLE / (hi - lo)))) + 0.5) AS INT) ELSE v END FOR v IN p]) AS BIGINT) AS total FROM y")
 def stretched_planes(spark, sf_dir):
     """planes through the lookup table that stretches them."""
     plane = F.transform("embedding", lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((v + 1) * 128))).cast("int"))
@@ -497,6 +497,40 @@ def turned_planes(spark, sf_dir):
     return _pixels(scans.filtered(planes(spark, sf_dir), "turned", 1, key="vec_id"), "v")
 
 
+# ---- colour images: 21 pixels of each vector, seven by three
+
+COLOURS = """x AS (SELECT vec_id, unnest(range(0, 21)) AS i, [CAST(greatest(0, least(255, floor((v + 1) * 128))) AS INT) FOR v IN embedding] AS p FROM embeddings WHERE len(embedding) >= 63),
+c AS (SELECT vec_id, i, p[3 * i + 1] AS r, p[3 * i + 2] AS g, p[3 * i + 3] AS b FROM x)"""
+
+
+def colour_images(spark, sf_dir):
+    plane = F.slice(F.transform("embedding", lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((v + 1) * 128))).cast("int")), 1, 63)
+    return table(spark, sf_dir, "embeddings").where(F.size("embedding") >= 63).select("vec_id", F.lit(7).alias("width"), F.lit(3).alias("height"), plane.alias("pixels"))
+
+
+@query(
+    "gray_scans",
+    f"""WITH {COLOURS}, l AS (SELECT vec_id, i, (r * 77 + g * 150 + b * 29 + 128) // 256 AS v FROM c),
+o AS (SELECT vec_id, v, row_number() OVER (PARTITION BY vec_id ORDER BY v) AS n FROM l),
+e AS (SELECT vec_id, min(v) FILTER (n >= 0.01 * 21) AS lo, min(v) FILTER (n >= 0.99 * 21) AS hi FROM o GROUP BY vec_id)
+SELECT vec_id, CAST(i AS BIGINT) AS i, CASE WHEN hi - lo >= 16 THEN CAST(floor(greatest(0.0, least(255.0, (v - lo) * (255.0::DOUBLE / (hi - lo)))) + 0.5) AS INT) ELSE CAST(v AS INT) END AS v FROM l JOIN e USING (vec_id)""",
+)
+def gray_scans(spark, sf_dir):
+    """colour images in stretched greys."""
+    shown = scans.colour_filtered(colour_images(spark, sf_dir), "grayscale", key="vec_id")
+    return _pixels(shown, "v").where("i % 3 = 0").select("vec_id", (F.col("i") / 3).cast("long").alias("i"), "v")
+
+
+@query(
+    "brighter_scans",
+    f"""WITH {COLOURS}, s AS (SELECT vec_id, 3 * i + k AS i, CASE k WHEN 0 THEN r WHEN 1 THEN g ELSE b END AS v FROM c, (SELECT unnest([0, 1, 2]) AS k))
+SELECT vec_id, CAST(i AS BIGINT) AS i, CAST(floor(greatest(0.0, least(255.0, (v - 127.5::DOUBLE) * 1.5::DOUBLE + 127.5::DOUBLE + 27.5::DOUBLE)) + 0.5) AS INT) AS v FROM s""",
+)
+def brighter_scans(spark, sf_dir):
+    """colour images with more brightness and contrast."""
+    return _pixels(scans.colour_filtered(colour_images(spark, sf_dir), "original", 0.25, 0.25, key="vec_id"), "v")
+
+
 # ---- glyphs and text operators: each turn as a line of signs five points wide
 
 SAID = "s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n, text FROM conversations WHERE text IS NOT NULL)"

@@ -98,3 +98,22 @@ def is_convex(points: Column) -> Column:
     """Whether all corners turn the same way, none of them straight on."""
     t = turns(points)
     return F.forall(t, lambda x: x > 0) | F.forall(t, lambda x: x < 0)
+
+
+def line_rects(signs: Column, margin: float = 1.0) -> Column:
+    """Rectangles (l, t, r, b) of signs in their order, one for each line, made larger by ``margin``.
+
+    A sign goes on with a line if its middle is within half the line's height of the
+    line's and it begins and ends near it; signs without an area take no part.
+    """
+    seen = F.filter(signs, lambda c: (c["r"] > c["l"]) & (c["b"] > c["t"]))
+    box = lambda x, y: F.struct(*(f(x[k], y[k]).alias(k) for k, f in (("l", F.least), ("t", F.least), ("r", F.greatest), ("b", F.greatest))))
+
+    def step(done: Column, c: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        high, off = last["b"] - last["t"], F.abs((last["t"] + last["b"] - c["t"] - c["b"]) / 2)
+        near = (off < high * 0.5) & (c["l"] <= last["r"] + high * 1.5) & (c["r"] >= last["l"] - high)
+        return F.when(near, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(box(last, c)))).otherwise(F.concat(done, F.array(box(c, c))))
+
+    lines = F.aggregate(seen, F.array().cast("array<struct<l:double,t:double,r:double,b:double>>"), step)
+    return F.transform(lines, lambda x: F.struct((x["l"] - margin).alias("l"), (x["t"] - margin).alias("t"), (x["r"] + margin).alias("r"), (x["b"] + margin).alias("b")))

@@ -11,7 +11,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -171,3 +171,20 @@ def text_blocks(ops: DataFrame, keys: list[str], id_col: str = "id") -> DataFram
 
     names = [id_col, "l", "t", "r", "b", "baseline", "size", "text"]
     return _by_page(shown, names, keys, ["baseline", "l", id_col], "block_no int, line_no int, text string, l double, t double, r double, b double, baseline double, size double", read)
+
+
+def paragraph_texts(lines: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """(keys, text) of blocks as one would type them: lines (text, r, size) are joined, hyphens before a small letter go.
+
+    A break stays where a line ends over four sizes left of its block's right edge.
+    """
+    by = Window.partitionBy(*keys)
+    ahead = by.orderBy(*order)
+    shown = F.rtrim("text")
+    rest = F.rtrim(F.lead("text").over(ahead))
+    marked = lines.select(*keys, *order, shown.alias("_shown"), rest.alias("_rest"), (F.col("r") < F.max("r").over(by) - F.col("size") * 4).alias("_short"), F.row_number().over(ahead).alias("_n"))
+    own = F.when(F.col("_n") > 1, F.ltrim("_shown")).otherwise(F.col("_shown"))
+    hyphen = F.col("_shown").endswith("-") & F.col("_rest").rlike("^\\p{Ll}")
+    parted = F.when(F.col("_rest").isNull(), own).when(F.col("_short"), F.concat(own, F.lit("\n"))).when(hyphen, F.expr("left(_own, length(_own) - 1)")).otherwise(F.concat(own, F.lit(" ")))
+    parts = F.array_sort(F.collect_list(F.struct("_n", parted.alias("x"))))
+    return marked.withColumn("_own", own).groupBy(*keys).agg(F.array_join(F.transform(parts, lambda p: p["x"]), "").alias("text"))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from folioflow.operators import layout
 from folioflow.operators import windows as w
 from folioflow.plans.registry import query
-from folioflow.sinks import html, markdown, word, workbook
+from folioflow.sinks import block_cache, html, markdown, word, workbook
 from folioflow.sinks import plain_text as sink
+from folioflow.sources import block_cache as cache_source
 from folioflow.sources import markdown as markdown_source
 from folioflow.sources import plain_text
 from folioflow.sources import word as word_source
@@ -56,9 +57,9 @@ def workbook_cells(spark, sf_dir):
     rows = F.concat(F.array(F.array(F.lit("role"), F.lit("text"))), F.transform(said, lambda s: s["row"]))
     tables = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(rows.alias("rows"))
     blocks = tables.select("conv_id", F.lit(0).alias("block_no"), F.lit("table").alias("kind"), "rows", F.lit(True).alias("has_header"))
-    back = workbook_source.read_blocks(workbook.rendered(blocks, "conv_id"), "conv_id").where("kind = 'table' AND block_no = 3")
-    lines = back.select("conv_id", F.posexplode("rows").alias("r", "line"))
-    return lines.select("conv_id", "r", F.posexplode("line").alias("c", "value"))
+    back = workbook_source.read_blocks(workbook.rendered(blocks, "conv_id"), "conv_id").where("kind = 'table'")
+    lines = back.select("conv_id", "block_no", F.posexplode("rows").alias("r", "line"))
+    return lines.select("conv_id", "block_no", "r", F.posexplode("line").alias("c", "value"))
 
 
 @query("document_round_trip")
@@ -92,3 +93,11 @@ def page_blocks(spark, sf_dir):
 def flowing_blocks(spark, sf_dir):
     """The blocks of pages of two lines, paragraphs that go on from page to page as one."""
     return layout.flowing(layout.analysed(_spans(spark, sf_dir, 2)))
+
+
+@query("cached_blocks")
+def cached_blocks(spark, sf_dir):
+    """The blocks of every text as a cache and back."""
+    blocks = plain_text.as_blocks(plain_text.read_blocks(table(spark, sf_dir, "documents")))
+    back = cache_source.read_blocks(block_cache.rendered(blocks))
+    return back.select("doc_id", "block_no", "kind", "page", "ordered", "marker", "indent", F.array_join(F.transform("spans", lambda s: s["text"]), "").alias("text"))

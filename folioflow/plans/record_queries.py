@@ -497,6 +497,38 @@ def turned_planes(spark, sf_dir):
     return _pixels(scans.filtered(planes(spark, sf_dir), "turned", 1, key="vec_id"), "v")
 
 
+# ---- what is searched or edited on a page: each turn in lines of 40 signs, five points wide and ten high
+
+
+@query(
+    "marked_rects",
+    """WITH h AS (SELECT conv_id, turn, i - 1 AS hit, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x))) + 3 * (i - 1) AS BIGINT) AS start
+FROM (SELECT conv_id, turn, parts, unnest(range(1, len(parts))) AS i FROM (SELECT conv_id, turn, string_split(lower(text), 'the') AS parts FROM conversations))),
+c AS (SELECT conv_id, turn, hit, (start + k) // 40 AS line, (start + k) % 40 AS col FROM h, (SELECT unnest(range(0, 3)) AS k))
+SELECT conv_id, turn, hit, CAST(min(col) * 5 - 1 AS DOUBLE) AS l, CAST(line * 12 - 1 AS DOUBLE) AS t, CAST(max(col) * 5 + 6 AS DOUBLE) AS r, CAST(line * 12 + 11 AS DOUBLE) AS b FROM c GROUP BY conv_id, turn, hit, line""",
+)
+def marked_rects(spark, sf_dir):
+    """Rectangles to redact around the hits of a query, one a line."""
+    hits = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(reading.whole_hits(F.col("text"), "the")).alias("hit", "at"))
+    at = F.sequence(F.col("at.start"), F.col("at.end") - 1)
+    place = lambda p: F.struct((p % 40 * 5.0).alias("l"), (F.floor(p / 40) * 12.0).alias("t"), (p % 40 * 5.0 + 5).alias("r"), (F.floor(p / 40) * 12.0 + 10).alias("b"))
+    boxes = hits.select("conv_id", "turn", F.col("hit").cast("long").alias("hit"), F.explode(g.line_rects(F.transform(at, place))).alias("box"))
+    return boxes.select("conv_id", "turn", "hit", "box.*")
+
+
+@query(
+    "paragraph_texts",
+    r"""WITH s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n, rtrim(text, ' ') AS x, length(text) * 5.0::DOUBLE AS r FROM conversations WHERE text IS NOT NULL),
+p AS (SELECT *, CASE WHEN n > 1 THEN ltrim(x, ' ') ELSE x END AS own, lead(x) OVER (PARTITION BY conv_id ORDER BY n) AS rest, r < max(r) OVER (PARTITION BY conv_id) - 40 AS short FROM s)
+SELECT conv_id, string_agg(CASE WHEN rest IS NULL THEN own WHEN short THEN own || chr(10) WHEN x LIKE '%-' AND regexp_matches(rest, '^\p{Ll}') THEN own[:-2] ELSE own || ' ' END, '' ORDER BY n) AS text FROM p GROUP BY conv_id""",
+)
+def paragraph_texts(spark, sf_dir):
+    """turns as the lines of a block, joined for editing."""
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text"))
+    lines = table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", n.alias("n"), "text", (F.length("text") * 5.0).alias("r"), F.lit(10.0).alias("size"))
+    return glyphs.paragraph_texts(lines, ["conv_id"], ["n"])
+
+
 # ---- colour images: 21 pixels of each vector, seven by three
 
 COLOURS = """x AS (SELECT vec_id, unnest(range(0, 21)) AS i, [CAST(greatest(0, least(255, floor((v + 1) * 128))) AS INT) FOR v IN embedding] AS p FROM embeddings WHERE len(embedding) >= 63),

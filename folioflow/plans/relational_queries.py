@@ -341,6 +341,21 @@ def organised_pages(spark, sf_dir):
     return j.organised(spec, pages).select("out", F.col("position").cast("long").alias("position"), "o_orderkey")
 
 
+@query(
+    "turned_pages",
+    """WITH s AS (SELECT c_custkey AS out, i AS pos, CASE WHEN i % 4 <> 3 THEN c_custkey END AS file, i % 3 + 1 AS index, i * 90 - 180 AS turn FROM customer, (SELECT unnest(range(0, 7)) AS i)),
+p AS (SELECT o_custkey AS file, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS index, o_orderkey, o_orderkey % 4 * 90 AS own FROM orders)
+SELECT out, CAST(pos AS BIGINT) AS position, o_orderkey, CAST((coalesce(own, 0) + turn + 720) % 360 AS BIGINT) AS turn FROM s LEFT JOIN p USING (file, index)""",
+)
+def turned_pages(spark, sf_dir):
+    """Order lists as documents whose pages are turned, from their own turn each time."""
+    spec = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("out"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("pos"))
+    spec = spec.withColumns({"file": F.when(F.col("pos") % 4 != 3, F.col("out")), "index": F.col("pos") % 3 + 1, "turn": F.col("pos") * 90 - 180})
+    own = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file"), "o_orderkey", (F.col("o_orderkey") % 4 * 90).alias("turn"))
+    pages = w.ranked(own, ["file"], [F.col("o_orderkey")], "index")
+    return j.organised(spec, pages).select("out", F.col("position").cast("long").alias("position"), "o_orderkey", F.col("turn").cast("long").alias("turn"))
+
+
 @query("column_of_cell", "SELECT l_orderkey, l_linenumber, CAST(coalesce((SELECT min(k) FROM (SELECT unnest(range(0, 4)) AS k) c WHERE l_quantity >= k * 15 - 0.5 AND l_quantity <= k * 15 + 10.5), 0) AS INT) AS col FROM lineitem")
 def column_of_cell(spark, sf_dir):
     """The first column interval that holds a cell, with slack, else 0."""

@@ -71,14 +71,14 @@ def document_round_trip(spark, sf_dir):
     return back.select("doc_id", "block_no", "kind", "level", "ordered", "marker", "indent", text.alias("text"))
 
 
-def _spans(spark, sf_dir, lines_a_page):
+def _spans(spark, sf_dir):
     """The lines of every text laid out on pages. A line in capitals counts as bold; a line that ends in a colon is set larger."""
     lines = w.document_lines(table(spark, sf_dir, "documents"), "doc_id", "text").where("trim(line) <> ''")
-    y = F.pmod(F.col("line_no"), F.lit(lines_a_page)) * 12.0
+    y = F.pmod(F.col("line_no"), F.lit(50)) * 12.0
     size = F.when(F.col("line").rlike(":\\s*$"), 14.0).otherwise(10.0)
     indent = (F.length("line") - F.length(F.ltrim("line"))) * 5.0
     return lines.select(
-        "doc_id", F.floor(F.col("line_no") / lines_a_page).cast("int").alias("page"), "line_no", F.lit(0).alias("span_no"), F.trim("line").alias("text"), indent.alias("x0"), y.alias("y0"),
+        "doc_id", F.floor(F.col("line_no") / 50).cast("int").alias("page"), "line_no", F.lit(0).alias("span_no"), F.trim("line").alias("text"), indent.alias("x0"), y.alias("y0"),
         (F.length("line") * 5.0).alias("x1"), (y + size).alias("y1"), size.alias("size"), (F.upper("line") == F.col("line")).alias("bold"), F.lit(False).alias("italic"),
     )
 
@@ -86,13 +86,21 @@ def _spans(spark, sf_dir, lines_a_page):
 @query("page_blocks")
 def page_blocks(spark, sf_dir):
     """The lines of every text on pages of 50, analysed again."""
-    return layout.analysed(_spans(spark, sf_dir, 50))
+    return layout.analysed(_spans(spark, sf_dir))
 
 
 @query("flowing_blocks")
 def flowing_blocks(spark, sf_dir):
-    """The blocks of pages of two lines, paragraphs that go on from page to page as one."""
-    return layout.flowing(layout.analysed(_spans(spark, sf_dir, 2)))
+    """Texts in lines of eight words on pages of ten lines, paragraphs that go on from page to page as one."""
+    words = F.filter(F.split(F.regexp_replace("text", "\\s+", " "), " "), lambda x: x != "")
+    lines = F.transform(F.sequence(F.lit(0), F.size("words") - 1, F.lit(8)), lambda n: F.array_join(F.slice("words", n + 1, 8), " "))
+    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("words")).where("size(words) > 0").select("doc_id", F.posexplode(lines).alias("line_no", "text"))
+    y = F.col("line_no") % 10 * 12.0
+    spans = docs.select(
+        "doc_id", F.floor(F.col("line_no") / 10).cast("int").alias("page"), "line_no", F.lit(0).alias("span_no"), "text", F.lit(0.0).alias("x0"), y.alias("y0"),
+        F.lit(300.0).alias("x1"), (y + 10).alias("y1"), F.lit(10.0).alias("size"), F.lit(False).alias("bold"), F.lit(False).alias("italic"),
+    )
+    return layout.flowing(layout.analysed(spans))
 
 
 @query("cached_blocks")

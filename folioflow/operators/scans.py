@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from folioflow.functions import colors, raster, scan
+from folioflow.functions import colors, pages, raster, scan
 
 Kernel = Callable[[np.ndarray], np.ndarray]
 
@@ -47,14 +47,19 @@ def filtered(planes: DataFrame, kernel: str, *parameters: float, key: str = "ima
     return sound.select(key, "width", "height", "pixels").mapInArrow(step, f"`{key}` {kind}, width int, height int, pixels array<double>")
 
 
+def _sound(images: DataFrame, key: str) -> DataFrame:
+    """(key, width, height, pixels) of colour images that have as many values as their size says, none of them null."""
+    whole = images.where("width > 0 and height > 0 and size(pixels) = width * height * 3 and not exists(pixels, p -> p is null)")
+    return whole.select(key, *(whole[c].cast("int").alias(c) for c in ("width", "height")), whole["pixels"].cast("array<int>").alias("pixels"))
+
+
 def colour_filtered(images: DataFrame, name: str, brightness: float = 0.0, contrast: float = 0.0, key: str = "image_id") -> DataFrame:
     """(key, width, height, pixels) of colour images through a filter of ``colors.FILTERS``.
 
     ``pixels`` has width * height * 3 whole numbers 0 to 255, row by row, red, green
     and blue of a pixel together. Images of another size, or null ones, are left out.
     """
-    kind = images.schema[key].dataType.simpleString()
-    sound = images.where("width > 0 and height > 0 and size(pixels) = width * height * 3 and not exists(pixels, p -> p is null)")
+    kind, sound = images.schema[key].dataType.simpleString(), _sound(images, key)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,4 +67,18 @@ def colour_filtered(images: DataFrame, name: str, brightness: float = 0.0, contr
             shown = [colors.filtered(np.asarray(p.values, np.uint8).reshape(h, w, 3), name, brightness, contrast).ravel() for w, h, p in sizes]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x.astype(np.int32) for x in shown], pa.list_(pa.int32()))], names=[key, "width", "height", "pixels"])
 
-    return sound.select(key, *(sound[c].cast("int").alias(c) for c in ("width", "height")), sound["pixels"].cast("array<int>").alias("pixels")).mapInArrow(step, f"`{key}` {kind}, width int, height int, pixels array<int>")
+    return sound.mapInArrow(step, f"`{key}` {kind}, width int, height int, pixels array<int>")
+
+
+def page_corners(images: DataFrame, key: str = "image_id") -> DataFrame:
+    """(key, corners) of colour images as ``colour_filtered`` takes them; corners are four (x, y), null where no page is seen."""
+    kind = images.schema[key].dataType.simpleString()
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3))
+            found = [pages.corners(np.asarray(p.values, np.uint8).reshape(h, w, 3)) for w, h, p in sizes]
+            held = pa.array([None if x is None else x.tolist() for x in found], pa.list_(pa.list_(pa.float64())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), held], names=[key, "corners"])
+
+    return _sound(images, key).mapInArrow(step, f"`{key}` {kind}, corners array<array<double>>")

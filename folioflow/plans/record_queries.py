@@ -563,6 +563,25 @@ def brighter_scans(spark, sf_dir):
     return _pixels(scans.colour_filtered(colour_images(spark, sf_dir), "original", 0.25, 0.25, key="vec_id"), "v")
 
 
+@query("page_corners", "SELECT s_suppkey, 4::BIGINT AS near FROM supplier")
+def page_corners(spark, sf_dir):
+    """how many corners are found within two pixels of where a page of 64 by 48 was drawn, light on dark or dark on light."""
+    k = F.col("s_suppkey")
+    place = {"l": 8 + k % 9, "t": 6 + k % 7, "r": 56 - k % 8, "b": 42 - k % 5}
+    drawn = table(spark, sf_dir, "supplier").select("s_suppkey", *(c.cast("int").alias(n) for n, c in place.items()), (40 + k % 50).cast("int").alias("dark"), (190 + k % 60).cast("int").alias("bright"), (k % 3 == 0).alias("turned"))
+
+    def value(i):
+        x, y = F.floor(i / 3) % 64, F.floor(i / 192)
+        held = (x >= F.col("l")) & (x < F.col("r")) & (y >= F.col("t")) & (y < F.col("b"))
+        return F.when(held != F.col("turned"), F.col("bright")).otherwise(F.col("dark"))
+
+    images = drawn.withColumns({"width": F.lit(64), "height": F.lit(48), "pixels": F.transform(F.sequence(F.lit(0), F.lit(64 * 48 * 3 - 1)), value)})
+    found = scans.page_corners(images, "s_suppkey").join(drawn, "s_suppkey")
+    told = F.array(*(F.array(F.col(a), F.col(b)) for a, b in (("l", "t"), ("r", "t"), ("r", "b"), ("l", "b"))))
+    off = F.zip_with("corners", told, lambda c, d: (F.abs(c[0] - d[0]) < 2) & (F.abs(c[1] - d[1]) < 2))
+    return found.select("s_suppkey", F.coalesce(F.size(F.filter(off, lambda x: x)), F.lit(0)).cast("long").alias("near"))
+
+
 # ---- glyphs and text operators: each turn as a line of signs five points wide
 
 SAID = "s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n, text FROM conversations WHERE text IS NOT NULL)"

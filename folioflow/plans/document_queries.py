@@ -89,18 +89,33 @@ def page_blocks(spark, sf_dir):
     return layout.analysed(_spans(spark, sf_dir))
 
 
-@query("flowing_blocks")
-def flowing_blocks(spark, sf_dir):
-    """Texts in lines of eight words on pages of ten lines, paragraphs that go on from page to page as one."""
+def _small_pages(spark, sf_dir):
+    """Texts in lines of eight words on pages of ten lines."""
     words = F.filter(F.split(F.regexp_replace("text", "\\s+", " "), " "), lambda x: x != "")
     lines = F.transform(F.sequence(F.lit(0), F.size("words") - 1, F.lit(8)), lambda n: F.array_join(F.slice("words", n + 1, 8), " "))
     docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("words")).where("size(words) > 0").select("doc_id", F.posexplode(lines).alias("line_no", "text"))
     y = F.col("line_no") % 10 * 12.0
-    spans = docs.select(
+    return docs.select(
         "doc_id", F.floor(F.col("line_no") / 10).cast("int").alias("page"), "line_no", F.lit(0).alias("span_no"), "text", F.lit(0.0).alias("x0"), y.alias("y0"),
         F.lit(300.0).alias("x1"), (y + 10).alias("y1"), F.lit(10.0).alias("size"), F.lit(False).alias("bold"), F.lit(False).alias("italic"),
     )
-    return layout.flowing(layout.analysed(spans))
+
+
+@query("flowing_blocks")
+def flowing_blocks(spark, sf_dir):
+    """The blocks of small pages, paragraphs that go on from page to page as one."""
+    return layout.flowing(layout.analysed(_small_pages(spark, sf_dir)))
+
+
+@query("illustrated_blocks", "SELECT doc_id, page, CAST(page AS BIGINT) * 10 + 5 AS image_no FROM (SELECT doc_id, unnest(range(0, CAST(ceil(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) / 80.0) AS BIGINT))) AS page FROM documents WHERE text IS NOT NULL)")
+def illustrated_blocks(spark, sf_dir):
+    """Small pages with an image behind their fifth line each: every image has a block of its own, whether text goes on around it or not."""
+    spans = _small_pages(spark, sf_dir)
+    y = F.when(F.col("line_no") % 10 >= 5, 100.0).otherwise(0.0)
+    moved = spans.withColumns({"y0": F.col("y0") + y, "y1": F.col("y1") + y})
+    images = spans.groupBy("doc_id", "page").agg((F.first("page") * 10 + 5).alias("image_no"), *(F.lit(v).alias(n) for n, v in (("x0", 0.0), ("y0", 62.0), ("x1", 300.0), ("y1", 150.0))))
+    shown = layout.analysed(moved, images=images).where("kind = 'image'")
+    return shown.select("doc_id", F.col("page").cast("long").alias("page"), F.col("image_no").cast("long").alias("image_no"))
 
 
 @query("cached_blocks")

@@ -50,9 +50,15 @@ def html_export(spark, sf_dir):
     return html.rendered(plain_text.as_blocks(plain_text.read_blocks(table(spark, sf_dir, "documents"))))
 
 
-@query("workbook_cells")
+@query(
+    "workbook_cells",
+    """WITH s AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS INT) AS n, [coalesce(role, ''), coalesce(text, '')] AS v FROM conversations),
+t AS (FROM s UNION ALL SELECT DISTINCT conv_id, 0, ['role', 'text'] FROM s),
+b AS (SELECT conv_id, 3 AS block_no, n AS r, v FROM t UNION ALL SELECT conv_id, 1, n + 1, v FROM t UNION ALL SELECT DISTINCT conv_id, 1, 0, ['', ''] FROM s)
+SELECT conv_id, block_no, r, CAST(c AS INT) AS c, v[c + 1] AS value FROM b, (SELECT unnest([0, 1]) AS c)""",
+)
 def workbook_cells(spark, sf_dir):
-    """The turns of each conversation as a workbook's table, written, read back and dealt into cells."""
+    """The turns of each conversation as a workbook's table, written, read back and dealt into cells of the sheet of all content and of its own."""
     said = F.array_sort(F.collect_list(F.struct("turn", F.array(F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))).alias("row"))))
     rows = F.concat(F.array(F.array(F.lit("role"), F.lit("text"))), F.transform(said, lambda s: s["row"]))
     tables = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(rows.alias("rows"))

@@ -156,12 +156,15 @@ def test_workbook_cells_hold_every_turn(spark):
     said = sorted((r["conv_id"], r["turn"], r["role"], r["text"]) for r in table(spark, sf_dir, "conversations").collect())
     got = {}
     for row in workbook_cells(spark, sf_dir).collect():
-        got.setdefault((row["conv_id"], row["r"]), {})[row["c"]] = row["value"]
+        got.setdefault((row["conv_id"], row["block_no"], row["r"]), {})[row["c"]] = row["value"]
     want, place = {}, {}
     for conv, _, role, text in said:
         place[conv] = place.get(conv, 0) + 1
-        want[conv, place[conv]] = {0: role, 1: text}
-    assert {k: v for k, v in got.items() if k[1]} == want
+        want[conv, 3, place[conv]] = want[conv, 1, place[conv] + 1] = {0: role, 1: text}
+    for conv in place:
+        want[conv, 3, 0] = want[conv, 1, 1] = {0: "role", 1: "text"}
+        want[conv, 1, 0] = {0: "", 1: ""}  # the sheet of the whole content begins with a blank row
+    assert got == want
 
 
 def test_exports_of_whole_tables(spark):

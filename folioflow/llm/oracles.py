@@ -51,7 +51,7 @@ def set_join(words: int = 4, percent: int = 85) -> str:
 shingle AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {words} THEN [array_to_string(w, ' ')]
   ELSE list_transform(range(1, len(w) - {words - 2}), lambda i: array_to_string(w[i:i + {words - 1}], ' ')) END) AS s FROM split WHERE w IS NOT NULL),
 held AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
-common AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
-link AS MATERIALIZED (SELECT a, b FROM common JOIN held x ON x.doc_id = a JOIN held y ON y.doc_id = b WHERE 100 * both >= {percent} * (x.n + y.n - both)),
+common AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (SELECT a, b FROM common JOIN held x ON x.doc_id = a JOIN held y ON y.doc_id = b WHERE 100 * shared >= {percent} * (x.n + y.n - shared)),
 reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.other)
 SELECT d.doc_id, coalesce(held.n, 0) AS n_shingles, component_id FROM documents d LEFT JOIN held USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import centroids, decontaminate, language_id, line_dedup, near_dedup, neighbours, oracles, packing, quality, token_count, url_filter, vector_codes, warc
+from folioflow.llm import centroids, decontaminate, language_id, line_dedup, near_dedup, neighbours, oracles, packing, quality, set_join, token_count, url_filter, vector_codes, warc
 from folioflow.llm.shared import Workspace, crc32_of
 from folioflow.session import table
 
@@ -88,6 +88,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.coded(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
 
 
+def op12_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.linked_sets(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters(table(spark, sf_dir, "embeddings"), k=40, rounds=5, dimensions=64, seed="2")
 
@@ -104,11 +108,13 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_neighbours": op10_neighbours,
     "op11_vector_codes": op11_vector_codes,
+    "op12_set_join": op12_set_join,
     "op13_centroids": op13_centroids,
 }
 
 #: DuckDB SQL for those that SQL can express.
 ORACLES: dict[str, str] = {
     "op11_vector_codes": oracles.vector_codes(),
+    "op12_set_join": oracles.set_join(),
     "op13_centroids": oracles.centroids(),
 }

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -79,3 +84,31 @@ def next_at_most(df: DataFrame, keys: list[str], order: str, level: str, levels:
     for n in range(levels, 0, -1):
         found = F.when(F.col(level) == n, F.last(F.when(F.col(level) <= n, F.col(order)), ignorenulls=True).over(later)).otherwise(found)
     return found
+
+
+def folded(df: DataFrame, keys: list[str], order: list[str], start, step: Callable, schema: str) -> DataFrame:
+    """Columns ``schema`` of what a fold over each key's rows tells, behind the key columns.
+
+    ``step(state, row)`` takes the other columns of a row and returns the new state and
+    the rows it tells. Rows are sorted within partitions and streamed, so a task
+    holds a batch of them and one state, however many rows a key has.
+    """
+    others = [c for c in df.columns if c not in keys]
+    names = [*keys, *(part.split()[0] for part in schema.split(", "))]
+    fields = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), schema])
+    arrow = to_arrow_schema(StructType.fromDDL(fields))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, start
+        for batch in batches:
+            out = []
+            columns = [c.to_pylist() for c in batch.columns]
+            for row in zip(*columns):
+                key, rest = row[: len(keys)], row[len(keys) :]
+                if key != now:
+                    now, state = key, start
+                state, told = step(state, rest)
+                out += [dict(zip(names, (*key, *t))) for t in told]
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    return df.select(*keys, *others).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, fields)

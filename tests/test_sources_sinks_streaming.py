@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from folioflow.functions import binary, geometry, numbers, text
 from folioflow.sinks import plain_text as sink
 from folioflow.sources import files, plain_text
-from folioflow.streaming import triggers
 
 SAMPLE = "First line\nsecond line\n\n\n- item one\n  - nested\n• dot\n1. num\n2) other\ncontinued\n\fPage two"
 
@@ -79,32 +78,3 @@ def test_files_go_to_the_reader_of_their_extension(spark):
     rows = [("/a.md", "# Head\n\ntext"), ("/b.txt", "- item\n\nplain"), ("/c.CSV", "x,y"), ("/d.pdf", "%PDF")]
     blocks = files.read_documents(spark.createDataFrame([(p, bytearray(c.encode())) for p, c in rows], "path string, content binary"))
     assert sorted((r["path"], r["kind"]) for r in blocks.collect()) == [("/a.md", "heading"), ("/a.md", "paragraph"), ("/b.txt", "list_item"), ("/b.txt", "paragraph"), ("/c.CSV", "paragraph")]
-
-
-def test_throttle_and_stability():
-    assert triggers.accepted([0, 100, 450, 800, 900, 1400], None, 450) == ([True, False, True, False, True, True], 1400)
-    fired, held = triggers.stable([0, 700, 1500, 1600, 3200], [1.0, 1.01, 1.02, 1.0, None], (None, 0), 0.03, 1400)
-    assert fired == [1500] and held[0] is None
-
-
-def test_throttled_stream(spark, tmp_path):
-    table = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("user_id", "ts")
-    table.write.parquet(str(tmp_path / "in"))
-    stream = triggers.throttled(triggers.events(spark, str(tmp_path / "in"), table.schema), "user_id", "ts")
-    q = stream.writeStream.format("memory").queryName("throttled").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
-    q.processAllAvailable()
-    q.stop()
-    want = 0
-    by_user = {}
-    for r in table.collect():
-        by_user.setdefault(r["user_id"], []).append(int(r["ts"].timestamp() * 1000))
-    for times in by_user.values():
-        want += sum(triggers.accepted(sorted(times), None, 450)[0])
-    assert abs(spark.table("throttled").count() - want) <= 1
-
-
-def test_doubling(spark, tmp_path):
-    seen, n = [], [1]
-    for n[0] in (1, 2, 3, 4, 7, 8, 20):  # started again for each batch
-        triggers.doubling(lambda df: seen.append(df.count()), lambda: spark.range(n[0]), f"file://{tmp_path}/state")(None, 0)
-    assert seen == [1, 2, 4, 8, 20]

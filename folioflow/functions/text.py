@@ -128,7 +128,7 @@ def humanised(c: Column) -> Column:
     name = strip(c)
     last = F.coalesce(F.nullif(F.regexp_extract(name, r"([^.]+)\.*$", 1), F.lit("")), name)
     words = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(last, r"([a-z0-9])([A-Z])", "$1 $2"), r"[_\-\s]+", " "), "^ | $", ""))
-    label = F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 1 << 20))
+    label = F.concat(F.upper(F.substring(words, 1, 1)), F.substr(words, F.lit(2)))
     return F.when((name == "") | F.contains(name, F.lit(" ")), name).when(words == "", name).otherwise(label)
 
 

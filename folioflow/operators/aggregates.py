@@ -51,7 +51,7 @@ def repeated_margins(margins: DataFrame, keys: list[str], page: str, text: str,
 def size_clusters(sizes: Column, step: float = 0.6) -> Column:
     """Distinct sizes from the largest down, each kept if it is more than ``step`` below the last kept."""
     down = F.sort_array(F.array_distinct(sizes), asc=False)
-    return F.aggregate(F.slice(down, 2, 1 << 20), F.slice(down, 1, 1), lambda kept, s: F.when(F.element_at(kept, -1) - s > step, F.concat(kept, F.array(s))).otherwise(kept))
+    return F.aggregate(down, F.slice(down, 1, 1), lambda kept, s: F.when(F.element_at(kept, -1) - s > step, F.concat(kept, F.array(s))).otherwise(kept))
 
 
 def nearest_level(size: Column, levels: Column, most: int = 6) -> Column:

@@ -116,5 +116,4 @@ def continued(blocks: DataFrame, keys: list[str], order: list[str], text: str, e
 def indent_levels(lefts: Column, body: Column) -> Column:
     """Left edges that begin a level, in rising order: each over 0.6 body sizes right of the last one kept."""
     up = F.array_sort(F.array_distinct(lefts))
-    rest = F.slice(up, 2, 1 << 20)
-    return F.aggregate(rest, F.slice(up, 1, 1), lambda kept, x: F.when(x - F.element_at(kept, -1) > body * 0.6, F.concat(kept, F.array(x))).otherwise(kept))
+    return F.aggregate(up, F.slice(up, 1, 1), lambda kept, x: F.when(x - F.element_at(kept, -1) > body * 0.6, F.concat(kept, F.array(x))).otherwise(kept))

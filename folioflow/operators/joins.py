@@ -63,8 +63,8 @@ def without(df: DataFrame, keys: DataFrame, key: list[str], child_of: str | None
     return left.join(listed.withColumnRenamed(key[-1], child_of), [*key[:-1], child_of], "left_anti")
 
 
-def organised(spec: DataFrame, pages: DataFrame) -> DataFrame:
-    """Pages in the order of a specification (pos, file, index): repeats allowed, blanks without a page.
+def organised(spec: DataFrame, pages: DataFrame, out: str = "out") -> DataFrame:
+    """Pages in the order of a specification (``out``, pos, file, index), numbered from 0 in each output: repeats allowed, blanks without a page.
 
     Where both have a ``turn`` in degrees, each use is turned from the page's own;
     blanks from 0. The result is 0 to 359.
@@ -75,7 +75,7 @@ def organised(spec: DataFrame, pages: DataFrame) -> DataFrame:
         own = pages.withColumnRenamed("turn", "_own") if "turn" in pages.columns else pages.withColumn("_own", F.lit(0))
         turn = F.pmod(F.coalesce("_own", F.lit(0)) + F.coalesce("turn", F.lit(0)), F.lit(360))
         joined = spec.join(own, ["file", "index"], "left").withColumn("turn", turn).drop("_own")
-    return joined.withColumn("position", F.row_number().over(Window.partitionBy("out").orderBy("pos")) - 1)
+    return joined.withColumn("position", F.row_number().over(Window.partitionBy(out).orderBy("pos")) - 1)
 
 
 def split_ranges(pages: DataFrame, ranges: DataFrame, page: str) -> DataFrame:

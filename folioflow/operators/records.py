@@ -98,16 +98,6 @@ def permissions(mask: Column) -> dict[str, Column]:
     return {name: mask.bitwiseAND(F.lit(1 << n)) != 0 for n, name in enumerate(PERMISSIONS)}
 
 
-def unique_names(names: DataFrame, keys: list[str], name: str, order: list[str]) -> DataFrame:
-    """names made unique in their folder: the first keeps its name, others get `` (2)``, `` (3)`` before the extension."""
-    n = F.row_number().over(Window.partitionBy(*keys, name).orderBy(*order))
-    stem = F.when(F.contains(name, F.lit(".")), F.regexp_extract(name, r"^(.*)\.[^.]*$", 1)).otherwise(F.col(name))
-    rest = F.expr(f"substring({name}, length(_stem) + 1)")
-    numbered = names.withColumn("_n", n).withColumn("_stem", stem)
-    made = F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat("_stem", F.lit(" ("), F.col("_n").cast("string"), F.lit(")"), rest))
-    return numbered.withColumn("unique_name", made).drop("_n", "_stem")
-
-
 def split_every(pages: Column, n: int) -> Column:
     """U8: ranges (first, last) of ``n`` pages each, the last one shorter."""
     if n < 1:
@@ -262,16 +252,6 @@ def largest(df: DataFrame, keys: list[str], size: str, key: str, most: int) -> D
     return df.withColumn("rank", place).where(F.col("rank") <= most)
 
 
-def with_ancestors(touched: DataFrame, parents: DataFrame, key: str, parent: str, rounds: int = 5) -> DataFrame:
-    """Units and all that they stand in, up to 2 ** ``rounds`` levels of nesting; each round doubles the reach by two equi joins."""
-    found, jump = touched.select(key).distinct(), parents.where(F.col(parent).isNotNull()).select(F.col(key).alias("_k"), F.col(parent).alias("_p"))
-    for n in range(rounds):
-        found = found.union(found.join(jump, F.col(key) == F.col("_k")).select(F.col("_p").alias(key))).distinct()
-        if n + 1 < rounds:
-            jump = jump.join(jump.select(F.col("_k").alias("_p"), F.col("_p").alias("_q")), "_p").select("_k", F.col("_q").alias("_p"))
-    return found
-
-
 def stretched(low: Column, high: Column) -> Column:
     """a lookup table of 256 entries that stretches low..high to 0..255; under 16 values nothing is stretched."""
     ends = F.struct(low.alias("low"), high.alias("high"))

@@ -90,7 +90,7 @@ def folded(df: DataFrame, keys: list[str], order: list[str], start, step: Callab
     """Columns ``schema`` of what a fold over each key's rows tells, behind the key columns.
 
     ``step(state, row)`` takes the other columns of a row and returns the new state and
-    the rows it tells. Rows are sorted within partitions and streamed, so a task
+    the rows it tells. A ``start`` that changes is made by a function. Rows are sorted within partitions and streamed, so a task
     holds a batch of them and one state, however many rows a key has.
     """
     others = [c for c in df.columns if c not in keys]
@@ -106,7 +106,7 @@ def folded(df: DataFrame, keys: list[str], order: list[str], start, step: Callab
             for row in zip(*columns):
                 key, rest = row[: len(keys)], row[len(keys) :]
                 if key != now:
-                    now, state = key, start
+                    now, state = key, start() if callable(start) else start
                 state, told = step(state, rest)
                 out += [dict(zip(names, (*key, *t))) for t in told]
             yield pa.RecordBatch.from_pylist(out, schema=arrow)

@@ -11,6 +11,7 @@ from folioflow.functions import reading
 from folioflow.functions import text as t
 from folioflow.functions.numbers import is_numeric_text
 from folioflow.operators import glyphs
+from folioflow.operators import hierarchies as h
 from folioflow.operators import records as r
 from folioflow.operators import scans
 from folioflow.plans.registry import query
@@ -47,14 +48,6 @@ def device_walk(spark, sf_dir):
     return table(spark, sf_dir, "pages").where("url is not null").select("page_id", path.alias("path")).where(r.on_device(F.col("path"), "pdf"))
 
 
-@query("unique_file_names", "WITH n AS (SELECT p_brand AS folder, p_partkey, split_part(p_type, ' ', 1) || CASE WHEN p_partkey % 4 = 0 THEN '' ELSE '.v1.pdf' END AS name FROM part), m AS (SELECT *, row_number() OVER (PARTITION BY folder, name ORDER BY p_partkey) AS i, CASE WHEN contains(name, '.') THEN regexp_extract(name, '^(.*)[.][^.]*$', 1) ELSE name END AS stem FROM n) SELECT folder, p_partkey, CASE WHEN i = 1 THEN name ELSE stem || ' (' || i || ')' || substr(name, length(stem) + 1) END AS unique_name FROM m")
-def unique_file_names(spark, sf_dir):
-    """Names of exported files made unique in their folder."""
-    name = F.concat(F.split_part("p_type", F.lit(" "), F.lit(1)), F.when(F.col("p_partkey") % 4 == 0, "").otherwise(".v1.pdf"))
-    names = table(spark, sf_dir, "part").select(F.col("p_brand").alias("folder"), "p_partkey", name.alias("name"))
-    return r.unique_names(names, ["folder"], "name", ["p_partkey"]).drop("name")
-
-
 @query("index_cleaned", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')")
 def index_cleaned(spark, sf_dir):
     """Entries of the import index whose target is still there."""
@@ -418,7 +411,7 @@ def touched_units(spark, sf_dir):
     """A unit stands in the one of a third of its number."""
     keys = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("unit"))
     parents = keys.withColumn("parent", F.floor(F.col("unit") / 3)).where("parent > 0")
-    return r.with_ancestors(keys.where("unit % 37 = 0"), parents, "unit", "parent")
+    return h.with_ancestors(keys.where("unit % 37 = 0"), parents, "unit", "parent")
 
 
 @query("stretched_planes", "WITH x AS (SELECT vec_id, [CAST(greatest(0, least(255, floor((v + 1) * 128))) AS INT) FOR v IN embedding] AS p FROM embeddings), y AS (SELECT vec_id, p, list_min(p) AS lo, list_max(p) AS hi FROM x) SELECT vec_id, CAST(list_sum([CASE WHEN hi - lo >= 16 THEN CAST(floor(greatest(0.0, least(255.0, (v - lo) * (255.0::DOUBLE / (hi - lo)))) + 0.5) AS INT) ELSE v END FOR v IN p]) AS BIGINT) AS total FROM y")

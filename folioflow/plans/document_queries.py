@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioflow.operators import layout
+from folioflow.operators import layout, page_lines
 from folioflow.operators import windows as w
 from folioflow.plans.registry import query
+from folioflow.plans.text_queries import LINES, TRIM
 from folioflow.sinks import block_cache, html, markdown, word, workbook
 from folioflow.sinks import plain_text as sink
 from folioflow.sources import block_cache as cache_source
@@ -89,10 +90,46 @@ def _spans(spark, sf_dir):
     )
 
 
+_STEPS = """l AS (SELECT l_suppkey AS page, l_orderkey * 10 + l_linenumber AS line_no, l_linenumber % 2 * 300.0::DOUBLE AS x0, l_linenumber % 2 * 300.0::DOUBLE + 200 + l_partkey % 3 * 60 AS x1, CAST(l_partkey * 7 % 3000 AS DOUBLE) AS y0 FROM lineitem)"""
+
+
+@query("column_steps", f"WITH {_STEPS} SELECT a.page, a.line_no, min(b.y0 - a.y0) AS step FROM l a JOIN l b ON a.page = b.page AND b.y0 - a.y0 BETWEEN 5 AND 30 AND least(a.x1, b.x1) > greatest(a.x0, b.x0) GROUP BY ALL")
+def column_steps(spark, sf_dir):
+    """From each line of pages in two columns, some lines across both, down to the next that overlaps it."""
+    x0 = F.col("l_linenumber") % 2 * 300.0
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_no"), x0.alias("x0"), (x0 + 200 + F.col("l_partkey") % 3 * 60).alias("x1"), (F.col("l_partkey") * 7 % 3000).cast("double").alias("y0"))
+    return page_lines.next_steps(lines, ["page"], "line_no", F.lit(10.0))
+
+
+@query(
+    "margin_lines",
+    rf"""WITH {LINES}, p AS (SELECT doc_id, line_no // 10 AS page, line_no, CASE line_no % 10 WHEN 0 THEN 'Report of ' || (doc_id % 5) || ', part ' || (line_no // 10) WHEN 9 THEN 'Page ' || (line_no // 10) || ' of 20' WHEN 8 THEN CAST(line_no AS VARCHAR) ELSE line END AS text, line_no % 10 * 60.0 AS y0, CASE WHEN line_no % 7 = 0 THEN 14.0 ELSE 10.0 END AS size FROM lines),
+q AS (SELECT *, y0 + size / 2 AS middle, regexp_replace(regexp_replace(lower({TRIM.format('text')}), '[0-9]', '#', 'g'), '\s+', ' ', 'g') AS form, regexp_replace({TRIM.format('text')}, '\s+', ' ', 'g') AS t FROM p WHERE trim(text) <> ''),
+r AS (SELECT *, middle < 48 OR middle > 552 AS edge, regexp_replace(t, '^[\s\-–—|]+|[\s\-–—|]+$', '', 'g') AS core, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, line_no) = 1 OR row_number() OVER (PARTITION BY doc_id, page ORDER BY y0 + size DESC, line_no) = 1 AS outer_line FROM q),
+n AS (SELECT *, t <> '' AND (regexp_matches(t, '^[\s\-–—|]*\d{{1,4}}[\s\-–—|]*$') OR regexp_matches(t, '(?i)^(page|p\.|pg\.?)\s*\d{{1,4}}(\s*(of|/)\s*\d{{1,4}})?$') OR regexp_matches(t, '(?i)^\d{{1,4}}\s*(of|/)\s*\d{{1,4}}$')
+  OR (core <> '' AND length(core) <= 7 AND (core = lower(core) OR core = upper(core)) AND regexp_matches(lower(core), '^m{{0,4}}(cm|cd|d?c{{0,3}})(xc|xl|l?x{{0,3}})(ix|iv|v?i{{0,3}})$'))) AS number FROM r),
+o AS (SELECT doc_id, form FROM n JOIN (SELECT doc_id, count(DISTINCT page) AS pages FROM p GROUP BY 1) USING (doc_id) WHERE edge AND size < 11.49 AND form <> '' GROUP BY doc_id, form, pages HAVING count(DISTINCT page) >= greatest(2, ceil(pages * 0.4)))
+SELECT n.doc_id, CAST(n.page AS INT) AS page, CAST(n.line_no AS INT) AS line_no, (edge AND (o.form IS NOT NULL OR number)) OR (outer_line AND number AND (middle < 90 OR middle > 510)) AS margin FROM n LEFT JOIN o ON o.doc_id = n.doc_id AND o.form = n.form""",
+)
+def margin_lines(spark, sf_dir):
+    """Which lines of pages of ten lines, with running heads, feet and numbers put in, are margin."""
+    n, page = F.col("line_no") % 10, F.floor(F.col("line_no") / 10)
+    head = F.concat(F.lit("Report of "), (F.col("doc_id") % 5).cast("string"), F.lit(", part "), page.cast("string"))
+    foot = F.concat(F.lit("Page "), page.cast("string"), F.lit(" of 20"))
+    text = F.when(n == 0, head).when(n == 9, foot).when(n == 8, F.col("line_no").cast("string")).otherwise(F.col("line"))
+    size = F.when(F.col("line_no") % 7 == 0, 14.0).otherwise(10.0)
+    lines = w.document_lines(table(spark, sf_dir, "documents")).select("doc_id", page.cast("int").alias("page"), "line_no", text.alias("text"), (n * 60.0).alias("y0"), (n * 60.0 + size).alias("y1"), size.alias("size"))
+    pages = lines.select("doc_id", "page").distinct().withColumn("height", F.lit(600.0))
+    body = lines.select("doc_id").distinct().withColumn("body", F.lit(10.0))
+    return page_lines.margin_lines(lines.where("trim(text) <> ''"), pages, body).select("doc_id", "page", "line_no", "margin")
+
+
 @query("page_blocks")
 def page_blocks(spark, sf_dir):
     """The lines of every text on pages of 50, analysed again."""
-    return layout.analysed(_spans(spark, sf_dir))
+    spans = _spans(spark, sf_dir)
+    pages = spans.select("doc_id", "page").distinct().withColumns({"width": F.lit(600.0), "height": F.lit(0.0)})
+    return layout.analysed(spans, pages=pages)
 
 
 def _small_pages(spark, sf_dir):

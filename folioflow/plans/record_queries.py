@@ -13,7 +13,7 @@ from folioflow.functions.numbers import is_numeric_text
 from folioflow.operators import glyphs
 from folioflow.operators import hierarchies as h
 from folioflow.operators import records as r
-from folioflow.operators import scans
+from folioflow.operators import scans, tiles
 from folioflow.plans.registry import query
 from folioflow.session import table
 
@@ -477,6 +477,24 @@ def local_spread(spark, sf_dir):
     return mean.join(spread, ["vec_id", "i"]).select("vec_id", "i", F.round("mean", 3).alias("mean"), F.round("variance", 1).alias("variance"))
 
 
+@query(
+    "tiled_spread",
+    """WITH x AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS y, embedding FROM embeddings WHERE len(embedding) = 64 AND label IS NOT NULL),
+p AS (SELECT label, y, i AS x, CAST(greatest(0, least(255, floor((embedding[i + 1] + 1) * 128))) AS INT) AS v FROM x, range(64) AS t(i)), h AS (SELECT label, max(y) AS top FROM p GROUP BY label),
+n AS (SELECT p.label, p.y, p.x, greatest(0, least(top, p.y + dy)) AS ny, greatest(0, least(63, p.x + dx)) AS nx FROM p JOIN h USING (label), range(-2, 3) AS a(dy), range(-2, 3) AS b(dx))
+SELECT n.label, CAST(n.y AS INT) AS y, CAST(n.x AS INT) AS x, round(sum(q.v) / 25.0, 3) AS mean, round(sum(q.v * q.v) / 25.0 - (sum(q.v) / 25.0) * (sum(q.v) / 25.0), 1) AS variance FROM n JOIN p q ON q.label = n.label AND q.y = n.ny AND q.x = n.nx GROUP BY n.label, n.y, n.x""",
+)
+def tiled_spread(spark, sf_dir):
+    """Mean and variance over 25 pixels of planes that grow with the table: a label's vectors are the rows of one, held in tiles of 16 by 16."""
+    vectors = table(spark, sf_dir, "embeddings").where((F.size("embedding") == 64) & F.col("label").isNotNull())
+    rows = vectors.withColumn("y", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1)
+    value = F.greatest(F.lit(0), F.least(F.lit(255), F.floor((F.col("e") + 1) * 128)))
+    pixels = rows.select("label", "y", F.posexplode("embedding").alias("x", "e")).withColumn("v", value)
+    parts = tiles.tiled(pixels, "label", "y", "x", "v", side=16)
+    mean, spread = (tiles.pixels_of(tiles.tile_filtered(parts, 16, kernel, 2, key="label"), 16, "label", name) for kernel, name in (("local_mean", "mean"), ("local_variance", "variance")))
+    return mean.join(spread, ["label", "y", "x"]).select("label", "y", "x", F.round("mean", 3).alias("mean"), F.round("variance", 1).alias("variance"))
+
+
 @query("inked_pixels", f"WITH {PLANES}, m AS (SELECT vec_id, i, v, list_avg(n) AS m, sqrt(greatest(0, list_avg([a * a FOR a IN n]) - list_avg(n) * list_avg(n))) AS s FROM w), k AS (SELECT vec_id, i, v < m * (1 + 0.25 * (s / 128 - 1)) AS ink FROM m), g AS (SELECT a.vec_id, a.i, a.ink, count(*) FILTER (b.ink) AS others FROM k a JOIN k b ON a.vec_id = b.vec_id AND abs(a.i % 8 - b.i % 8) <= 1 AND abs(a.i // 8 - b.i // 8) <= 1 AND a.i <> b.i GROUP BY 1, 2, 3) SELECT vec_id, count(*) AS pixels FROM g WHERE ink AND (others > 0 OR i % 8 IN (0, 7) OR i // 8 IN (0, 7)) GROUP BY vec_id")
 def inked_pixels(spark, sf_dir):
     """Black pixels of planes in black and white, without specks."""

@@ -1,5 +1,7 @@
 """Markdown, HTML and XLSX: expected literals and round trips."""
 
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -178,3 +180,42 @@ def test_exports_of_whole_tables(spark):
     texts = {r["doc_id"]: r["markdown"] for r in q.markdown_export(spark, sf_dir).collect()}
     assert len(texts) == filled
     assert q.markdown_blocks(spark, sf_dir).select("doc_id").distinct().count() == filled
+
+
+LONG = {
+    "brackets": "[" * 1_000_000, "backticks": "`" * 1_000_000, "spans": "` `` " * 200_000, "runs": "".join("`" * n + " " for n in range(1, 1400)), "nested": "[" * 500_000 + "]" * 500_000,
+    "open": "*a " * 60_000, "shut": "a* " * 60_000, "mixed": "**a *b " * 40_000, "both": "_a* " * 50_000, "stars": "*" * 300_000 + "a" + "*" * 300_000, "comments": "<!-- " * 200_000,
+    "targets": "[a](" * 150_000, "images": "![" * 300_000, "bare": "http://a" + ")" * 400_000, "blanks": " " * 3 + "y" + " " * 400_000 + "x", "heading": "# a" + " " * 400_000 + "b", "quotes": "> " * 50_000 + "x",
+    "elements": "<a " * 200_000, "references": "[a][" * 200_000, "entities": "&" * 400_000,
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_markdown_takes_linear_time(name):
+    text = LONG[name]
+    began = time.process_time()
+    blocks = list(md.markdown_blocks("[ref]: http://x.y\n\n" + text))
+    assert time.process_time() - began < 8
+    letters = "".join(s["text"] for b in blocks for s in b.get("spans") or ())
+    assert sum(c.isalpha() for c in letters) == sum(c.isalpha() for c in text)
+
+
+def styles(text):
+    return [(s["text"], *(k for k in ("bold", "italic", "strike", "link") if s.get(k))) for s in md.inline(text, {"ref": "http://x.y"})]
+
+
+def test_markdown_delimiters_by_the_published_rules():
+    assert styles("*a **b** c*") == [("a ", "italic"), ("b", "bold", "italic"), (" c", "italic")]
+    assert styles("***a** b*") == [("a", "bold", "italic"), (" b", "italic")]
+    assert styles("***a* b**") == [("a", "bold", "italic"), (" b", "bold")]
+    assert styles("*a _b* c_") == [("a _b", "italic"), (" c_",)]
+    assert styles("**a*b**") == [("a*b", "bold")]
+    assert styles("*a**b*") == [("a**b", "italic")]
+    assert styles("a**b*c") == [("a**b*c",)]
+    assert styles("~~a *b~~ c*") == [("a *b", "strike"), (" c*",)]
+    assert styles("*a `*` b*") == [("a * b", "italic")] and styles("*[a*](u)*") == [("a*", "italic", "link")]
+    assert styles("[a [b] c](u) [x") == [("a [b] c", "link"), (" [x",)] and styles("[a `]` b](u)") == [("a ] b", "link")]
+    assert styles("[a <b title=']'>c</b>](u)") == [("a ", "link"), ("c", "bold", "link")] and styles("<!-- [ -->[a](u)") == [("a", "link")]
+    assert styles("[ref] [text][ref] [none]") == [("ref", "link"), (" ",), ("text", "link"), (" [none]",)]
+    assert styles("a\\\nb  \nc \nd\\\\\ne") == [("a\nb\nc d\\ e",)]
+    assert [b["spans"][0]["text"] for b in md.markdown_blocks("# a #\n## b# \n### ###\n# c \\#")] == ["a", "b#", "c #"]

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -133,24 +133,25 @@ def fit(bits: np.ndarray, languages: list[str], landmarks: int = 256, ridge: flo
     return Model(names, (marks.T.astype(float) @ (whiten @ solved)).astype(np.float32), goal - middle @ solved, usual=usual)
 
 
-def train(labelled: DataFrame, most_rows: int = 6000, most_languages: int = 200, landmarks: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on about ``most_rows`` rows in all, the same number of each language, picked by a hash of the id.
+def train(labelled: DataFrame, most_rows: int = 6000, landmarks: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Fit on at most ``most_rows`` rows in all, the same number of each language, picked by a hash of id and text.
 
     What reaches the driver is a bit row of 2 KiB for each picked text, made from
-    the whole text: about 12 MB, and twice that at most, however many languages there
-    are. The ``most_languages`` most frequent ones are learnt (of equals the first by
+    the whole text: about 12 MB at most. Every language is learnt from a row at least; only if there
+    are more languages than rows may be picked, the most frequent ones are (of equals the first by
     name). Rows with a null language or text are left out; repeated rows and ids
     count each time; a null id is a value like any other.
     """
     spark = labelled.sparkSession
     prepare(spark)
     rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t")).where("lang is not null and t is not null")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_rows).collect()
     space = 1 << 30
-    each = most_rows // max(1, len(sizes))
-    limits = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(space, space * each // r["n"])))) if sizes else F.create_map().cast("map<string,bigint>")
-    limit = F.coalesce(F.element_at(limits, F.col("lang")).cast("long"), F.lit(0))
-    picked = rows.withColumn("h", F.pmod(F.xxhash64(F.col("id"), F.lit("language")), F.lit(space))).where(F.col("h") < limit).limit(2 * most_rows)
+    each = max(1, most_rows // max(1, len(sizes)))
+    # half as many again as wanted, of which the least hashes are taken
+    limits = spark.createDataFrame([(r["lang"], min(space, (3 * space * each // 2 + 30 * space) // r["n"])) for r in sizes], f"lang {rows.schema['lang'].dataType.simpleString()}, most long")
+    mark = F.pmod(F.xxhash64("id", F.lit("language"), "t"), F.lit(space))
+    picked = rows.join(F.broadcast(limits), "lang").withColumn("h", mark).where(F.col("h") < F.col("most")).select("id", "lang", "t", "h")
 
     def bits(batches):
         for batch in batches:
@@ -158,7 +159,9 @@ def train(labelled: DataFrame, most_rows: int = 6000, most_languages: int = 200,
             packed = np.packbits(shown.astype(bool), axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(3), pa.array([r.tobytes() for r in packed], pa.binary())], names=["lang", "h", "bits"])
 
-    got = sorted(picked.mapInArrow(bits, "lang string, h long, bits binary").collect(), key=lambda r: (r["h"], r["lang"], r["bits"]))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "bits"))
+    shown = picked.mapInArrow(bits, "lang string, h long, bits binary").withColumn("place", place).where(F.col("place") <= each)
+    got = sorted(shown.collect(), key=lambda r: (r["h"], r["lang"], r["bits"]))
     packed = np.frombuffer(b"".join(r["bits"] for r in got), np.uint8).reshape(len(got), (1 << BITS) // 8)
     return fit(packed, [r["lang"] for r in got], landmarks)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.components import components
 from folioflow.llm.rolling import UNBASE, mix, plain_table, power, prefix_sums
-from folioflow.llm.shared import Workspace, fresh, prepare
+from folioflow.llm.shared import Workspace, fresh, join_counted, prepare
 
 _SEGMENT = 1 << 20
 #: Texts of at most so many shingles get keys of their own that miss no pair of them.
@@ -333,14 +333,14 @@ def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, bands: int = 2
     work = Workspace(spark, "near-dedup")
     rows_in = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
     sketch = work.keep(_sketch(rows_in, k, similarity, Sketcher(bands, rows, picks)), "sketch")
-    vertices = sketch.groupBy("sig").agg(F.min(F.struct("id", "h")).alias("first"), F.first("keys").alias("keys"))
+    vertices = sketch.groupBy("sig").agg(F.min(F.struct("id", "h")).alias("first"), F.first("keys").alias("keys"), F.count("*").alias("copies"))
     vertices = work.keep(vertices, "vertices")
 
     entries = vertices.select(F.explode("keys").alias("key"), F.col("sig").alias("v"))
     mark = F.xxhash64("v")
     shared = entries.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(mark).alias("x"), F.sum(mark.bitwiseAND(F.lit((1 << 31) - 1))).alias("s")).where("n > 1")
-    shared = shared.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key", "n")
-    bucketed = work.keep(entries.join(shared, "key"), "buckets")
+    shared = work.keep(shared.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key", "n", F.col("n").alias("members")), "shared")
+    bucketed = work.keep(join_counted(entries, shared, ["key"]).withColumnRenamed("members", "n"), "buckets")
     wanted = bucketed.select(F.col("v").alias("sig")).distinct().join(vertices.select("sig", "first"), "sig").select("sig", F.col("first.id").alias("id"), F.col("first.h").alias("h"))
     r = rows_in.alias("r")
     matched = r.join(wanted.alias("w").hint("shuffle_hash"), (F.col("w.h") == F.col("r.h")) & F.col("w.id").eqNullSafe(F.col("r.id")))
@@ -372,10 +372,10 @@ def classes(docs: DataFrame, k: int = 5, similarity: float = 0.8, bands: int = 2
         roots = components(edges, work, "more-stars")
     work.drop("texts", "buckets", "large")
 
-    named = vertices.select("sig", "first").join(roots.select(F.col("v").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    firsts = named.groupBy("root").agg(F.min("first").alias("class_first"))
-    named = named.join(firsts, "root").select("sig", "class_first")
-    out = sketch.select("id", "h", "sig").join(named, "sig")
+    named = vertices.select("sig", "first", F.col("copies").alias("n")).join(roots.select(F.col("v").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    firsts = work.keep(named.groupBy("root").agg(F.min("first").alias("class_first"), F.count("*").alias("n")), "firsts")
+    named = work.keep(join_counted(named, firsts, ["root"]).select("sig", "class_first", "n"), "named")
+    out = join_counted(sketch.select("id", "h", "sig"), named, ["sig"])
     return out.select(F.col("id").alias(id_col), "h", F.col("class_first.id").alias("class_id"), F.struct("id", "h").eqNullSafe(F.col("class_first")).alias("keep"))
 
 
@@ -386,11 +386,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = classes(docs, id_col=id_col, text_col=text_col, **options)
     own, other, copies, row = fresh(docs, "kept_id", "kept_h", "kept_copies", "row_h")
-    kept = found.where("keep").groupBy(F.col(id_col).alias(own), F.col("h").alias(other)).agg(F.count("*").alias(copies))
-    kept = Workspace(docs.sparkSession, "one-of-each").keep(kept, "kept")
-    keyed = docs.withColumn(row, F.xxhash64(text_col))
-    left = keyed.join(kept, (F.col(row) == F.col(other)) & F.col(id_col).eqNullSafe(F.col(own)), "inner")
+    kept = found.where("keep").groupBy(F.col(id_col).alias(own), F.col("h").alias(other)).agg(F.count("*").alias("n"))
+    kept = Workspace(docs.sparkSession, "one-of-each").keep(kept.select(F.struct(own, other).alias(row), "n", F.col("n").alias(copies)), "kept")
+    # a struct of a null id equals its like
+    keyed = docs.withColumn(row, F.struct(F.col(id_col).alias(own), F.xxhash64(text_col).alias(other)))
+    left = join_counted(keyed, kept, [row])
     if kept.where(F.col(copies) > 1).isEmpty():
         return left.select(docs.columns)
-    once, more = left.where(F.col(copies) == 1), left.where(F.col(copies) > 1).dropDuplicates([own, other])
+    once, more = left.where(F.col(copies) == 1), left.where(F.col(copies) > 1).dropDuplicates([row])
     return once.unionByName(more).select(docs.columns)

@@ -256,7 +256,8 @@ def _learnt(entries: DataFrame, total: int, dimensions: int, centroids: int | No
     wanted = centroids or int(min(256, max(8, (total / 4) ** 0.5)))
     space = 1 << 30
     limit = min(space, space * sample_rows // total)
-    sample = entries.where(F.pmod(F.xxhash64("id", F.lit("codebook")), F.lit(space)) < limit).limit(2 * sample_rows).collect() or entries.limit(wanted).collect()
+    mark = F.pmod(F.xxhash64("id", F.lit("codebook")), F.lit(space))
+    sample = entries.where(mark < limit).orderBy(mark, "id", "v").limit(2 * sample_rows).collect() or entries.orderBy("id", "v").limit(wanted).collect()
     x = np.array([r["v"] for r in sorted(sample, key=lambda r: (r["id"], r["v"]))], float)
     middle = max(1, dimensions // 2)
     return MultiIndex((kmeans(x[:, :middle], wanted), kmeans(x[:, middle:], wanted)), np.zeros(0))

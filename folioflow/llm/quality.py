@@ -178,26 +178,29 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 200, rate: float = 0.1, bins
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> AdditiveModel:
-    """Fit on about ``most_rows`` labelled documents, picked by a hash of the id.
+    """Fit on at most ``most_rows`` labelled documents, picked by a hash of the id.
 
     The picked ids, bounded by that number, are broadcast to the documents; what
-    comes back is a row of figures of each picked whole text. Labels other than
+    comes back is a row of figures of each picked whole text, by the same order of
+    hashes ``most_rows`` at most, however often an id stands. Labels other than
     0 and 1, null ids and null texts are left out; a repeated label counts each time.
     """
     prepare(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).where("k is not null and y in (0, 1)")
     space, n = 1 << 30, known.count()
-    cutoff = min(space, space * most_rows // max(n, 1))
-    picked = known.where(F.pmod(F.xxhash64(F.col("k"), F.lit("quality")), F.lit(space)) < cutoff).limit(2 * most_rows)
+    cutoff = min(space, (3 * space * most_rows // 2 + 100 * space) // max(n, 1))  # half as many again, of which the least hashes are taken
+    mark = F.pmod(F.xxhash64(F.col("k"), F.lit("quality")), F.lit(space))
+    picked = known.withColumn("mark", mark).where(F.col("mark") < cutoff).orderBy("mark", "k", "y").limit(most_rows)
     texts = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).where("k is not null and t is not null").join(F.broadcast(picked), "k")
 
     def figures(batches):
         for batch in batches:
             rows = [np.asarray(features(t), float).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.binary())], names=["k", "y", "f"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(rows, pa.binary())], names=["k", "y", "mark", "f"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = sorted((r["k"], r["f"], r["y"]) for r in texts.select("k", "t", "y").mapInArrow(figures, f"k {kind}, y int, f binary").collect())
+    shown = texts.select("k", "t", "y", "mark").mapInArrow(figures, f"k {kind}, y int, mark long, f binary")
+    got = sorted((r["k"], r["f"], r["y"]) for r in shown.orderBy("mark", "k", "f", "y").limit(most_rows).collect())
     x = np.frombuffer(b"".join(r[1] for r in got)).reshape(len(got), len(FEATURES)) if got else np.empty((0, len(FEATURES)))
     return fit(x, np.array([r[2] for r in got], float))
 

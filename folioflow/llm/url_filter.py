@@ -106,8 +106,8 @@ def judged(pages: DataFrame, rules: Sequence[Rule], order: int = 4, lost: float
     of the left-out urls that no rule blocks fall under (in steps of a thousandth).
     Without blocked urls or without left-out ones nothing else is blocked.
 
-    Urls are scored once however often they stand. Grams that very many urls share
-    are broadcast, a bounded number. Null urls have no host, path, rule or score and
+    Urls are scored once however often they stand. Grams that very many urls share, and
+    scores of urls that very many rows have, are broadcast, a bounded number. Null urls have no host, path, rule or score and
     are allowed; so are empty ones unless the models say otherwise. Columns of these
     names are replaced, others pass through; an empty table gives an empty result.
     """
@@ -137,7 +137,9 @@ def judged(pages: DataFrame, rules: Sequence[Rule], order: int = 4, lost: float
     threshold = _threshold([(r["step"] / 1000, r["n"]) for r in steps], lost)
     if not steps or not scores.where("not held_out").agg(F.max("r")).first()[0]:
         threshold = -math.inf
-    out = told.join(scores.select(F.col("url").alias(other), "score"), F.col(url_col) == F.col(other), "left")
+    counted_urls = scores.select(F.col("url").alias(other), "score", (F.col("a") + F.col("r")).alias("n"))
+    out = join_counted(told.where(F.col(url_col).isNotNull()).withColumn(other, F.col(url_col)), counted_urls, [other]).drop(other)
+    out = out.unionByName(told.where(F.col(url_col).isNull()).withColumn("score", F.lit(None).cast("double")))
     by_model = F.when(F.col("score") < threshold, "block").otherwise("allow")
     return out.select(*own.columns, "host", "path", "rule", F.coalesce(by_rule, by_model).alias("verdict"), "score")
 

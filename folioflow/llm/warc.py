@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.shared import prepare
+from folioflow.llm.shared import Workspace, join_counted, prepare
 
 #: Fixed values of the format: the skippable frame that holds the dictionary, and a data frame's first bytes.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -169,7 +169,8 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = 8_
     id is smaller than any other. Rows that are equal in all of this are told apart
     by a number, so every record has an id of its own. Of equal payloads one moves,
     combined before the shuffle; all else moves without payloads, counted by id and
-    url, so a payload that many pages share gathers nowhere.
+    url, and the responses of frequent payloads go to their revisits by broadcast, so a
+    payload that many pages share gathers nowhere.
     """
     prepare(pages.sparkSession)
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
@@ -178,9 +179,10 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, archive_bytes: int = 8_
     first = long.groupBy("sha").agg(F.max(F.struct("id", "url", "body")).alias("top"))
     responses = first.select("top.id", "top.url", "top.body", "sha", F.lit(None).cast("int").alias("copy"), F.lit(None).cast(keyed.schema["id"].dataType).alias("refers"), F.length("top.body").alias("size"))
     same = long.groupBy("sha", "id", "url").agg(F.count("*").cast("int").alias("n"), F.first(F.length("body")).alias("size"))
-    tops = long.groupBy("sha").agg(F.max(F.struct("id", "url")).alias("top"), F.count("*").alias("all")).where(F.col("all") > 1).select("sha", "top")
+    tops = long.groupBy("sha").agg(F.max(F.struct("id", "url")).alias("top"), F.count("*").alias("n")).where("n > 1")
+    tops = Workspace(pages.sparkSession, "warc-tops").keep(tops, "tops")
     is_top = F.struct("id", "url").eqNullSafe(F.col("top"))
-    others = same.join(tops, "sha").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).where(~(is_top & (F.col("copy") == 0)))
+    others = join_counted(same, tops, ["sha"]).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).where(~(is_top & (F.col("copy") == 0)))
     revisits = others.select("id", "url", F.lit(None).cast("binary").alias("body"), "sha", "copy", F.col("top.id").alias("refers"), "size")
     told = responses.withColumn("kind", F.lit("response")).unionByName(revisits.withColumn("kind", F.lit("revisit")))
     if min_bytes > 0:

@@ -197,12 +197,51 @@ def test_kernel_ridge_of_all_landmarks_is_the_plain_one():
 
 def test_language_training_is_bounded_in_all(spark):
     many = spark.createDataFrame([(i, f"text of number {i}", f"l{i % 500:03d}") for i in range(3000)], "doc_id long, text string, lang string")
-    model = language_id.train(many, most_rows=100, most_languages=20)
-    assert len(model.languages) <= 20
+    model = language_id.train(many, most_rows=100)
+    assert len(model.languages) == 100  # a row each
+    assert len(language_id.train(many, most_rows=1600).languages) == 500  # all of them
+    hot = spark.createDataFrame([(7, f"text of number {i}", "en") for i in range(400)] + [(8, "ein anderer Text", "de")], "doc_id long, text string, lang string")
+    assert language_id.train(hot, most_rows=20).languages == ["de", "en"]
     one = language_id.train(spark.createDataFrame([(None, "a word", "xx"), (1, "a word", "xx"), (1, None, "xx"), (2, "b", None)], "doc_id long, text string, lang string"))
     assert one.languages == ["xx"] and one.scores(["anything"])[0] == ["xx"]
 
 
+def test_quality_training_is_bounded_whatever_ids_repeat(spark):
+    docs = spark.createDataFrame([(k % 3, f"some text {k} of many words " * 3) for k in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    seen = []
+    fit, quality.fit = quality.fit, lambda x, y: seen.append((len(x), len(y))) or fit(x, y)
+    try:
+        quality.train(docs, labels, most_rows=30)
+    finally:
+        quality.fit = fit
+    assert seen == [(30, 30)]
+
+
+def test_hot_payloads_urls_and_texts_keep_their_rows(spark):
+    """A third of all rows share a payload, a url, a text and an id: the broadcast ways give what the others give."""
+    from folioflow.llm import shared, warc
+
+    pages = spark.createDataFrame([(k, f"http://h{k % 50}.com/p{k % 7}" if k % 3 else "http://hot.com/en/", "same" * 9 if k % 3 == 0 else f"body {k // 2}") for k in range(3000)] + [(None, None, "same" * 9)], "page_id long, url string, html string")
+    docs = spark.createDataFrame([(k if k % 3 else 1, "a hot text of quite some words that a third of the rows have" if k % 3 == 0 else f"text {k // 4} with number {k // 4} and {k // 4 * 7} in its few words") for k in range(1500)], "doc_id long, text string")
+
+    def results():
+        archives = Workspace(spark, "test").keep(warc.write_archives(pages), "archives")
+        read = sorted((r["record_id"], r["record_type"], r["refers_to"] or "", r["payload_digest"]) for r in warc.read_archives(archives).collect())
+        told = sorted((r["page_id"] or -1, r["url"] or "", r["verdict"], r["score"] or 0.0) for r in url_filter.judged(pages, [("block", "com", "/en/")]).collect())
+        near = sorted(map(tuple, near_dedup.classes(docs).select("doc_id", "class_id", "keep").collect()))
+        return read, told, near, sorted(map(tuple, near_dedup.one_of_each(docs).collect()))
+
+    cold = results()
+    parts = shared.join_counted.__defaults__
+    try:
+        shared.join_counted.__defaults__ = (1,)
+        assert results() == cold
+    finally:
+        shared.join_counted.__defaults__ = parts
+    assert len(cold[0]) == 3001 and len(cold[1]) == 3001 and len(cold[2]) == 1500
+
+
 def test_language_of_the_longest_held_out_texts(spark):
     from folioflow.llm.queries import held_out, language_model
 

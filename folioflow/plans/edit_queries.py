@@ -32,9 +32,9 @@ def cropped_pages(spark, sf_dir):
 
 @query(
     "compressed_images",
-    """WITH i AS (SELECT p_partkey, p_size * 16 AS width, p_size * 12 AS height, CASE WHEN p_size % 9 = 0 THEN 1 ELSE 8 END AS bits, p_size % 7 = 0 AS stencil, CAST(p_size * p_size * 100 AS BIGINT) AS bytes, CAST(p_size * (p_partkey % 60) * 100 AS BIGINT) AS new_bytes FROM part),
+    """WITH i AS (SELECT p_partkey, p_size, p_size * 16 AS width, p_size * 12 AS height, CASE WHEN p_size % 9 = 0 THEN 1 ELSE 8 END AS bits, p_size % 7 = 0 AS stencil, CAST(p_size * p_size * 100 AS BIGINT) AS bytes, CAST(p_size * (p_partkey % 60) * 100 AS BIGINT) AS new_bytes FROM part),
 u AS (SELECT *, NOT stencil AND bits > 1 AND width * height >= 4096 AND CAST(new_bytes AS DOUBLE) < CAST(bytes AS DOUBLE) * CAST(0.95 AS DOUBLE) AS used FROM i)
-SELECT used, count(*) AS images, CAST(sum(bytes) AS BIGINT) AS before, CAST(sum(CASE WHEN used THEN new_bytes ELSE bytes END) AS BIGINT) AS after FROM u GROUP BY used""",
+SELECT used, round(avg(CASE WHEN width > 0 THEN least(1.0, p_size * 8.0 / 72.0 * 150.0 / greatest(width, height)) ELSE 1.0 END), 6) AS scale, count(*) AS images, CAST(sum(bytes) AS BIGINT) AS before, CAST(sum(CASE WHEN used THEN new_bytes ELSE bytes END) AS BIGINT) AS after FROM u GROUP BY used""",
 )
 def compressed_images(spark, sf_dir):
     """The report of a compression at 150 points an inch."""
@@ -44,7 +44,7 @@ def compressed_images(spark, sf_dir):
         (side * side * 100).cast("long").alias("bytes"), (side * (F.col("p_partkey") % 60) * 100).cast("long").alias("new_bytes"), (side * 8.0).alias("placed"),
     )
     done = e.compressed(made, "placed", 150.0)
-    return done.groupBy("used").agg(F.count("*").alias("images"), F.sum("bytes").alias("before"), F.sum("after").alias("after"))
+    return done.groupBy("used").agg(F.round(F.avg("scale"), 6).alias("scale"), F.count("*").alias("images"), F.sum("bytes").alias("before"), F.sum("after").alias("after"))
 
 
 @query("remapped_points", f"WITH {SHAPES} SELECT page, item, CASE WHEN r > l THEN 10.0::DOUBLE + (l + item - l) / (r - l) * 90.0::DOUBLE ELSE 10.0::DOUBLE END AS x FROM s")

@@ -167,9 +167,8 @@ p AS (SELECT source, count(DISTINCT doc_id) AS pages FROM m GROUP BY 1) SELECT s
 )
 def margin_text_repeats(spark, sf_dir):
     """First and last lines that repeat over a source's documents."""
-    lines = w.document_lines(table(spark, sf_dir, "documents"))
-    ends = lines.groupBy("doc_id").agg(F.min("line_no").alias("lo"), F.max("line_no").alias("hi"))
-    margins = lines.join(ends, "doc_id").where("line_no = lo or line_no = hi").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    ends = F.array(*(F.substring_index("text", "\n", n) for n in (1, -1)))
+    margins = table(spark, sf_dir, "documents").where("text is not null").select("source", "doc_id", F.explode(ends).alias("line"))
     margins = margins.select("source", "doc_id", t.margin_text(F.col("line")).alias("text")).distinct()
     return a.repeated_margins(margins, ["source"], "doc_id", "text", share=0.02)
 
@@ -327,8 +326,10 @@ def split_ranges(spark, sf_dir):
     """Overlapping ranges from the least to the largest key, so that every row is in one or two."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey")
     ends = orders.agg(F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high")).where("low is not null")
-    first = ends.select(F.explode(F.sequence("low", "high", F.lit(15))).alias("first"))
-    return j.split_ranges(orders, first.withColumn("last", F.col("first") + 19), "o_orderkey").select("first", "last", "o_orderkey")
+    # a row is in the range that begins at or before it and, while that is within 19, in the one before; no range is spelt out
+    held = orders.join(F.broadcast(ends), F.lit(True)).withColumn("last_first", F.col("o_orderkey") - F.pmod(F.col("o_orderkey") - F.col("low"), F.lit(15)))
+    starts = F.filter(F.array("last_first", F.col("last_first") - 15), lambda first: (first >= F.col("low")) & (first + 19 >= F.col("o_orderkey")))
+    return held.select(F.explode(starts).alias("first"), "o_orderkey").select("first", (F.col("first") + 19).alias("last"), "o_orderkey")
 
 
 @query("organised_pages", "WITH s AS (SELECT c_custkey AS out, i AS pos, CASE WHEN i % 3 <> 2 THEN c_custkey END AS file, i % 2 + 1 AS index FROM customer, (SELECT unnest(range(0, 6)) AS i)), p AS (SELECT o_custkey AS file, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS index, o_orderkey FROM orders) SELECT out, CAST(pos AS BIGINT) AS position, o_orderkey FROM s LEFT JOIN p ON s.file = p.file AND s.index = p.index")

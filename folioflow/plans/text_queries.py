@@ -136,8 +136,11 @@ def redacted_by_search(spark, sf_dir):
 def sentence_split(spark, sf_dir):
     """F8, sentences without the length cap."""
     found = F.regexp_extract_all("text", F.lit(r'[^.!?\n]+(?:[.!?]+["”’)]?|\n|$)'), F.lit(0))
-    s = table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("s")).select("doc_id", F.regexp_replace(t.collapse(F.col("s")), "^ | $", "").alias("s"))
-    return s.where(F.col("s").rlike("[A-Za-z0-9_]")).groupBy("doc_id").agg(F.count("*").alias("sentences"), F.max(F.length("s")).cast("long").alias("longest"), F.sum(F.length("s")).alias("chars"))
+    # sums in the row, without a row a sentence
+    sizes = F.transform(F.filter(F.transform(found, lambda s: F.regexp_replace(t.collapse(s), "^ | $", "")), lambda s: s.rlike("[A-Za-z0-9_]")), F.length)
+    docs = table(spark, sf_dir, "documents").select("doc_id", sizes.alias("sizes")).where("size(sizes) > 0")
+    docs = docs.select("doc_id", F.size("sizes").cast("long").alias("n"), F.array_max("sizes").cast("long").alias("most"), F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("all"))
+    return docs.groupBy("doc_id").agg(F.sum("n").alias("sentences"), F.max("most").alias("longest"), F.sum("all").alias("chars"))
 
 
 @query("pages_with_text", r"SELECT doc_id, length(regexp_replace(text, '\s+', '', 'g')) > 20 AS has_text, regexp_matches(text, '\p{L}') AS has_letter FROM documents")

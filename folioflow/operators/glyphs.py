@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -112,38 +111,39 @@ def lines(glyphs: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return _by_page(shown, names, keys, order, f"line_no int, baseline double, x0 double, y0 double, x1 double, y1 double, spans array<{SPAN}>", read)
 
 
-class _Groups:
-    """Open groups as rows of figures; a newcomer goes to the last one that takes it."""
-
-    def __init__(self, most: int, width: int):
-        self.rows, self.members = np.empty((most, width)), []
-
-    def add(self, takes: Callable[[np.ndarray], np.ndarray], member: object, opened: list[float]) -> int | None:
-        """The place of the group that took ``member``, or None where one was opened for it."""
-        n = len(self.members)
-        found = np.flatnonzero(takes(self.rows[:n].T)) if n else ()
-        if len(found):
-            self.members[found[-1]].append(member)
-            return int(found[-1])
-        self.rows[n] = opened
-        self.members.append([member])
-        return None
-
-
 def _op_lines(ops: list[dict]) -> list[dict]:
-    groups, out = _Groups(len(ops), 4), []  # baseline, size, left, right
+    """Lines of operators, which come by baseline: a line that lies too far back for one takes none after it, so only a few are open at a time."""
+    out: list[dict] = []
+    open_: list[dict] = []
     for op in ops:
-        size, left, right = max(op["size"], 1.0), op["l"], op["r"]
-        near = lambda g: (abs(g[0] - op["baseline"]) < OP_BASELINE * g[1]) & (abs(g[1] - size) < OP_SIZE * g[1]) & (left - g[3] < OP_GAP * g[1]) & (right > g[2] - OP_BEFORE * g[1])  # noqa: B023, E731
-        at = groups.add(near, op, [op["baseline"], size, left, right])
-        if at is None:
-            out.append({"text": op["text"], "l": left, "t": op["t"], "r": right, "b": op["b"], "baseline": op["baseline"], "size": size})
+        base, size, left, right = op["baseline"], max(op["size"], 1.0), op["l"], op["r"]
+        open_ = [x for x in open_ if base - x["baseline"] < OP_BASELINE * x["size"]]
+        line = next((x for x in reversed(open_) if abs(x["size"] - size) < OP_SIZE * x["size"] and left - x["r"] < OP_GAP * x["size"] and right > x["l"] - OP_BEFORE * x["size"]), None)
+        if line is None:
+            open_.append({"text": op["text"], "l": left, "t": op["t"], "r": right, "b": op["b"], "baseline": base, "size": size})
+            out.append(open_[-1])
             continue
-        line = out[at]
         part = left - line["r"] > OP_BLANK * line["size"] and not line["text"].endswith(" ") and not op["text"].startswith(" ")
         pair = (line["text"], op["text"]) if left >= line["l"] else (op["text"], line["text"])
         line.update(text=(" " if part else "").join(pair), l=min(line["l"], left), t=min(line["t"], op["t"]), r=max(line["r"], right), b=max(line["b"], op["b"]))
-        groups.rows[at, 2:] = line["l"], line["r"]
+    return out
+
+
+def _op_blocks(lines: list[dict]) -> list[dict]:
+    """Blocks of lines, which come by baseline too; a block is held by its last line, its first line's left edge and its number of lines."""
+    out, count = [], 0
+    open_: list[dict] = []
+    for line in lines:
+        base, size, left, right = line["baseline"], line["size"], line["l"], line["r"]
+        open_ = [x for x in open_ if base - x["baseline"] < BLOCK_STEP[1] * x["size"]]
+        fits = lambda x: abs(x["size"] - size) < BLOCK_SIZE * x["size"] and base - x["baseline"] > BLOCK_STEP[0] * x["size"] and left < x["r"] and right > x["l"] and abs(left - x["left"]) < BLOCK_LEFT * x["size"]  # noqa: B023, E731
+        block = next((x for x in reversed(open_) if fits(x)), None)
+        if block is None:
+            block = {"no": count, "lines": 0, "left": left}
+            open_.append(block)
+            count += 1
+        block.update(baseline=base, l=left, r=right, lines=block["lines"] + 1, size=size)
+        out.append({"block_no": block["no"], "line_no": block["lines"] - 1, **line})
     return out
 
 
@@ -157,17 +157,7 @@ def text_blocks(ops: DataFrame, keys: list[str], id_col: str = "id") -> DataFram
     shown = ops.where(~F.col("invisible") & (F.trim("text") != "") & (F.abs("angle") < MOST_DEGREES))
 
     def read(page: list[dict]) -> list[dict]:
-        lines_ = sorted(_op_lines(page), key=lambda x: (x["baseline"], x["l"]))
-        groups, out = _Groups(len(lines_), 5), []  # last line's baseline, size, left and right, first line's left
-        for line in lines_:
-            base, size, left, right = line["baseline"], line["size"], line["l"], line["r"]
-            fits = lambda g: (abs(g[1] - size) < BLOCK_SIZE * g[1]) & (base - g[0] > BLOCK_STEP[0] * g[1]) & (base - g[0] < BLOCK_STEP[1] * g[1]) & (left < g[3]) & (right > g[2]) & (abs(left - g[4]) < BLOCK_LEFT * g[1])  # noqa: B023, E731
-            at = groups.add(fits, line, [base, size, left, right, left])
-            if at is not None:
-                groups.rows[at, :4] = base, size, left, right
-            block = len(groups.members) - 1 if at is None else at
-            out.append({"block_no": block, "line_no": len(groups.members[block]) - 1, **line})
-        return out
+        return _op_blocks(sorted(_op_lines(page), key=lambda x: (x["baseline"], x["l"])))
 
     names = [id_col, "l", "t", "r", "b", "baseline", "size", "text"]
     return _by_page(shown, names, keys, ["baseline", "l", id_col], "block_no int, line_no int, text string, l double, t double, r double, b double, baseline double, size double", read)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.operators import joins as j
 from folioflow.operators import windows as w
 from folioflow.session import Kept
 
@@ -140,3 +141,35 @@ def free_names(names: DataFrame, keys: list[str], name: str, order: str, existin
 
     told = w.folded(rows, [*keys, "_root", "_ending"], ["_new", "_at", "_name"], lambda: (set(), {}), step, f"_order {kind}, unique_name string")
     return told.select(*keys, F.col("_order").alias(order), "unique_name")
+
+
+#: Names ``name (2)`` to ``name (19)`` are looked through for an identical file.
+VARIANTS = 19
+
+
+def imported(incoming: DataFrame, existing: DataFrame, index: DataFrame, folder: str, name: str, key: str, order: str) -> DataFrame:
+    """U4: (order, key, path, how) of every incoming file (folder, name, key of its content, order).
+
+    A content that the ``index`` (key, path) has is ``indexed``: the earlier copy is used. Else, if the
+    folder has an identical file (``existing``: folder, name, key) under the same name or one numbered up to 19, that is used
+    (``identical``), the least number first. Else the file is ``copied`` under a free name. Every later
+    file of that content is indexed then. So only the first file of each content is looked for, by equal keys, and only
+    copies need their folder's names; frequent contents go back to their files by broadcast.
+    """
+    work = Kept(incoming.sparkSession, "imported")
+    first = incoming.groupBy(key).agg(F.min(F.struct(order, folder, name)).alias("_first"), F.count("*").alias("_n"))
+    first = work.keep(first.join(index.groupBy(key).agg(F.min("path").alias("_old")), key, "left").select(key, "_first.*", "_n", "_old"), "first")
+    dotted = F.col(name).rlike(r"^.+\.[^.]*$")
+    stem = F.when(dotted, F.regexp_extract(name, r"^(.+)\.[^.]*$", 1)).otherwise(F.col(name))
+    new = first.where("_old is null").withColumn("_stem", stem).withColumn("_ending", F.expr(f"substring(`{name}`, length(_stem) + 1)"))
+    alike = new.join(existing.select(folder, key, F.col(name).alias("_there")), [folder, key])
+    number = F.when(F.col("_there") == F.col(name), 1).otherwise(F.get(F.filter(F.sequence(F.lit(2), F.lit(VARIANTS)), lambda n: F.col("_there") == F.concat("_stem", F.lit(" ("), n.cast("string"), F.lit(")"), "_ending")), F.lit(0)))
+    same = work.keep(alike.withColumn("_number", number).where("_number is not null").groupBy(key).agg(F.min_by("_there", "_number").alias("_same")), "same")
+    copies = new.join(same, key, "left_anti")
+    names = free_names(copies.select(folder, name, order), [folder], name, order, existing.select(folder, name)).select(folder, order, F.col("unique_name").alias("_made"))
+    told = first.join(same, key, "left").join(names, [folder, order], "left")
+    how = F.when(F.col("_old").isNotNull(), "indexed").when(F.col("_same").isNotNull(), "identical").otherwise("copied")
+    path = F.coalesce("_old", F.concat(F.col(folder).cast("string"), F.lit("/"), F.coalesce("_same", "_made")))
+    found = work.keep(told.select(key, F.col(order).alias("_at"), path.alias("path"), how.alias("_how"), "_n"), "found")
+    joined = j.join_hot(incoming.select(order, key), found, key, "_n")
+    return joined.select(order, key, "path", F.when(F.col(order) == F.col("_at"), F.col("_how")).otherwise("indexed").alias("how"))

@@ -81,3 +81,21 @@ def organised(spec: DataFrame, pages: DataFrame, out: str = "out") -> DataFrame:
 def split_ranges(pages: DataFrame, ranges: DataFrame, page: str) -> DataFrame:
     """Pages of each range, which may overlap: ranges are spelt out to an equi join."""
     return ranges.withColumn(page, F.explode(F.sequence("first", "last"))).join(pages, page)
+
+
+#: Keys that more than one in this many of all rows have are broadcast; there are never more of them.
+HOT_KEYS = 2000
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, on: str, count: str = "n", least: int = 1000) -> DataFrame:
+    """``rows`` with what ``keyed``, a written table of distinct keys with the number of rows that have each, says of their key.
+
+    Frequent keys, a bounded number, go to their rows by broadcast, so no task gets a key's rows; all others are shuffled.
+    """
+    held = keyed.agg(F.sum(count).alias("all"), F.max(count).alias("most")).first()
+    limit = max(least, (held["all"] or 0) // HOT_KEYS)
+    if (held["most"] or 0) <= limit:
+        return rows.join(keyed.drop(count), on)
+    hot, cold = keyed.where(F.col(count) > limit).drop(count), keyed.where(F.col(count) <= limit).drop(count)
+    rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(rest.join(cold, on))

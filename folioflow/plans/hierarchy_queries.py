@@ -90,3 +90,25 @@ def unique_file_names(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     there = part.where("p_size < 5").select(folder, F.concat(word, F.lit(" (3).v1.pdf")).alias("name"))
     return h.free_names(part.select(folder, "p_partkey", F.concat(word, ending).alias("name")), ["folder"], "name", "p_partkey", there)
+
+
+@query(
+    "imported_files",
+    r"""WITH RECURSIVE f AS (SELECT doc_id // 40 AS folder, doc_id, 'doc' || doc_id % 7 || '.txt' AS name, sha1(text) AS key FROM documents WHERE text IS NOT NULL),
+old AS (SELECT key, min('old/' || doc_id) AS path FROM f WHERE doc_id % 13 = 0 GROUP BY key), there AS (SELECT folder, 'doc' || doc_id % 7 || ' (' || (2 + doc_id % 2) || ').txt' AS name, min(key) AS key FROM f WHERE doc_id % 9 < 2 GROUP BY 1, 2),
+first AS (SELECT key, min(doc_id) AS doc_id FROM f GROUP BY key), n AS (SELECT f.*, old.path AS was FROM f JOIN first USING (key, doc_id) LEFT JOIN old USING (key)),
+same AS (SELECT n.key, arg_min(t.name, t.name) AS name FROM n JOIN there t ON t.folder = n.folder AND t.key = n.key AND (t.name = n.name OR t.name IN (left(n.name, 4) || ' (2).txt', left(n.name, 4) || ' (3).txt')) WHERE was IS NULL GROUP BY n.key),
+o AS (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY doc_id) AS i FROM n WHERE was IS NULL AND key NOT IN (SELECT key FROM same)),
+s(folder, i, doc_id, got, taken) AS (SELECT folder, 0::BIGINT, 0::BIGINT, '', coalesce((SELECT list(name) FROM there t WHERE t.folder = o.folder), []) FROM o WHERE i = 1 UNION ALL
+  SELECT folder, i, doc_id, got, list_append(taken, got) FROM (SELECT o.folder, o.i, o.doc_id, s.taken, list_filter(list_prepend(o.name, list_transform(range(2, len(s.taken) + 3), lambda k: left(o.name, 4) || ' (' || k || ').txt')), lambda c: NOT list_contains(s.taken, c))[1] AS got FROM s JOIN o ON o.folder = s.folder AND o.i = s.i + 1)),
+r AS (SELECT n.key, n.doc_id, coalesce(was, n.folder || '/' || coalesce(same.name, s.got)) AS path, CASE WHEN was IS NOT NULL THEN 'indexed' WHEN same.name IS NOT NULL THEN 'identical' ELSE 'copied' END AS how FROM n LEFT JOIN same USING (key) LEFT JOIN s ON s.doc_id = n.doc_id AND s.i > 0)
+SELECT f.doc_id, f.key, r.path, CASE WHEN f.doc_id = r.doc_id THEN how ELSE 'indexed' END AS how FROM f JOIN r USING (key)""",
+)
+def imported_files(spark, sf_dir):
+    """Texts imported as files of folders that hold some already, with an index of earlier imports."""
+    doc = F.col("doc_id")
+    files = table(spark, sf_dir, "documents").where("text is not null").select(F.floor(doc / 40).alias("folder"), "doc_id", F.concat(F.lit("doc"), (doc % 7).cast("string"), F.lit(".txt")).alias("name"), F.sha1(F.col("text").cast("binary")).alias("key"))
+    index = files.where("doc_id % 13 = 0").select("key", F.concat(F.lit("old/"), doc.cast("string")).alias("path"))
+    there = F.concat(F.lit("doc"), (doc % 7).cast("string"), F.lit(" ("), (doc % 2 + 2).cast("string"), F.lit(").txt"))
+    existing = files.where("doc_id % 9 < 2").groupBy("folder", there.alias("name")).agg(F.min("key").alias("key"))
+    return h.imported(files, existing, index, "folder", "name", "key", "doc_id")

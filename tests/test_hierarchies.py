@@ -77,3 +77,22 @@ def test_old_caps_are_passed(spark):
     assert levels["up"][-1] == 1e9 and levels["down"][0] == 1e9 and len(levels["down"]) == 2
     label = spark.range(1).select(text.humanised(F.repeat(F.lit("a"), F.lit(n))).alias("label")).first()["label"]
     assert len(label) == n and label.startswith("Aa")
+
+
+def test_imports_reuse_what_is_there(spark):
+    incoming = [("f", 1, "a.pdf", "A"), ("f", 2, "a.pdf", "B"), ("f", 3, "other.pdf", "A"), ("f", 4, "a.pdf", "C"), ("f", 5, "a.pdf", "D"), ("g", 6, "x", "E"), ("g", 7, "x", "F"), ("g", 8, "x", "E"), ("f", 9, "a.pdf", "G")]
+    existing = [("f", "a (2).pdf", "C"), ("f", "a (5).pdf", "C"), ("f", "b.pdf", "D"), ("g", "x", "E"), ("f", "a (25).pdf", "G")]
+    files = spark.createDataFrame(incoming * 3, "folder string, n int, name string, key string").dropDuplicates(["n"])
+    got = h.imported(files, spark.createDataFrame(existing, "folder string, name string, key string"), spark.createDataFrame([("B", "/old/b"), ("Z", "/old/z")], "key string, path string"), "folder", "name", "key", "n")
+    assert {r["n"]: (r["path"], r["how"]) for r in got.collect()} == {
+        1: ("f/a.pdf", "copied"), 2: ("/old/b", "indexed"), 3: ("f/a.pdf", "indexed"), 4: ("f/a (2).pdf", "identical"), 5: ("f/a (3).pdf", "copied"), 6: ("g/x", "identical"), 7: ("g/x (2)", "copied"), 8: ("g/x", "indexed"), 9: ("f/a (4).pdf", "copied"),
+    }
+
+
+def test_hot_keys_join_as_others_do(spark):
+    from folioflow.operators import joins
+
+    rows = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
+    keyed = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+    hot, cold = (joins.join_hot(rows, keyed, "k", least=n) for n in (1000, 10**9))
+    assert hot.count() == cold.count() == 20_000 and hot.exceptAll(cold).count() == 0

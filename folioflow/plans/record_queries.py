@@ -439,12 +439,18 @@ def quads(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", g.shoelace(corners).alias("area"), F.round(g.perimeter(corners), 6).alias("around"), g.is_convex(corners).alias("convex"))
 
 
-@query("image_kinds", "SELECT p_partkey, ['png', 'jpeg', 'gif', 'webp', 'unknown', 'tiff'][p_partkey % 6 + 1] AS kind FROM part")
+@query(
+    "image_kinds",
+    """WITH x AS (SELECT p_partkey, left(['89504E470D0A1A0A00', 'FFD8FFE000', '474946383961', '52494646000000005745425056', '00112233', '49492A0008'][p_partkey % 6 + 1] || hex(encode(p_name)), 2 * (p_size % 20)) AS b FROM part),
+h AS (SELECT *, left(b, 24) AS h FROM x)
+SELECT p_partkey, CASE WHEN starts_with(h, '89504E470D0A1A0A') THEN 'png' WHEN starts_with(h, 'FFD8FF') THEN 'jpeg' WHEN starts_with(h, '47494638') THEN 'gif' WHEN starts_with(h, '424D') THEN 'bmp' WHEN starts_with(h, '49492A00') THEN 'tiff' WHEN starts_with(h, '4D4D002A') THEN 'tiff' WHEN starts_with(h, '52494646') AND length(h) = 24 AND ends_with(h, '57454250') THEN 'webp' ELSE 'unknown' END AS kind FROM h""",
+)
 def image_kinds(spark, sf_dir):
-    """kinds by first bytes."""
+    """kinds by first bytes: six heads before parts' names, cut off after as many bytes as the size says."""
     heads = ("89504E470D0A1A0A00", "FFD8FFE000", "474946383961", "52494646000000005745425056", "00112233", "49492A0008")
     head = F.element_at(F.array(*(F.lit(h) for h in heads)), (F.col("p_partkey") % 6 + 1).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", b.image_kind(F.unhex(head)).alias("kind"))
+    data = F.substring(F.concat(F.unhex(head), F.encode("p_name", "UTF-8")), F.lit(1), (F.col("p_size") % 20).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", b.image_kind(data).alias("kind"))
 
 
 @query("stored_signatures", "SELECT event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INT) AS place FROM events WHERE event_type = 'purchase'")

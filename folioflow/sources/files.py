@@ -22,6 +22,53 @@ def listing(spark: SparkSession, folder: str, extensions: list[str] | None = Non
     return rows.where(F.col("extension").isin(*extensions)) if extensions else rows
 
 
+ENTRIES = "path string, name string, extension string, directory boolean, size long, modified timestamp"
+#: What a listing is sorted by.
+SORTS = ("name", "date", "size")
+
+
+def folder(spark: SparkSession, path: str, extensions: list[str] | None = None, sort: str = "date", descending: bool = True) -> DataFrame:
+    """(path, name, extension, directory, size, modified) of a folder: its folders, and its files with one of ``extensions``; dot files are left out.
+
+    Folders come first, then files; both by name (whatever the case), date or size, but folders by
+    name where files are by size. What a store lists of one folder is told by its own listing, so no content is read.
+    A folder that is not there is empty.
+    """
+    if sort not in SORTS:
+        raise ValueError(f"no sort {sort}")
+    rows = _entries(spark, path, False).where(F.col("directory") | F.col("extension").isin(*extensions)) if extensions else _entries(spark, path, False)
+    by = {"name": F.lower("name"), "date": F.col("modified"), "size": F.when(~F.col("directory"), F.col("size"))}[sort]
+    first = F.when(F.col("directory") & F.lit(sort == "size"), F.col("name"))
+    return rows.orderBy(F.desc("directory"), first, F.desc_nulls_last(by) if descending else F.asc_nulls_last(by), "path")
+
+
+def searched(spark: SparkSession, path: str, query: str, extensions: list[str] | None = None) -> DataFrame:
+    """Folders and files below a folder, at any depth, whose name holds ``query``, whatever the case, sorted by name; a blank query finds none."""
+    wanted = query.strip().lower()
+    rows = _entries(spark, path, True) if wanted else spark.createDataFrame([], ENTRIES)
+    rows = rows.where(F.contains(F.lower("name"), F.lit(wanted)) & (F.col("directory") | (F.col("extension").isin(*extensions) if extensions else F.lit(True))))
+    return rows.orderBy(F.desc("directory"), F.lower("name"), "path")
+
+
+def _entries(spark: SparkSession, path: str, deep: bool) -> DataFrame:
+    """Entries of a folder that don't begin with a dot, from the store's own listings, level by level if ``deep``; as Spark's sources list files, in the driver."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(conf)
+    rows, level = [], [root] if store.exists(root) else []
+    while level:
+        found = [x for folder in level for x in store.listStatus(folder)]
+        level = []
+        for x in found:
+            name = x.getPath().getName()
+            if deep and x.isDirectory():
+                level.append(x.getPath())
+            if not name.startswith("."):
+                rows.append((x.getPath().toString(), name, x.isDirectory(), 0 if x.isDirectory() else x.getLen(), x.getModificationTime()))
+    listed = spark.createDataFrame(rows, "path string, name string, directory boolean, size long, ms long")
+    return listed.select("path", "name", F.when(~F.col("directory"), b.extension(F.col("path"))).alias("extension"), "directory", "size", F.timestamp_millis("ms").alias("modified"))
+
+
 def found_by_name(files: DataFrame, query: str) -> DataFrame:
     """Files whose name holds the query, whatever the case; an empty query finds none."""
     return files.where(F.contains(F.lower("name"), F.lit(query.lower()))) if query else files.limit(0)

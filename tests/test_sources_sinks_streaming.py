@@ -78,3 +78,23 @@ def test_files_go_to_the_reader_of_their_extension(spark):
     rows = [("/a.md", "# Head\n\ntext"), ("/b.txt", "- item\n\nplain"), ("/c.CSV", "x,y"), ("/d.pdf", "%PDF")]
     blocks = files.read_documents(spark.createDataFrame([(p, bytearray(c.encode())) for p, c in rows], "path string, content binary"))
     assert sorted((r["path"], r["kind"]) for r in blocks.collect()) == [("/a.md", "heading"), ("/a.md", "paragraph"), ("/b.txt", "list_item"), ("/b.txt", "paragraph"), ("/c.CSV", "paragraph")]
+
+
+def test_folders_and_search(spark, tmp_path):
+    import os
+
+    (tmp_path / "Zeta").mkdir()
+    (tmp_path / "alpha" / "deep" / "Report folder").mkdir(parents=True)
+    (tmp_path / ".hidden").mkdir()
+    made = {"b.pdf": 30, "A.pdf": 10, "c.txt": 20, "note.xyz": 5, ".dot.pdf": 1, "alpha/report.pdf": 3, "alpha/deep/REPORT 2.txt": 2, ".hidden/report.pdf": 1, "alpha/deep/.report.pdf": 1}
+    for n, (name, size) in enumerate(made.items()):
+        (tmp_path / name).write_bytes(b"x" * size)
+        os.utime(tmp_path / name, (1_700_000_000 + n, 1_700_000_000 + n))
+    names = lambda df: [r["name"] for r in df.collect()]
+    at, kinds = f"file://{tmp_path}", ["pdf", "txt"]
+    assert names(files.folder(spark, at, kinds, "name", False)) == ["alpha", "Zeta", "A.pdf", "b.pdf", "c.txt"]
+    assert names(files.folder(spark, at, kinds, "size")) == ["Zeta", "alpha", "b.pdf", "c.txt", "A.pdf"]
+    assert names(files.folder(spark, at, kinds, "date"))[2:] == ["c.txt", "A.pdf", "b.pdf"]
+    assert "note.xyz" in names(files.folder(spark, at)) and not any(n.startswith(".") for n in names(files.folder(spark, at)))
+    assert names(files.searched(spark, at, " report ", kinds)) == ["Report folder", "REPORT 2.txt", "report.pdf", "report.pdf"]
+    assert files.searched(spark, at, "  ").count() == 0 and files.folder(spark, f"{at}/none").count() == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +64,35 @@ def right_limits(blocks: DataFrame, keys: list[str], key: str, page_right: float
     return joined.groupBy(*(F.col(f"x.{k}") for k in (*keys, key))).agg(F.coalesce(F.min("y.l"), F.lit(page_right)).alias("limit"))
 
 
+# Steps of tiled marks in their own widths and heights and at least in points; space of a mark at the page's edge; how far below its middle a text begins.
+TILE_ACROSS, TILE_DOWN, TILE_LEAST, EDGE_HEIGHT, EDGE_SPACE, TEXT_RISE = 1.3, 4.0, 120.0, 30.0, 20.0, 0.35
+POSITIONS = ("center", "top", "bottom", "tile")
+
+
+def watermarked(pages: DataFrame, keys: list[str], width: str, height: str, wide: str, high: str, position: str = "center", degrees: float = 45.0, text: bool = True) -> DataFrame:
+    """(keys, mark, x, y, cos, sin, dx, dy): where each page's marks stand and how they are turned.
+
+    ``width`` and ``height`` are a page's, ``wide`` and ``high`` its mark's, a text or an image. One mark
+    stands in the middle, at the top or at the bottom; ``tile`` covers the page in rows from below, every second one
+    half a step further left. (x, y) is a mark's middle; it is drawn from (dx, dy) on, in axes turned by the angle.
+    """
+    if position not in POSITIONS:
+        raise ValueError(f"no position {position}")
+    w_, h_, page_w, page_h = (F.col(c).cast("double") for c in (wide, high, width, height))
+    if position == "tile":
+        step_x, step_y = F.greatest(w_ * TILE_ACROSS, F.lit(TILE_LEAST)), F.greatest(h_ * TILE_DOWN, F.lit(TILE_LEAST))
+        # steps from a start that are less than one past the page's far side
+        steps = lambda start, step, size: F.sequence(F.lit(0), (F.ceil((size + step - start) / step) - 1).cast("int"))
+        rows = F.transform(steps(step_y / 2, step_y, page_h), lambda r: F.struct(r.alias("r"), F.when(r % 2 == 0, step_x / 2).otherwise(0.0).alias("start")))
+        at = F.flatten(F.transform(rows, lambda row: F.transform(steps(row["start"], step_x, page_w), lambda c: F.struct((row["start"] + c * step_x).alias("x"), (step_y / 2 + row["r"] * step_y).alias("y")))))
+    else:
+        edge = F.greatest(h_, F.lit(EDGE_HEIGHT)) + EDGE_SPACE
+        at = F.array(F.struct((page_w / 2).alias("x"), {"top": page_h - edge, "bottom": edge, "center": page_h / 2}[position].alias("y")))
+    angle = math.radians(degrees)
+    shown = pages.select(*keys, (-w_ / 2).alias("dx"), (-h_ * TEXT_RISE if text else -h_ / 2).alias("dy"), F.posexplode(at).alias("mark", "_at"))
+    return shown.select(*keys, "mark", "_at.x", "_at.y", F.lit(math.cos(angle)).alias("cos"), F.lit(math.sin(angle)).alias("sin"), "dx", "dy")
+
+
 def without_artifacts(ops: DataFrame, keys: list[str], order: str, opens: Column, closes: Column, ours: Column) -> DataFrame:
     """Content operators but marked content that is ``ours``, with all that is nested in it.
 

@@ -142,3 +142,21 @@ def indent_levels(spark, sf_dir):
     """How many list levels the left edges of an order's items make at a body size of 10."""
     lefts = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set((F.col("l_partkey") % 40).cast("double")).alias("lefts"))
     return lefts.select("l_orderkey", F.size(e.indent_levels(F.col("lefts"), F.lit(10.0))).alias("levels"))
+
+
+@query(
+    "watermarks",
+    """WITH p AS (SELECT p_partkey, 200.0 + p_size * 10 AS w, 300.0 + p_size * 7 AS h, length(p_name) * 9.0 AS tw, 10.0 + p_size AS th FROM part), s AS (SELECT *, greatest(tw * 1.3, 120.0)::DOUBLE AS sx, greatest(th * 4.0, 120.0)::DOUBLE AS sy FROM p),
+r AS (SELECT *, unnest(range(0, CAST(ceil((h + sy / 2) / sy) AS BIGINT))) AS r FROM s), t AS (SELECT *, CASE WHEN r % 2 = 0 THEN sx / 2 ELSE 0 END AS x0 FROM r), c AS (SELECT *, unnest(range(0, CAST(ceil((w + sx - x0) / sx) AS BIGINT))) AS c FROM t),
+a AS (SELECT p_partkey, 'tile' AS position, CAST(x0 + c * sx AS DOUBLE) AS x, CAST(sy / 2 + r * sy AS DOUBLE) AS y, tw, th FROM c UNION ALL SELECT p_partkey, 'top', w / 2, h - greatest(th, 30) - 20, tw, th FROM p UNION ALL SELECT p_partkey, 'bottom', w / 2, greatest(th, 30) + 20, tw, th FROM p UNION ALL SELECT p_partkey, 'center', w / 2, h / 2, tw, th FROM p)
+SELECT p_partkey, position, round(CAST(x AS DOUBLE), 6) AS x, round(CAST(y AS DOUBLE), 6) AS y, round(CAST(-tw / 2 AS DOUBLE), 6) AS dx, round(CAST(-th * 0.35 AS DOUBLE), 6) AS dy FROM a""",
+)
+def watermarks(spark, sf_dir):
+    """The marks of every part's page in each of the four positions."""
+    size = F.col("p_size")
+    pages = table(spark, sf_dir, "part").select("p_partkey", (200.0 + size * 10).alias("w"), (300.0 + size * 7).alias("h"), (F.length("p_name") * 9.0).alias("tw"), (10.0 + size).alias("th"))
+    found = None
+    for position in e.POSITIONS:
+        marks = e.watermarked(pages, ["p_partkey"], "w", "h", "tw", "th", position).select("p_partkey", F.lit(position).alias("position"), *(F.round(c, 6).alias(c) for c in ("x", "y", "dx", "dy")))
+        found = marks if found is None else found.unionByName(marks)
+    return found

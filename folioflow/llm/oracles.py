@@ -55,3 +55,12 @@ common AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
 link AS MATERIALIZED (SELECT a, b FROM common JOIN held x ON x.doc_id = a JOIN held y ON y.doc_id = b WHERE 100 * shared >= {percent} * (x.n + y.n - shared)),
 reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.other)
 SELECT d.doc_id, coalesce(held.n, 0) AS n_shingles, component_id FROM documents d LEFT JOIN held USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)"""
+
+
+def warc() -> str:
+    """Digests as 160 bits in groups of five, written in base32; of equal payloads that of the largest page is the response."""
+    return """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT h, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, array_to_string(list_transform(range(1, 41), lambda i: lpad(bin(strpos('0123456789abcdef', substr(sha1(h), i, 1)) - 1), 4, '0')), '') AS bits FROM (SELECT DISTINCT h FROM p)),
+e AS (SELECT h, payload_bytes, array_to_string(list_transform(range(0, 32), lambda g: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + list_sum(list_transform(range(0, 5), lambda b: CAST(substr(bits, 5 * g + b + 1, 1) AS INT) << (4 - b)))::INT, 1)), '') AS payload_digest FROM d),
+t AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to FROM t JOIN e USING (h)"""

@@ -114,6 +114,7 @@ QUERIES = {
 
 #: DuckDB SQL for those that SQL can express.
 ORACLES: dict[str, str] = {
+    "op2_warc": oracles.warc(),
     "op11_vector_codes": oracles.vector_codes(),
     "op12_set_join": oracles.set_join(),
     "op13_centroids": oracles.centroids(),

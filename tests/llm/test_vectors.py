@@ -128,7 +128,7 @@ def test_no_vectors_and_components_out_of_range(spark):
         vector_codes.coded(spark.createDataFrame(rows_of([(1, [0.5] * 10)]), SCHEMA))
 
 
-@pytest.mark.parametrize("name", ["op11_vector_codes", "op13_centroids"])
-def test_vector_queries_agree_with_their_sql(spark, name):
+@pytest.mark.parametrize("name", ["op2_warc", "op11_vector_codes", "op13_centroids"])
+def test_queries_agree_with_their_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     compare(QUERIES[name](spark, sf), connection(sf), ORACLES[name])

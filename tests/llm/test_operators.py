@@ -178,10 +178,14 @@ def test_urls(spark):
     assert got[1] == ("example.com", "/en/1", "com/en/", "block")
     assert got[2] == ("x.org", "/es/", "org/es/", "block")
     assert got[3][:3] == ("", "", None) and got[4] == ("", "", None, "allow")
-    assert got[5][2:] == ("example.net/de/8", "block") and got[6][2] is None and got[7][2:] == ("net/de/", "block")
+    assert got[5][2:] == ("example.net/de/8", "block") and got[6][2] is None and got[7][2:] == ("net/de/", "allow")
     assert got[8][:3] == ("", "", None) and got[9][:3] == ("Ünï.com", "/en/", "com/en/")
 
 
+def test_url_rules_are_those_of_the_contract():
+    assert {h + p: v for v, h, p in queries.URL_RULES} == {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")

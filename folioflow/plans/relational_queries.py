@@ -115,10 +115,10 @@ def rank_filtered(spark, sf_dir):
     return x.select("vec_id", "i", w.moving("min", "x", 2, ["vec_id"], ["i"]).alias("low"), w.moving("max", "x", 2, ["vec_id"], ["i"]).alias("high"))
 
 
-@query("box_blurred", "WITH x AS (SELECT vec_id, [CAST(floor((v + 1) * 128) AS DOUBLE) FOR v IN embedding] AS p FROM embeddings) SELECT vec_id, i, round(list_sum([p[greatest(1, least(len(p), i + 1 + d))] FOR d IN [-2, -1, 0, 1, 2]]) / 5, 6) AS mean FROM (SELECT vec_id, p, unnest(range(0, len(p))) AS i FROM x)")
+@query("box_blurred", "WITH x AS (SELECT vec_id, [CAST(floor((CAST(v AS DOUBLE) + 1) * 128) AS DOUBLE) FOR v IN embedding] AS p FROM embeddings) SELECT vec_id, i, round(list_sum([p[greatest(1, least(len(p), i + 1 + d))] FOR d IN [-2, -1, 0, 1, 2]]) / 5, 6) AS mean FROM (SELECT vec_id, p, unnest(range(0, len(p))) AS i FROM x)")
 def box_blurred(spark, sf_dir):
     """Moving mean over a plane of 0 to 255 with clamped edges."""
-    plane = F.transform("embedding", lambda v: F.floor((v + 1) * 128).cast("double"))
+    plane = F.transform("embedding", lambda v: F.floor((v.cast("double") + 1) * 128).cast("double"))
     x = table(spark, sf_dir, "embeddings").select("vec_id", plane.alias("p"))
     return x.select("vec_id", F.posexplode(w.box_mean(F.col("p"), 2)).alias("i", "mean")).select("vec_id", F.col("i").cast("long").alias("i"), F.round("mean", 6).alias("mean"))
 
@@ -191,11 +191,11 @@ def line_pitch(spark, sf_dir):
     return pitch.join(middle, "l_suppkey").select("l_suppkey", "p35", (F.col("low") + (F.col("high") - F.col("low")) * 0.5).alias("middle"), "upper_median")
 
 
-BYTES = "SELECT vec_id, label, unnest([CAST(greatest(0, least(255, floor((v + 1) * 128))) AS INT) FOR v IN embedding]) AS v FROM embeddings"
+BYTES = "SELECT vec_id, label, unnest([CAST(greatest(0, least(255, floor((CAST(v AS DOUBLE) + 1) * 128))) AS INT) FOR v IN embedding]) AS v FROM embeddings"
 
 
 def _bytes(spark, sf_dir):
-    plane = F.transform("embedding", lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((v + 1) * 128))).cast("int"))
+    plane = F.transform("embedding", lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((v.cast("double") + 1) * 128))).cast("int"))
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.explode(plane).alias("v"))
 
 
@@ -221,11 +221,11 @@ def otsu_threshold(spark, sf_dir):
     return a.otsu(a.histogram(_bytes(spark, sf_dir), ["label"], F.col("v")), ["label"])
 
 
-@query("content_bounds", f"SELECT vec_id, CAST(min(x) AS BIGINT) AS left_x, CAST(max(x) AS BIGINT) AS right_x, CAST(min(y) AS BIGINT) AS top_y, CAST(max(y) AS BIGINT) AS bottom_y FROM (SELECT vec_id, i % 8 AS x, i // 8 AS y, CAST(greatest(0, least(255, floor((v + 1) * 128))) AS INT) AS v FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding) AS v FROM embeddings)) WHERE v > 140 GROUP BY vec_id")
+@query("content_bounds", f"SELECT vec_id, CAST(min(x) AS BIGINT) AS left_x, CAST(max(x) AS BIGINT) AS right_x, CAST(min(y) AS BIGINT) AS top_y, CAST(max(y) AS BIGINT) AS bottom_y FROM (SELECT vec_id, i % 8 AS x, i // 8 AS y, CAST(greatest(0, least(255, floor((CAST(v AS DOUBLE) + 1) * 128))) AS INT) AS v FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(embedding) AS v FROM embeddings)) WHERE v > 140 GROUP BY vec_id")
 def content_bounds(spark, sf_dir):
     """Bounds of the bright pixels of an 8 by 8 plane."""
     x = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "e"))
-    x = x.where(F.greatest(F.lit(0), F.least(F.lit(255), F.floor((F.col("e") + 1) * 128))) > 140)
+    x = x.where(F.greatest(F.lit(0), F.least(F.lit(255), F.floor((F.col("e").cast("double") + 1) * 128))) > 140)
     col, row = (F.col("i") % 8).cast("long"), F.floor(F.col("i") / 8)
     return x.groupBy("vec_id").agg(F.min(col).alias("left_x"), F.max(col).alias("right_x"), F.min(row).alias("top_y"), F.max(row).alias("bottom_y"))
 

@@ -181,9 +181,9 @@ def size_levels(spark, sf_dir):
     return orders.join(levels, "o_custkey").select("o_orderkey", a.nearest_level(F.col("size"), F.col("levels")).cast("int").alias("level"), F.size("levels").alias("levels"))
 
 
-@query("line_pitch", "SELECT l_suppkey, list_sort(list(l_quantity))[CAST(floor((count(*) - 1) * 0.35) AS BIGINT) + 1] AS p35, median(l_extendedprice) AS middle, list_sort(list(l_quantity))[count(*) // 2 + 1] AS upper_median FROM lineitem GROUP BY l_suppkey")
+@query("line_pitch", "SELECT l_suppkey, list_sort(list(l_quantity))[CAST(floor((count(*) - 1) * 0.35::DOUBLE) AS BIGINT) + 1] AS p35, median(l_extendedprice) AS middle, list_sort(list(l_quantity))[count(*) // 2 + 1] AS upper_median FROM lineitem GROUP BY l_suppkey")
 def line_pitch(spark, sf_dir):
-    """Floor-index percentile, median and upper median, from counts by value."""
+    """Floor-index percentile (the product with 0.35 in double precision), median and upper median, from counts by value."""
     lines = table(spark, sf_dir, "lineitem")
     half = {"low": lambda n: F.floor((n - 1) / 2), "high": lambda n: F.floor(n / 2)}
     pitch = a.placed_values(lines, ["l_suppkey"], "l_quantity", {"p35": a.at_share(0.35), "upper_median": half["high"]})

@@ -29,7 +29,7 @@ def edge(tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["box_blurred", "brighter_scans", "inked_pixels", "local_spread", "gray_scans", "histogram256", "turned_planes", "stretched_planes", "tiled_spread", "content_bounds"])
+@pytest.mark.parametrize("name", ["box_blurred", "brighter_scans", "inked_pixels", "line_pitch", "local_spread", "gray_scans", "histogram256", "turned_planes", "stretched_planes", "tiled_spread", "content_bounds"])
 def test_query_and_sql_agree_at_edges(spark, edge, name):
     folder, con = edge
     compare(QUERIES[name](spark, folder), con, ORACLES[name])

@@ -1,13 +1,14 @@
 """Glyphs and text operators of pages put together: lines of styled spans, and blocks of lines that can be edited.
 
-Both depend on what was put together before, so a page is one task's fold; pages are
-independent of each other.
+Both depend on what was put together before, so a page is one task's fold over its rows, which
+holds a line or the open lines and blocks only; pages are independent of each other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from itertools import groupby
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -22,11 +23,14 @@ OP_BASELINE, OP_SIZE, OP_GAP, OP_BEFORE, OP_BLANK = 0.35, 0.3, 2.5, 1.0, 0.18
 #: What joins lines to a block: sizes, least and most step, left edges.
 BLOCK_SIZE, BLOCK_STEP, BLOCK_LEFT = 0.15, (0.5, 1.9), 3.0
 
+#: So many rows of a batch are Python objects at a time.
+AT_ONCE = 1024
+
 STYLE = ("size", "bold", "italic", "font", "color", "underline", "strike", "link")
 SPAN = "struct<text:string,x0:double,x1:double,size:double,bold:boolean,italic:boolean,font:string,color:bigint,underline:boolean,strike:boolean,link:string>"
 
 
-def _lines(glyphs: list[dict]) -> Iterator[list[dict]]:
+def _lines(glyphs: Iterable[dict]) -> Iterator[list[dict]]:
     """Runs of glyphs on one baseline that don't step back behind what the run has reached."""
     run: list[dict] = []
     reach = 0.0
@@ -74,19 +78,37 @@ def _spans(run: list[dict]) -> list[dict]:
     return [{**s, "text": s["text"].rstrip(" ")} for s in out if s["text"].strip()]
 
 
-def _by_page(df: DataFrame, names: list[str], keys: list[str], order: list[str], fields: str, read: Callable[[list[dict]], list[dict]]) -> DataFrame:
-    """``read`` over the rows of each page, in order, as structs of ``names``."""
-    held = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, *(n for n in names if n not in order)))).alias("rows"))
+def _by_page(df: DataFrame, names: list[str], keys: list[str], order: list[str], fields: str, read: Callable[[Iterator[dict]], Iterator[dict]]) -> DataFrame:
+    """``read`` over the rows of each page, in order, as dicts of ``names``.
+
+    Rows stream through it: pages stand together and sorted in the partitions, and no row or
+    task holds a page, only what ``read`` keeps of it.
+    """
+    held = [n for n in dict.fromkeys([*order, *names]) if n not in keys]
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     arrow = to_arrow_schema(StructType.fromDDL(f"{kinds}, {fields}"))
+    # of equals in ``order`` the other columns tell which comes first; a given number of parts is not put together again for being small
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(*keys, *held).repartition(parts, *keys).sortWithinPartitions(*keys, *held)
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, dict]]:
         for batch in batches:
-            *found, rows = (c.to_pylist() for c in batch.columns)
-            out = [{**dict(zip(keys, key)), **row} for *key, page in zip(*found, rows) for row in read(page)]
-            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+            for low in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(low, AT_ONCE)
+                found = [*zip(*(part.column(n).to_pylist() for n in range(len(keys))))]
+                yield from zip(found, part.select(held).to_pylist())
 
-    return held.mapInArrow(step, f"{kinds}, {fields}")
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for key, page in groupby(told(batches), lambda x: x[0]):
+            for row in read(x for _, x in page):
+                out.append({**dict(zip(keys, key)), **row})
+                if len(out) == AT_ONCE:
+                    yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                    out = []
+        yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    return rows.mapInArrow(step, f"{kinds}, {fields}")
 
 
 def lines(glyphs: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -99,25 +121,30 @@ def lines(glyphs: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     names = ["l", "t", "r", "b", "sign", "baseline", *STYLE]
     shown = glyphs.where((F.abs("angle") <= MOST_DEGREES) & (F.col("sign") != ""))
 
-    def read(page: list[dict]) -> list[dict]:
-        out = []
+    def read(page: Iterator[dict]) -> Iterator[dict]:
+        count = 0
         for run in _lines(page):
             inked = [g for g in run if not g["sign"].isspace()]
             if spans := _spans(run):
                 sides = {"x0": min(g["l"] for g in inked), "y0": min(g["t"] for g in inked), "x1": max(g["r"] for g in inked), "y1": max(g["b"] for g in inked)}
-                out.append({"line_no": len(out), "baseline": run[0]["baseline"], **sides, "spans": spans})
-        return out
+                yield {"line_no": count, "baseline": run[0]["baseline"], **sides, "spans": spans}
+                count += 1
 
     return _by_page(shown, names, keys, order, f"line_no int, baseline double, x0 double, y0 double, x1 double, y1 double, spans array<{SPAN}>", read)
 
 
-def _op_lines(ops: list[dict]) -> list[dict]:
-    """Lines of operators, which come by baseline: a line that lies too far back for one takes none after it, so only a few are open at a time."""
-    out: list[dict] = []
+def _op_lines(ops: Iterable[dict]) -> Iterator[dict]:
+    """Lines of operators, which come by baseline: a line that lies too far back for one takes none after it, so only a few are open at a time.
+
+    Lines come in the order of their first operators, each once it and those before take no more.
+    """
+    out: deque[dict] = deque()
     open_: list[dict] = []
     for op in ops:
         base, size, left, right = op["baseline"], max(op["size"], 1.0), op["l"], op["r"]
         open_ = [x for x in open_ if base - x["baseline"] < OP_BASELINE * x["size"]]
+        while out and base - out[0]["baseline"] >= OP_BASELINE * out[0]["size"]:
+            yield out.popleft()
         line = next((x for x in reversed(open_) if abs(x["size"] - size) < OP_SIZE * x["size"] and left - x["r"] < OP_GAP * x["size"] and right > x["l"] - OP_BEFORE * x["size"]), None)
         if line is None:
             open_.append({"text": op["text"], "l": left, "t": op["t"], "r": right, "b": op["b"], "baseline": base, "size": size})
@@ -126,12 +153,12 @@ def _op_lines(ops: list[dict]) -> list[dict]:
         part = left - line["r"] > OP_BLANK * line["size"] and not line["text"].endswith(" ") and not op["text"].startswith(" ")
         pair = (line["text"], op["text"]) if left >= line["l"] else (op["text"], line["text"])
         line.update(text=(" " if part else "").join(pair), l=min(line["l"], left), t=min(line["t"], op["t"]), r=max(line["r"], right), b=max(line["b"], op["b"]))
-    return out
+    yield from out
 
 
-def _op_blocks(lines: list[dict]) -> list[dict]:
+def _op_blocks(lines: Iterable[dict]) -> Iterator[dict]:
     """Blocks of lines, which come by baseline too; a block is held by its last line, its first line's left edge and its number of lines."""
-    out, count = [], 0
+    count = 0
     open_: list[dict] = []
     for line in lines:
         base, size, left, right = line["baseline"], line["size"], line["l"], line["r"]
@@ -143,8 +170,7 @@ def _op_blocks(lines: list[dict]) -> list[dict]:
             open_.append(block)
             count += 1
         block.update(baseline=base, l=left, r=right, lines=block["lines"] + 1, size=size)
-        out.append({"block_no": block["no"], "line_no": block["lines"] - 1, **line})
-    return out
+        yield {"block_no": block["no"], "line_no": block["lines"] - 1, **line}
 
 
 def text_blocks(ops: DataFrame, keys: list[str], id_col: str = "id") -> DataFrame:
@@ -156,8 +182,9 @@ def text_blocks(ops: DataFrame, keys: list[str], id_col: str = "id") -> DataFram
     """
     shown = ops.where(~F.col("invisible") & (F.trim("text") != "") & (F.abs("angle") < MOST_DEGREES))
 
-    def read(page: list[dict]) -> list[dict]:
-        return _op_blocks(sorted(_op_lines(page), key=lambda x: (x["baseline"], x["l"])))
+    def read(page: Iterator[dict]) -> Iterator[dict]:
+        by_left = (sorted(same, key=lambda x: x["l"]) for _, same in groupby(_op_lines(page), lambda x: x["baseline"]))
+        return _op_blocks(chain.from_iterable(by_left))
 
     names = [id_col, "l", "t", "r", "b", "baseline", "size", "text"]
     return _by_page(shown, names, keys, ["baseline", "l", id_col], "block_no int, line_no int, text string, l double, t double, r double, b double, baseline double, size double", read)

@@ -42,3 +42,25 @@ def test_blocks(spark):
     got = {r["text"]: (r["block_no"], r["line_no"]) for r in x.text_blocks(ops, ["page"]).collect()}
     assert got == {"first line": (0, 0), "beside": (1, 0), "second": (0, 1), "below it": (1, 1), "apart": (2, 0)}
     assert x.text_blocks(ops.limit(0), ["page"]).count() == 0
+
+
+def test_pages_stream_through_the_folds(spark):
+    seen = []
+
+    def drawn():
+        for n in range(50):
+            seen.append(n)
+            yield from signs("row", 0, 20 * n)
+
+    lines = x._lines(drawn())
+    assert "".join(g["sign"] for g in next(lines)) == "row" and len(seen) == 2
+    seen.clear()
+
+    def ops():
+        for n in range(50):
+            seen.append(n)
+            yield op("word", 0, 20 * n)
+
+    assert next(x._op_blocks(x._op_lines(ops())))["text"] == "word" and len(seen) == 2
+    plan = x.lines(spark.createDataFrame([{"page": 1, "angle": 0.0, "n": 0, **signs("a", 0.0, 20.0)[0]}], "page int, n int, l double, t double, r double, b double, sign string, baseline double, angle double, size double, bold boolean, italic boolean, font string, color long, underline boolean, strike boolean, link string"), ["page"], ["n"])
+    assert "collect_list" not in plan._jdf.queryExecution().toString() and [r["baseline"] for r in plan.collect()] == [20.0]

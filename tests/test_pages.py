@@ -81,3 +81,24 @@ def test_corners_of_a_table(spark):
     assert got.keys() == {1, 2} and got[2] is None
     assert np.abs(np.array(got[1]) - [(30, 20), (130, 20), (130, 100), (30, 100)]).max() < 3
     assert scans.page_corners(frame.limit(0)).count() == 0
+
+
+def test_images_of_a_small_table_are_spread(spark):
+    from folioflow.session import spread, table
+
+    rows = spread(table(spark, "/root/testdata/sf0.001", "supplier").select("s_suppkey"), "s_suppkey")
+    assert rows.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_places_worked_out_once_give_the_same_values():
+    from folioflow.functions import scan
+
+    random = np.random.default_rng(2)
+    planes = [random.normal(size=(7, 9)) for _ in range(2)]
+    x, y = random.uniform(-2, 11, (2, 5, 40))
+    for plane, got in zip(planes, scan.sampled_all(planes, x, y)):
+        left, top = np.minimum(np.clip(x, 0, 8).astype(int), 7), np.minimum(np.clip(y, 0, 6).astype(int), 5)
+        dx, dy = np.clip(x, 0, 8) - left, np.clip(y, 0, 6) - top
+        upper = plane[top, left] * (1 - dx) + plane[top, left + 1] * dx
+        lower = plane[top + 1, left] * (1 - dx) + plane[top + 1, left + 1] * dx
+        assert (got == upper * (1 - dy) + lower * dy).all() and (scan.sampled(plane, x, y) == got).all()

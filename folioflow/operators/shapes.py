@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -20,22 +22,26 @@ HELD = 4096
 def hulls(points: DataFrame, keys: list[str], x: str, y: str, parts: int = 64) -> DataFrame:
     """(keys, hull, area): the corners around each group's points, counter-clockwise where y rises, without those on a line.
 
-    A hull of hulls is the hull of all their points, so it combines: each batch of a task sends its own groups'
-    hulls only, these meet in ``parts`` parts of a group, and those at last by group. No task gets a group's points, and one holds
-    a few thousand points. Points with a null or not finite coordinate take no part, nor groups without others.
+    Of the points above one x only the lowest and the highest can be corners: an aggregate leaves these. A hull of hulls
+    is the hull of all their points, so it combines: groups with over ``HELD`` x are dealt to ``parts`` parts, whose hulls meet at
+    last by group. No task gets such a group's points, and one holds a few thousand points. Points with a null or not finite
+    coordinate take no part, nor groups without others.
     """
     sound = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf"))
-    rows = points.where(sound(x) & sound(y)).select(*keys, F.lit(0).alias("_part"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    rows = points.where(sound(x) & sound(y)).select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
     fields = ", ".join(f"`{k}` {points.schema[k].dataType.simpleString()}" for k in keys)
     corner, whole = f"{fields}, _part int, _x double, _y double", f"{fields}, hull array<struct<x:double,y:double>>, area double"
-    part = F.pmod(F.spark_partition_id(), F.lit(parts)).cast("int")
-    partial = _corners(rows, keys, corner, True).withColumn("_part", part)
-    met = _corners(partial.repartition(*keys, "_part").sortWithinPartitions(*keys, "_part"), keys, corner, False)
-    return _corners(met.withColumn("_part", F.lit(0)).repartition(*keys).sortWithinPartitions(*keys), keys, whole, False)
+    ends = rows.groupBy(*keys, "_x").agg(F.min("_y").alias("_low"), F.max("_y").alias("_high"))
+    large = ends.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > HELD).select(*(F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)), F.lit(True).alias("_large"))
+    same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)))
+    part = F.when(F.col("_large"), F.pmod(F.hash("_x"), F.lit(parts))).otherwise(0).cast("int").alias("_part")
+    dealt = ends.join(F.broadcast(large), same, "left").select(*keys, part, "_x", F.explode(F.array_distinct(F.array("_low", "_high"))).alias("_y"))
+    met = _corners(dealt.repartition(*keys, "_part").sortWithinPartitions(*keys, "_part"), keys, corner)
+    return _corners(met.withColumn("_part", F.lit(0)).repartition(*keys).sortWithinPartitions(*keys), keys, whole)
 
 
-def _corners(rows: DataFrame, keys: list[str], fields: str, by_batch: bool) -> DataFrame:
-    """The hulls of rows (keys, _part, _x, _y): of each batch's groups, or of groups that stand together in the partitions."""
+def _corners(rows: DataFrame, keys: list[str], fields: str) -> DataFrame:
+    """The hulls of rows (keys, _part, _x, _y) of groups that stand together in the partitions."""
     arrow = to_arrow_schema(StructType.fromDDL(fields))
     n, whole = len(keys), "hull" in arrow.names
 
@@ -54,12 +60,6 @@ def _corners(rows: DataFrame, keys: list[str], fields: str, by_batch: bool) -> D
         for batch in batches:
             points = np.column_stack([batch.column(n + k).to_numpy(zero_copy_only=False) for k in (1, 2)]) if batch.num_rows else np.empty((0, 2))
             names = [*zip(*(c.to_pylist() for c in batch.columns[: n + 1]))]
-            if by_batch:
-                places: dict = {}
-                for place, key in enumerate(names):
-                    places.setdefault(key, []).append(place)
-                yield told([(key, [points[at]]) for key, at in places.items()])
-                continue
             starts = [0, *(k for k in range(1, len(names)) if names[k] != names[k - 1])] if names else []
             for low, high in zip(starts, [*starts[1:], len(names)]):
                 if names[low] != now:

@@ -36,3 +36,21 @@ def test_largest_quadrilateral_is_that_of_all_fours():
     circle = scan.hull(np.column_stack([f(np.linspace(0, 2 * np.pi, 400, endpoint=False)) for f in (np.cos, np.sin)]))
     assert np.isclose(shapes.area(shapes.largest_quad(circle)), 2.0)
     assert shapes.largest_quad(circle[:3]) is None
+
+
+def test_hulls_get_the_ends_above_each_x_only(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from folioflow.functions import scan
+    from folioflow.operators import shapes
+
+    points = spark.range(4000).select((F.col("id") % 2).alias("k"), F.floor(F.col("id") / 40).alias("x"), (F.col("id") * 7 % 20).cast("double").alias("y"))
+    assert "_low" in shapes.hulls(points, ["k"], "x", "y")._jdf.queryExecution().toString()
+    # a group of more x than one task holds, and one without a key
+    held = points.union(spark.range(9000).select(F.lit(2), F.col("id"), (F.col("id") * F.col("id") % 101).cast("double"))).union(spark.createDataFrame([(None, 1, 2.0), (None, 3, 2.0), (None, 1, 5.0)], "k long, x long, y double"))
+    rows, got = held.collect(), shapes.hulls(held, ["k"], "x", "y").collect()
+    assert len(got) == 4
+    for r in got:
+        want = scan.hull(np.array([(p["x"], p["y"]) for p in rows if p["k"] == r["k"]], float))
+        assert [(c["x"], c["y"]) for c in r["hull"]] == [*map(tuple, want.tolist())]

@@ -1,4 +1,4 @@
-"""Language identification by string kernels, Nyström landmarks and kernel ridge regression."""
+"""Language identification by string kernels, Nyström landmarks and kernel ridge regression; familiarity by counts over whole tables."""
 
 from __future__ import annotations
 
@@ -14,6 +14,10 @@ from folioflow.llm.shared import prepare
 
 BITS = 14
 ORDERS = 4
+#: Steps of one in which familiarities are counted: the shares are logarithms, so there are some ten thousands of them.
+STEPS = 4096
+#: Languages of which a task holds the counts at once.
+COUNTED = 256
 _letters: list = []
 
 
@@ -64,7 +68,6 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
     sharpness: float = 4.0
-    usual: np.ndarray | None = None
 
     def scores(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The language of each text and its share of the soft maximum; und and 0 without letters."""
@@ -76,6 +79,14 @@ class Model:
         best = share.argmax(1)
         return [self.languages[k] if m else "und" for k, m in zip(best, n)], np.where(n > 0, share.max(1), 0.0)
 
+
+@dataclass
+class Usual:
+    """For each language the logarithm of the share of its texts that show each bucket."""
+
+    languages: list[str]
+    shares: np.ndarray
+
     def familiarity(self, texts: list[str | None]) -> np.ndarray:
         """How usual the buckets of each text are in the language where they are most so; -inf without letters or learnt languages.
 
@@ -84,11 +95,11 @@ class Model:
         depend on what other languages there are.
         """
         out = np.full(len(texts), -np.inf)
-        if self.usual is not None:
+        if self.languages:
             for k in range(0, len(texts), 128):
                 shown = presence(texts[k : k + 128])
                 n = shown.sum(1)
-                out[k : k + 128] = np.where(n > 0, (shown @ self.usual).max(1) / np.maximum(n, 1), -np.inf)
+                out[k : k + 128] = np.where(n > 0, (shown @ self.shares).max(1) / np.maximum(n, 1), -np.inf)
         return out
 
 
@@ -126,11 +137,7 @@ def fit(bits: np.ndarray, languages: list[str], landmarks: int = 256, ridge: flo
     middle, goal = (weight * phi).sum(0) / weight.sum(), (weight * target).sum(0) / weight.sum()
     centred = phi - middle
     solved = np.linalg.solve(centred.T @ (weight * centred) + ridge * len(y) * np.eye(phi.shape[1]) / phi.shape[1], centred.T @ (weight * (target - goal)))
-    usual = np.zeros((1 << BITS, len(names)))
-    for k in range(0, len(bits), 512):
-        usual += np.unpackbits(bits[k : k + 512], axis=1).astype(np.float32).T @ (target[k : k + 512] > 0).astype(np.float32)
-    usual = np.log((usual + 0.5) / ((target > 0).sum(0) + 1)).astype(np.float32)
-    return Model(names, (marks.T.astype(float) @ (whiten @ solved)).astype(np.float32), goal - middle @ solved, usual=usual)
+    return Model(names, (marks.T.astype(float) @ (whiten @ solved)).astype(np.float32), goal - middle @ solved)
 
 
 def train(labelled: DataFrame, most_rows: int = 6000, landmarks: int = 256, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -191,31 +198,72 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     return kept.mapInArrow(score, schema)
 
 
-def least_familiarity(held_out: DataFrame, model: Model, lost: float, rows: int = 6000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> float:
+def usual(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Usual:
+    """What is usual in each language, counted over all rows; those with a null language or text are left out.
+
+    A task sends a count for each language and bucket that its rows show, so no more
+    than these meet in the driver, whatever the number of rows.
+    """
+    prepare(labelled.sparkSession)
+    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t")).where("lang is not null and t is not null")
+
+    def told(held):
+        for lang, counts in held.items():
+            places = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(places), pa.string()), pa.array(places, pa.int32()), pa.array(counts[places], pa.int64())], names=["lang", "place", "n"])
+
+    def count(batches):
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            langs, texts = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_pylist()
+            for k in range(0, len(texts), 128):
+                shown, of = presence(texts[k : k + 128]), langs[k : k + 128]
+                for lang in sorted(set(of)):
+                    counts = held.setdefault(lang, np.zeros((1 << BITS) + 1, np.int64))  # the last place counts texts
+                    counts[:-1] += shown[of == lang].sum(0).astype(np.int64)
+                    counts[-1] += (of == lang).sum()
+            if len(held) > COUNTED:
+                yield from told(held)
+                held = {}
+        yield from told(held)
+
+    sums = rows.mapInArrow(count, "lang string, place int, n long").groupBy("lang", "place").agg(F.sum("n").alias("n")).toArrow()
+    langs, places, ns = (sums.column(c) for c in ("lang", "place", "n"))
+    names = sorted(set(langs.to_pylist()))
+    counts = np.zeros((1 << BITS, len(names)))
+    at, place, n = np.searchsorted(np.array(names, object), np.array(langs.to_pylist(), object)), places.to_numpy(), ns.to_numpy()
+    texts, bucket = np.zeros(len(names)), place < 1 << BITS
+    texts[at[~bucket]] = n[~bucket]
+    counts[place[bucket], at[bucket]] = n[bucket]
+    return Usual(names, np.log((counts + 0.5) / (texts + 1)).astype(np.float32))
+
+
+def least_familiarity(held_out: DataFrame, model: Usual, lost: float, text_col: str = "text", lang_col: str = "lang") -> float:
     """A familiarity that at most a share ``lost`` of the labelled ``held_out`` texts with letters stay below.
 
     It lies under that quantile by a quarter of its distance from the median, as
-    few held-out texts put the quantile too high. About ``rows`` of them are scored,
-    picked by a hash of the id; without any, every text with letters passes.
+    few held-out texts put the quantile too high. All of them are scored and counted by
+    steps of 1 / ``STEPS``, rounded down; without any, every text with letters passes.
     """
     prepare(held_out.sparkSession)
-    shown = held_out.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    space, n = 1 << 30, shown.count()
-    picked = shown.where(F.pmod(F.xxhash64(F.col("id"), F.lit("held out")), F.lit(space)) < min(space, space * rows // max(n, 1)))
+    shown = held_out.select(F.col(text_col).alias("t")).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
 
     def familiar(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(model.familiarity(batch.column(1).to_pylist()), pa.float64())], names=["familiarity"])
+            found = model.familiarity(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(np.floor(found[np.isfinite(found)] * STEPS).astype(np.int64), pa.int64())], names=["step"])
 
-    found = np.array([r["familiarity"] for r in picked.mapInArrow(familiar, "familiarity double").collect()], float)
-    found = found[np.isfinite(found)]
-    if not len(found):
+    counts = sorted((r["step"], r["n"]) for r in shown.mapInArrow(familiar, "step long").groupBy("step").agg(F.count("*").alias("n")).collect())
+    if not counts:
         return -np.finfo(float).max
-    low = float(np.quantile(found, lost, method="lower"))
-    return low - (float(np.median(found)) - low) / 4
+    steps, upto = np.array([s for s, _ in counts]), np.cumsum([n for _, n in counts])
+    at = lambda place: float(steps[np.searchsorted(upto, place, side="right")]) / STEPS
+    n = int(upto[-1])
+    low, middle = at(int((n - 1) * lost)), (at((n - 1) // 2) + at(n // 2)) / 2
+    return low - (middle - low) / 4
 
 
-def recognised(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+def recognised(docs: DataFrame, model: Usual, least: float, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text has a familiarity of ``least`` or more; nothing is shuffled."""
     prepare(docs.sparkSession)
     at = docs.columns.index(text_col)

@@ -224,3 +224,21 @@ def test_pipeline_rejects_texts_in_no_learned_language(spark, languages):
     kept = corpus_pipeline.language(spark, docs.unionByName(strange, allowMissingColumns=True), "/root/testdata/sf0.01")
     assert kept.where("doc_id < 0").count() == 0
     assert kept.count() >= 0.995 * docs.count()
+
+
+def test_what_is_usual_and_least_familiar_is_counted_over_all_rows(spark):
+    """More rows than a sample would take, one of them with signs that no other has."""
+    texts = [f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]} {'uvwxyz'[i % 6]}" for i in range(8000)] + ["ñandú", "42", None]
+    langs = [("xx", "yy")[i % 7 == 0] for i in range(len(texts))]
+    docs = spark.createDataFrame([*((i, t, lang) for i, (t, lang) in enumerate(zip(texts, langs))), (-1, "aa", None)], "doc_id long, text string, lang string")
+    found = language_id.usual(docs.repartition(5))
+    shown, of = language_id.presence(texts[:-1]), np.array(langs[:-1])
+    want = np.stack([np.log((shown[of == lang].sum(0) + 0.5) / ((of == lang).sum() + 1)) for lang in ("xx", "yy")], 1)
+    assert found.languages == ["xx", "yy"] and np.allclose(found.shares, want, atol=1e-6)
+    scores = found.familiarity(texts)
+    scores = scores[np.isfinite(scores)]
+    for lost in (0.0, 0.0005, 0.3):
+        low, middle = np.quantile(scores, lost, method="lower"), np.median(scores)
+        assert abs(language_id.least_familiarity(docs.repartition(5), found, lost) - (low - (middle - low) / 4)) < 2 / language_id.STEPS
+    none = docs.where("text = '42'")
+    assert language_id.usual(docs.limit(0)).languages == [] and language_id.least_familiarity(none, found, 0.1) < -1e300

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 # list marker, a heading, a caption, a sentence end or a hyphenated line end.
 WS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 BLANKS = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
-PAGE_NUMBER = r"^[\s\-–—|]*\d{1,4}[\s\-–—|]*$"
-PAGE_OF = r"(?i)^(page|p\.|pg\.?)\s*\d{1,4}(\s*(of|/)\s*\d{1,4})?$"
-PAGE_RATIO = r"(?i)^\d{1,4}\s*(of|/)\s*\d{1,4}$"
-ROMAN = r"^m{0,4}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$"
+PAGE_NUMBER = r"[{0}\-–—|]*+\d{{1,4}}[{0}\-–—|]*+"
+PAGE_OF = r"{1}(?:(?i:page|p\.|pg\.?){1}\d{{1,4}}(?:{1}(?i:of|/){1}\d{{1,4}})?|\d{{1,4}}{1}(?i:of|/){1}\d{{1,4}}){1}"
+ROMAN = r"[{0}\-–—|]*+(?=(?:[ivxlcdm]{{1,7}}|[IVXLCDM]{{1,7}})[{0}\-–—|]*+\z)(?i:m{{0,4}}(?:cm|cd|d?c{{0,3}})(?:xc|xl|l?x{{0,3}})(?:ix|iv|v?i{{0,3}}))[{0}\-–—|]*+"
+#: A whole line, with white space of any kind at its ends and between its parts, told in one pass from its start.
+PAGE_LINE = r"\A(?:" + "|".join(p.format(WS[1:-1], WS + "*+") for p in (PAGE_NUMBER, PAGE_OF, ROMAN)) + r")\z"
 BULLET = r"^\s*([•◦▪▫‣●○■□►▸▹➢➤✓✔·])\s*\S"
 DASH = r"^\s*([\-–—*])\s+\S"
 NUMBERED = r"^\s*((?:\d{1,3}|[a-zA-Z]|[ivxlcdm]{2,6}|[IVXLCDM]{2,6})[.)]|\((?:\d{1,3}|[a-zA-Z]|[ivxlcdm]{2,6}|[IVXLCDM]{2,6})\))\s+\S"
@@ -39,11 +40,8 @@ def margin_text(c: Column) -> Column:
 
 
 def is_page_number(c: Column) -> Column:
-    """Whether a line is nothing but a page number, also ``Page 3 of 10`` or a roman numeral."""
-    t = collapse(strip(c))
-    core = F.regexp_replace(t, r"^[\s\-–—|]+|[\s\-–—|]+$", "")
-    roman = (core != "") & (F.length(core) <= 7) & ((core == F.lower(core)) | (core == F.upper(core))) & F.lower(core).rlike(ROMAN)
-    return (t != "") & (t.rlike(PAGE_NUMBER) | t.rlike(PAGE_OF) | t.rlike(PAGE_RATIO) | roman)
+    """Whether a line is nothing but a page number, also ``Page 3 of 10`` or a roman numeral of seven letters at most, all of one case."""
+    return c.rlike(PAGE_LINE)
 
 
 def list_marker(c: Column) -> Column:

@@ -5,6 +5,8 @@ All of it is aggregates and joins over a table of lines; the fold over a page (`
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,3 +114,101 @@ def statistics(lines: DataFrame, body: DataFrame, id_col: str = "doc_id") -> Dat
     edges = sides.groupBy(id_col).agg(F.median("x0").alias("text_left"), F.median("x1").alias("text_right"))
     found = body.join(pitch, id_col, "left").join(heads, id_col, "left").join(edges, id_col, "left")
     return found.select(id_col, "body", F.coalesce("pitch", F.col("body") * 1.2).alias("pitch"), F.coalesce("headings", F.array().cast("array<double>")).alias("headings"), "text_left", "text_right")
+
+
+#: What a page tells of its document: a step of so many lines, a heading size, an edge of its text on the left or right.
+STEP, HEAD, LEFT, RIGHT = range(4)
+
+
+def page_statistics(pages: DataFrame, body: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``statistics`` of pages (id, page, spans, margin) that are held whole: spans sorted by line, margin the numbers of lines that are no headings.
+
+    Each page tells its counts, which add up by value, so no line is shuffled again.
+    """
+    kind = pages.schema[id_col].dataType.simpleString()
+    given = pages.join(body.select(id_col, "body"), id_col).select(id_col, "spans", "margin", "body")
+
+    def tell(batches):
+        for batch in batches:
+            page, what, value, n = _told(batch.column(1), batch.column(2), batch.column(3).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(page, pa.int64())), pa.array(what, pa.int32()), pa.array(value, pa.float64()), pa.array(n, pa.int64())], names=[id_col, "what", "value", "n"])
+
+    counts = given.mapInArrow(tell, f"`{id_col}` {kind}, what int, value double, n long").groupBy(id_col, "what", "value").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy(id_col, "what")
+    upto = F.sum("n").over(group.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.repartition(F.col(id_col)).withColumn("_all", F.sum("n").over(group)).withColumn("_upto", upto)
+    of = lambda what: F.when(F.col("what") == what, F.col("value"))
+    found = placed.groupBy(id_col).agg(
+        F.min(F.when(F.col("_upto") > a.at_share(PITCH_AT)(F.col("_all")), of(STEP))).alias("pitch"), a.size_clusters(F.collect_set(of(HEAD))).alias("headings"),
+        F.percentile(of(LEFT), F.lit(0.5), F.col("n")).alias("text_left"), F.percentile(of(RIGHT), F.lit(0.5), F.col("n")).alias("text_right"),
+    )
+    found = body.select(id_col, "body").join(found, id_col, "left")
+    return found.select(id_col, "body", F.coalesce("pitch", F.col("body") * 1.2).alias("pitch"), F.coalesce("headings", F.array().cast("array<double>")).alias("headings"), "text_left", "text_right")
+
+
+def _told(spans: pa.ListArray, margin: pa.ListArray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(page, what, value, n) of pages' lines with text."""
+    flat, lengths = spans.flatten(), spans.value_lengths().to_numpy(zero_copy_only=False)
+    page = np.repeat(np.arange(len(spans)), lengths)
+    number = flat.field("line_no").to_numpy(zero_copy_only=False)
+    x0, y0, x1, size = (flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x0", "y0", "x1", "size"))
+    starts = np.flatnonzero(np.append(True, (np.diff(page) != 0) | (np.diff(number) != 0))[: len(page)])
+    if not len(starts):
+        return np.empty(0, int), np.empty(0, int), np.empty(0), np.empty(0, int)
+    ends = np.append(starts[1:], len(page))
+    held = lambda n: sorted(flat.slice(starts[n], ends[n] - starts[n]).to_pylist(), key=lambda s: tuple(s[c] for c in ("span_no", "x0", "x1", "text", "size")))
+    sizes = size[starts]
+    for n in np.flatnonzero(np.minimum.reduceat(size, starts) != np.maximum.reduceat(size, starts)).tolist():
+        signs: dict[float, int] = {}
+        for s in held(n):
+            signs[float(s["size"])] = signs.get(float(s["size"]), 0) + max(1, len(s["text"].strip(" ")))
+        sizes[n] = max(signs, key=signs.__getitem__)
+    left, top, right, page, number = np.minimum.reduceat(x0, starts), np.minimum.reduceat(y0, starts), np.maximum.reduceat(x1, starts), page[starts], number[starts]
+    of, out = body[page], []
+    half_size = np.floor(sizes * 2 + 0.5) / 2
+    heads = [n for n in np.flatnonzero(half_size >= of * HEADING - 0.01).tolist() if _heading(_line_text(held(n)))]
+    if heads and len(margin.flatten()):
+        gone = margin.to_pylist()
+        heads = [n for n in heads if number[n] not in (gone[page[n]] or ())]
+    out.append((page[heads], HEAD, half_size[heads], np.ones(len(heads), int)))
+    bodied = np.flatnonzero(np.abs(sizes - of) <= BODY_POINTS)
+    if len(bodied):
+        first = np.flatnonzero(np.append(True, np.diff(page[bodied]) != 0))
+        lines = np.diff(np.append(first, len(bodied)))
+        for what, edge in ((LEFT, np.minimum.reduceat(left[bodied], first)), (RIGHT, np.maximum.reduceat(right[bodied], first))):
+            out.append((page[bodied][first][lines >= 3], what, edge[lines >= 3], np.ones((lines >= 3).sum(), int)))
+        out.append(_steps(page[bodied], left[bodied], top[bodied], right[bodied], of[bodied]))
+    pages, values, counts = (np.concatenate([o[k] for o in out]) for k in (0, 2, 3))
+    return pages, np.repeat([o[1] for o in out], [len(o[0]) for o in out]), values, counts
+
+
+def _steps(page: np.ndarray, left: np.ndarray, top: np.ndarray, right: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, int, np.ndarray, np.ndarray]:
+    """W5, as ``next_steps``: each line meets those below it one after the other, until one overlaps it or is too far down."""
+    low, high = STEPS
+    order = np.lexsort((top, page))
+    page, left, top, right, body = (x[order] for x in (page, left, top, right, body))
+    open_, told, k = np.flatnonzero(body > 0), [], 1
+    while len(open_):
+        open_ = open_[open_ + k < len(page)]
+        below = open_ + k
+        step = top[below] - top[open_]
+        near = (page[below] == page[open_]) & (step <= body[open_] * high)
+        meets = near & (step >= body[open_] * low) & (np.minimum(right[below], right[open_]) > np.maximum(left[below], left[open_]))
+        told.append((page[open_[meets]], step[meets]))
+        open_, k = open_[near & ~meets], k + 1
+    pages, steps = (np.concatenate([x[i] for x in told]) if told else np.empty(0) for i in (0, 1))
+    pairs, counts = np.unique(np.stack([pages.astype(float), steps], 1), axis=0, return_counts=True)
+    return pairs[:, 0].astype(int), STEP, pairs[:, 1], counts
+
+
+def _line_text(spans: list[dict]) -> str:
+    """A line's text, with a blank where a gap of over 0.15 sizes parts two spans (``lines_of``)."""
+    text, end = "", None
+    for s in spans:
+        blank = end is not None and s["x0"] - end > 0.15 * s["size"] and not text.endswith(" ") and not s["text"].startswith(" ")
+        text, end = f"{text}{' ' * blank}{s['text']}", float(s["x1"])
+    return text
+
+
+def _heading(text: str) -> bool:
+    return len(text.strip(t.BLANKS)) <= HEADING_SIGNS and any(map(str.isalpha, text))

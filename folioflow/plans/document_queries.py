@@ -134,9 +134,9 @@ def page_blocks(spark, sf_dir):
 
 def _small_pages(spark, sf_dir):
     """Texts in lines of eight words on pages of ten lines."""
-    words = F.filter(F.split(F.regexp_replace("text", "\\s+", " "), " "), lambda x: x != "")
-    lines = F.transform(F.sequence(F.lit(0), F.size("words") - 1, F.lit(8)), lambda n: F.array_join(F.slice("words", n + 1, 8), " "))
-    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("words")).where("size(words) > 0").select("doc_id", F.posexplode(lines).alias("line_no", "text"))
+    lines = F.regexp_extract_all(F.regexp_replace("text", "\\s+", " "), F.lit("[^ ]+(?: [^ ]+){0,7}"), F.lit(0))
+    # of an outer generator no filter is inferred, which would form the lines of a text once more for each of them
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(lines).alias("line_no", "text")).where("text is not null")
     y = F.col("line_no") % 10 * 12.0
     return docs.select(
         "doc_id", F.floor(F.col("line_no") / 10).cast("int").alias("page"), "line_no", F.lit(0).alias("span_no"), "text", F.lit(0.0).alias("x0"), y.alias("y0"),

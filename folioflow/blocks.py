@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from folioflow.session import bounded_batches
+
 Block = dict
 Span = dict
 
@@ -25,6 +27,8 @@ FIELDS = (
 )
 #: Rows that a reader hands over at once.
 CHUNK = 2048
+#: Signs or bytes of files that a writer hands over at once, if it has several.
+WRITTEN = 1 << 20
 
 
 def style_of(span: Span) -> tuple:
@@ -72,6 +76,7 @@ def parsed(frame: DataFrame, id_col: str, content_col: str, parse: Callable[...,
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
+    bounded_batches(frame.sparkSession)
     return frame.select(id_col, F.col(content_col)).mapInArrow(read, fields)
 
 
@@ -88,9 +93,17 @@ def written(blocks: DataFrame, id_col: str, write: Callable[[list[Block]], str |
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows, size = [], 0
             for key, held in zip(batch.column(0), batch.column(1)):
                 ordered = [{k: v for k, v in b.items() if v is not None} for b in held.as_py()]
-                yield pa.RecordBatch.from_pylist([{id_col: key.as_py(), name: write(ordered)}], schema=arrow)
-
+                rows.append({id_col: key.as_py(), name: write(ordered)})
+                size += len(rows[-1][name])
+                if size >= WRITTEN:
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+
+    bounded_batches(blocks.sparkSession)
     grouped = blocks.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(*known))).alias("_blocks"))
     return grouped.mapInArrow(render, fields)

@@ -85,6 +85,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Most rows and bytes of an Arrow batch of texts, files or pages.
+BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds at once, whatever the size of a partition; smaller settings of the session stay.
+
+    The settings are read when a lazy result runs, so they can't be put back here.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}").rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
     """``rows`` over several tasks a core, for work that takes much longer than reading them: a small table is one file and else one task."""
     spark = rows.sparkSession

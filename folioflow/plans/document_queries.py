@@ -135,7 +135,7 @@ def page_blocks(spark, sf_dir):
 def _small_pages(spark, sf_dir):
     """Texts in lines of eight words on pages of ten lines."""
     lines = F.regexp_extract_all(F.regexp_replace("text", "\\s+", " "), F.lit("[^ ]+(?: [^ ]+){0,7}"), F.lit(0))
-    # of an outer generator no filter is inferred, which would form the lines of a text once more for each of them
+    # an outer generator, so that no filter needs the words of a text beforehand and forms them twice
     docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(lines).alias("line_no", "text")).where("text is not null")
     y = F.col("line_no") % 10 * 12.0
     return docs.select(

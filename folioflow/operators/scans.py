@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from folioflow.functions import colors, pages, raster, scan
+from folioflow.session import bounded_batches
 
 Kernel = Callable[[np.ndarray], np.ndarray]
 
@@ -47,10 +48,25 @@ def filtered(planes: DataFrame, kernel: str, *parameters: float, key: str = "ima
     return sound.select(key, "width", "height", "pixels").mapInArrow(step, f"`{key}` {kind}, width int, height int, pixels array<double>")
 
 
-def _sound(images: DataFrame, key: str) -> DataFrame:
-    """(key, width, height, pixels) of colour images that have as many values as their size says, none of them null."""
-    whole = images.where("width > 0 and height > 0 and size(pixels) = width * height * 3 and not exists(pixels, p -> p is null)")
-    return whole.select(key, *(whole[c].cast("int").alias(c) for c in ("width", "height")), whole["pixels"].cast("array<int>").alias("pixels"))
+def _held(images: DataFrame, key: str) -> DataFrame:
+    """(key, width, height, pixels) of colour images, in batches that a Python worker can hold.
+
+    Whether they are whole is seen where they are used: a filter here would have pixels
+    that come from an expression made again for each of its conditions, and before
+    ``images`` are dealt to tasks.
+    """
+    bounded_batches(images.sparkSession)
+    return images.select(key, *(images[c].try_cast("int").alias(c) for c in ("width", "height")), images["pixels"].cast("array<int>").alias("pixels"))
+
+
+def _whole(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, list[np.ndarray]]:
+    """The rows of ``_held`` that have as many values as their size says, none of them null, and their images."""
+    rows, shown = [], []
+    for n, (w, h, p) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3))):
+        if w and h and min(w, h) > 0 and p.is_valid and len(p.values) == w * h * 3 and not p.values.null_count:
+            rows.append(n)
+            shown.append(np.asarray(p.values, np.uint8).reshape(h, w, 3))
+    return batch.take(pa.array(rows, pa.int64())) if len(rows) < batch.num_rows else batch, shown
 
 
 def colour_filtered(images: DataFrame, name: str, brightness: float = 0.0, contrast: float = 0.0, key: str = "image_id") -> DataFrame:
@@ -59,15 +75,15 @@ def colour_filtered(images: DataFrame, name: str, brightness: float = 0.0, contr
     ``pixels`` has width * height * 3 whole numbers 0 to 255, row by row, red, green
     and blue of a pixel together. Images of another size, or null ones, are left out.
     """
-    kind, sound = images.schema[key].dataType.simpleString(), _sound(images, key)
+    kind = images.schema[key].dataType.simpleString()
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3))
-            shown = [colors.filtered(np.asarray(p.values, np.uint8).reshape(h, w, 3), name, brightness, contrast).ravel() for w, h, p in sizes]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x.astype(np.int32) for x in shown], pa.list_(pa.int32()))], names=[key, "width", "height", "pixels"])
+            rows, whole = _whole(batch)
+            shown = [colors.filtered(image, name, brightness, contrast).ravel() for image in whole]
+            yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array([x.astype(np.int32) for x in shown], pa.list_(pa.int32()))], names=[key, "width", "height", "pixels"])
 
-    return sound.mapInArrow(step, f"`{key}` {kind}, width int, height int, pixels array<int>")
+    return _held(images, key).mapInArrow(step, f"`{key}` {kind}, width int, height int, pixels array<int>")
 
 
 def page_corners(images: DataFrame, key: str = "image_id") -> DataFrame:
@@ -76,9 +92,9 @@ def page_corners(images: DataFrame, key: str = "image_id") -> DataFrame:
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3))
-            found = [pages.corners(np.asarray(p.values, np.uint8).reshape(h, w, 3)) for w, h, p in sizes]
+            rows, whole = _whole(batch)
+            found = [pages.corners(image) for image in whole]
             held = pa.array([None if x is None else x.tolist() for x in found], pa.list_(pa.list_(pa.float64())))
-            yield pa.RecordBatch.from_arrays([batch.column(0), held], names=[key, "corners"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), held], names=[key, "corners"])
 
-    return _sound(images, key).mapInArrow(step, f"`{key}` {kind}, corners array<array<double>>")
+    return _held(images, key).mapInArrow(step, f"`{key}` {kind}, corners array<array<double>>")

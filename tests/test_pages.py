@@ -102,3 +102,45 @@ def test_places_worked_out_once_give_the_same_values():
         upper = plane[top, left] * (1 - dx) + plane[top, left + 1] * dx
         lower = plane[top + 1, left] * (1 - dx) + plane[top + 1, left + 1] * dx
         assert (got == upper * (1 - dy) + lower * dy).all() and (scan.sampled(plane, x, y) == got).all()
+
+
+def test_images_are_drawn_once_and_after_they_are_dealt(spark):
+    """A filter on pixels had them drawn again for each condition, in the one task that reads a small table."""
+    from pyspark.sql import functions as F
+
+    from folioflow.plans.record_queries import page_corners
+    from folioflow.session import spread
+
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(20 * 20 * 3)), lambda i: (i + F.col("id")).cast("int") % 200)
+    images = spread(spark.range(3), "id").select(F.col("id").alias("image_id"), F.lit(20).alias("width"), F.lit(20).alias("height"), drawn.alias("pixels"))
+    for frame in (scans.page_corners(images), scans.colour_filtered(images, "grayscale")):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("transform(") == 1 and "Filter" not in plan, plan
+    plan = page_corners(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Filter" not in plan, plan
+
+
+def test_images_that_are_not_whole_are_left_out(spark):
+    rows = [(1, 2, 1, [0, 1, 2, 3, 4, 255]), (2, 2, 1, [0, 1, 2, 3, 4]), (3, 2, 1, [0, 1, 2, None, 4, 5]), (4, 2, 1, None), (5, 0, 1, []), (6, -1, -2, [1] * 6), (7, None, 1, [1] * 3), (8, 1, 1, [1, 1, 1])]
+    frame = spark.createDataFrame(rows, "image_id long, width long, height int, pixels array<int>").coalesce(1)
+    got = scans.colour_filtered(frame, "original").collect()
+    assert sorted((r.image_id, r.width, r.height, r.pixels) for r in got) == [(1, 2, 1, [0, 1, 2, 3, 4, 255]), (8, 1, 1, [1, 1, 1])]
+    assert sorted(r.image_id for r in scans.page_corners(frame).collect()) == [1, 8]
+
+
+def test_components_by_runs():
+    from folioflow.functions import scan
+
+    random = np.random.default_rng(5)
+    for share in (0, 0.2, 0.4, 0.6, 1):
+        mask = random.random((23, 31)) < share
+        want, label = np.zeros(mask.shape, int), 0
+        for y, x in zip(*np.nonzero(mask)):
+            if not want[y, x]:
+                label, todo = label + 1, [(y, x)]
+                while todo:
+                    y0, x0 = todo.pop()
+                    if 0 <= y0 < 23 and 0 <= x0 < 31 and mask[y0, x0] and not want[y0, x0]:
+                        want[y0, x0] = label
+                        todo += [(y0 + a, x0 + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+        assert (scan.components(mask) == want).all()

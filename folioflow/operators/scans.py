@@ -93,8 +93,7 @@ def page_corners(images: DataFrame, key: str = "image_id") -> DataFrame:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, whole = _whole(batch)
-            found = [pages.corners(image) for image in whole]
-            held = pa.array([None if x is None else x.tolist() for x in found], pa.list_(pa.list_(pa.float64())))
+            held = pa.array([None if x is None else x.tolist() for x in pages.corners_of(whole)], pa.list_(pa.list_(pa.float64())))
             yield pa.RecordBatch.from_arrays([rows.column(0), held], names=[key, "corners"])
 
     return _held(images, key).mapInArrow(step, f"`{key}` {kind}, corners array<array<double>>")

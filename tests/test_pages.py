@@ -144,3 +144,13 @@ def test_components_by_runs():
                         want[y0, x0] = label
                         todo += [(y0 + a, x0 + b) for a in (-1, 0, 1) for b in (-1, 0, 1)]
         assert (scan.components(mask) == want).all()
+
+
+def test_images_looked_at_together_give_the_corners_of_each_alone():
+    random = np.random.default_rng(6)
+    images = [photo(random, n % 4, *size)[0] for n, size in enumerate([(60, 80)] * 20 + [(90, 70), (60, 80), (12, 80), (500, 420)])]
+    images += [np.zeros((60, 80, 3), np.uint8), random.integers(0, 256, (60, 80, 3)).astype(np.uint8)]
+    together, alone = pages.corners_of(images), [pages.corners(image) for image in images]
+    assert sum(x is not None for x in alone) > 5 and any(x is None for x in alone)
+    assert all((a is None and b is None) or (a == b).all() for a, b in zip(together, alone))
+    assert pages.corners_of([]) == []

@@ -82,24 +82,32 @@ class Model:
 
 @dataclass
 class Usual:
-    """For each language the logarithm of the share of its texts that show each bucket."""
+    """For each language how many texts it has, and the logarithms of the shares that show each bucket: of its texts, and for one that shows it, of its others."""
 
     languages: list[str]
+    texts: np.ndarray
     shares: np.ndarray
+    others: np.ndarray
 
-    def familiarity(self, texts: list[str | None]) -> np.ndarray:
+    def familiarity(self, texts: list[str | None], counted: list[str] | None = None) -> np.ndarray:
         """How usual the buckets of each text are in the language where they are most so; -inf without letters or learnt languages.
 
         The mean, over the buckets that a text shows, of the logarithm of the share
         of a language's learnt texts that show them too. Unlike a margin it doesn't
-        depend on what other languages there are.
+        depend on what other languages there are. ``counted`` tells for texts that are
+        among the learnt ones as what language each was counted: it is left out of the
+        counts, and a language of no other text isn't learnt.
         """
         out = np.full(len(texts), -np.inf)
         if self.languages:
             for k in range(0, len(texts), 128):
                 shown = presence(texts[k : k + 128])
-                n = shown.sum(1)
-                out[k : k + 128] = np.where(n > 0, (shown @ self.shares).max(1) / np.maximum(n, 1), -np.inf)
+                n, sums = shown.sum(1), shown @ self.shares
+                if counted is not None:
+                    lang = np.searchsorted(np.array(self.languages, object), np.array(counted[k : k + 128], object))
+                    own = np.arange(len(shown)), lang
+                    sums[own] = np.where(self.texts[lang] > 1, (shown @ self.others)[own], -np.inf)
+                out[k : k + 128] = np.where(n > 0, sums.max(1) / np.maximum(n, 1), -np.inf)
         return out
 
 
@@ -235,22 +243,23 @@ def usual(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     texts, bucket = np.zeros(len(names)), place < 1 << BITS
     texts[at[~bucket]] = n[~bucket]
     counts[place[bucket], at[bucket]] = n[bucket]
-    return Usual(names, np.log((counts + 0.5) / (texts + 1)).astype(np.float32))
+    return Usual(names, texts, *(np.log(x).astype(np.float32) for x in ((counts + 0.5) / (texts + 1), np.maximum(counts - 0.5, 0.5) / texts)))
 
 
-def least_familiarity(held_out: DataFrame, model: Usual, lost: float, text_col: str = "text", lang_col: str = "lang") -> float:
-    """A familiarity that at most a share ``lost`` of the labelled ``held_out`` texts with letters stay below.
+def least_familiarity(labelled: DataFrame, model: Usual, lost: float, text_col: str = "text", lang_col: str = "lang", learnt: bool = False) -> float:
+    """A familiarity that at most a share ``lost`` of the ``labelled`` texts with letters stay below.
 
     It lies under that quantile by a quarter of its distance from the median, as
-    few held-out texts put the quantile too high. All of them are scored and counted by
+    few texts put the quantile too high. All of them are scored and counted by
     steps of 1 / ``STEPS``, rounded down; without any, every text with letters passes.
+    ``learnt`` says that ``model`` counts these very rows: each is scored by all the others.
     """
-    prepare(held_out.sparkSession)
-    shown = held_out.select(F.col(text_col).alias("t")).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    prepare(labelled.sparkSession)
+    shown = labelled.select(F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and t is not null")
 
     def familiar(batches):
         for batch in batches:
-            found = model.familiarity(batch.column(0).to_pylist())
+            found = model.familiarity(batch.column(0).to_pylist(), batch.column(1).to_pylist() if learnt else None)
             yield pa.RecordBatch.from_arrays([pa.array(np.floor(found[np.isfinite(found)] * STEPS).astype(np.int64), pa.int64())], names=["step"])
 
     counts = sorted((r["step"], r["n"]) for r in shown.mapInArrow(familiar, "step long").groupBy("step").agg(F.count("*").alias("n")).collect())

@@ -242,3 +242,42 @@ def test_what_is_usual_and_least_familiar_is_counted_over_all_rows(spark):
         assert abs(language_id.least_familiarity(docs.repartition(5), found, lost) - (low - (middle - low) / 4)) < 2 / language_id.STEPS
     none = docs.where("text = '42'")
     assert language_id.usual(docs.limit(0)).languages == [] and language_id.least_familiarity(none, found, 0.1) < -1e300
+
+
+def test_language_stage_learns_from_all_rows_whatever_their_ids(spark):
+    """Rows without an id, and a language whose rows are all of one fold, were learnt from by none."""
+    import zlib
+
+    import corpus_pipeline
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents").where(F.col("lang").isin("de", "en") & F.col("text").rlike("[a-z]{2}"))
+    nameless = docs.withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType))
+    assert corpus_pipeline.language(spark, nameless, SF).count() >= 0.995 * docs.count()
+    words = ["Καλημέρα", "κόσμε", "σήμερα", "πρωί", "θάλασσα", "ουρανός", "βιβλίο"]
+    fold = [i for i in range(10**6, 10**6 + 1000) if zlib.crc32(str(i).encode()) % 5 == 0][:40]
+    greek = spark.createDataFrame([(i, " ".join(words[(n + k) % 7] for k in range(2 + n % 5)), "el") for n, i in enumerate(fold)], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.language(spark, docs.unionByName(greek, allowMissingColumns=True), SF)
+    assert kept.where("lang = 'el'").count() == 40 and kept.count() >= 0.995 * docs.count()
+
+
+def test_familiarity_by_all_other_rows(spark):
+    """Each text as if the counts were made without it, also where it is the only one of its language."""
+    words = ["rot", "rosa", "blau", "red", "rose", "blue", "42", "ñandú"]
+    texts = [f"{words[i % 6]} {words[i % 5]}" for i in range(30)] + words[6:] + [""]
+    langs = [("de", "en")[i % 6 > 2] for i in range(30)] + ["en", "es", "de"]
+    docs = spark.createDataFrame([(None, t, lang) for t, lang in zip(texts, langs)], "doc_id long, text string, lang string")
+    found, want = language_id.usual(docs), []
+    for i in range(len(texts)):
+        rest = [n for n in range(len(texts)) if n != i]
+        shown, of = language_id.presence([texts[n] for n in rest]), np.array([langs[n] for n in rest])
+        shares = np.stack([np.log((shown[of == lang].sum(0) + 0.5) / ((of == lang).sum() + 1)) for lang in sorted(set(of))], 1)
+        own = language_id.presence([texts[i]])[0]
+        want.append((own @ shares).max() / own.sum() if own.any() else -np.inf)
+    got = found.familiarity(texts, langs)
+    assert np.allclose(got, want, atol=1e-4) and np.isinf(got[[30, 32]]).all()
+    scores = np.array(want)[np.isfinite(want)]
+    low, middle = np.quantile(scores, 0.1, method="lower"), np.median(scores)
+    assert abs(language_id.least_familiarity(docs.repartition(3), found, 0.1, learnt=True) - (low - (middle - low) / 4)) < 2 / language_id.STEPS
+    lone = docs.where("lang = 'es'")
+    assert np.isinf(language_id.usual(lone).familiarity(["ñandú"], ["es"])).all()
+    assert language_id.least_familiarity(lone, language_id.usual(lone), 0.1, learnt=True) < -1e300
